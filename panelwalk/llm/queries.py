@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, mpeg_audio, quality, sstable, token_count, toxicity
+from . import bpe_codec, jaccard_join, mpeg_audio, quality, sstable, substring_dedup, token_count, toxicity
 from .text import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,10 @@ def _held_out(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(documents(spark, sf_dir))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return _held_out(quality.score(docs, quality.fit(docs, _labels(spark, sf_dir))), quality.THRESHOLD)
@@ -38,6 +42,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), WORD_BPE)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return _held_out(toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir))), toxicity.THRESHOLD)
@@ -47,5 +55,31 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_and_read(documents(spark, sf_dir), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_token_counts, op5_media_columns, op6_bpe_round_trip, op9_toxicity, op10_sstable)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_token_counts, op5_media_columns, op6_bpe_round_trip, op8_jaccard_join, op9_toxicity, op10_sstable)}
+
+#: DuckDB. Words are cut as the operators cut them; a document's words are a list.
+_WORDS = r"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents"
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": rf"""
+WITH words AS ({_WORDS}),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35),
+windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM starts),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM windows JOIN again USING (h)),
+gone AS (SELECT doc_id, list(j) AS js FROM covered GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN js IS NULL THEN array_to_string(w, ' ')
+    ELSE array_to_string([w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(js, k)], ' ') END) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)""",
+    "op8_jaccard_join": rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * c >= 90 * (s.n + t.n - c)),
+both AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach AS (SELECT doc_id AS x, doc_id AS least FROM documents UNION SELECT both.y, reach.least FROM reach JOIN both ON reach.x = both.x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x, min(least) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id""",
+}

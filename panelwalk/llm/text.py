@@ -122,7 +122,7 @@ class Ranges:
         if n <= 0:
             return np.zeros(0, np.uint64)
         raw = (self.sums[length:] - self.sums[:n]) * self.undo[:n]
-        return mix(raw + np.uint64(length) * np.uint64(0x2545F4914F6CDD1D))
+        return mix(raw + np.uint64(length * 0x2545F4914F6CDD1D % (1 << 64)))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
