@@ -78,8 +78,8 @@ grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SE
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 linked AS (SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * c >= 90 * (s.n + t.n - c)),
-both AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
-reach AS (SELECT doc_id AS x, doc_id AS least FROM documents UNION SELECT both.y, reach.least FROM reach JOIN both ON reach.x = both.x)
+ways AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach AS (SELECT doc_id AS x, doc_id AS least FROM documents UNION SELECT ways.y, reach.least FROM reach JOIN ways ON reach.x = ways.x)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x, min(least) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id""",
 }
