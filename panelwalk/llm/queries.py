@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, jaccard_join, mpeg_audio, quality, sstable, substring_dedup, token_count, toxicity
+from . import bpe_codec, decontaminate, jaccard_join, lm_score, mpeg_audio, quality, sstable, substring_dedup, token_count, toxicity
 from .text import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir), BYTE_BPE)
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.described(mpeg_audio.media(documents(spark, sf_dir))).drop("frame_offsets")
 
@@ -42,6 +46,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), WORD_BPE)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.links(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -55,7 +63,7 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_and_read(documents(spark, sf_dir), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_token_counts, op5_media_columns, op6_bpe_round_trip, op8_jaccard_join, op9_toxicity, op10_sstable)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_token_counts, op4_lm_score, op5_media_columns, op6_bpe_round_trip, op7_decontamination, op8_jaccard_join, op9_toxicity, op10_sstable)}
 
 #: DuckDB. Words are cut as the operators cut them; a document's words are a list.
 _WORDS = r"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents"
@@ -73,7 +81,8 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_remo
     ELSE array_to_string([w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(js, k)], ' ') END) AS kept_sha256
 FROM words LEFT JOIN gone USING (doc_id)""",
     "op8_jaccard_join": rf"""
-WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
