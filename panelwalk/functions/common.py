@@ -43,5 +43,5 @@ def finite(x: Column) -> Column:
 
 
 def rounded(df, digits: int = 6, **own: int):
-    """Doubles rounded for comparison, at the outermost projection."""
-    return df.select(*[F.round(c, own.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded for comparison, at the outermost projection; no negative zero."""
+    return df.select(*[(F.round(c, own.get(c, digits)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import TINY, YEAR, full, last_rows, series, upto
@@ -69,13 +69,11 @@ def rolling_risk(df: DataFrame, n: int = 63, w=None) -> DataFrame:
 
 def rebase(df: DataFrame, column: str = "close") -> DataFrame:
     """Each entity's values as percent of its first one."""
-    first = F.first(column, ignorenulls=True).over(series().rowsBetween(-(2**62), 2**62))
+    first = F.first(column, ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.withColumn("rebased", F.col(column) / first * 100)
 
 
 def top_n(df: DataFrame, n: int, keys: list[str], order: list[Column]) -> DataFrame:
-    from pyspark.sql import Window
-
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 

@@ -16,16 +16,17 @@ from .sql import sql
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-ROUND = "SELECT entity, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(adj_close, 6) AS adj_close, round(volume, 6) AS volume FROM "
+BARS = "SELECT entity, ts, open, high, low, close, adj_close, volume FROM "
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query; its doubles are rounded to six digits here, as in its SQL."""
+def query(name: str, oracle: str | None = None, exact: bool = False, digits: int = 6) -> Callable[[Query], Query]:
+    """Registers a query; its doubles are rounded here, as in its SQL, unless they are exact. Prices are cents
+    by a quantity of up to 50, which can end in a five at the seventh digit: eight digits leave no ties."""
 
     def put(f: Query) -> Query:
-        QUERIES[name] = lambda spark, d: rounded(f(spark, d))
+        QUERIES[name] = f if exact else lambda spark, d: rounded(f(spark, d), digits)
         if oracle:
-            ORACLES[name] = sql(oracle)
+            ORACLES[name] = sql(oracle.replace(', 6)', f', {digits})'))
         return f
 
     return put
@@ -36,18 +37,18 @@ def _listing(spark: SparkSession) -> DataFrame:
 
 
 # Sources and cleaning
-query("bars", ROUND + "bars")(panels.bars)
-query("event_bars", """SELECT event_type AS entity, date_trunc('hour', ts)::TIMESTAMP AS ts, round(min_by(value, {'a': ts, 'b': event_id, 'c': value}), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low,
-  round(max_by(value, {'a': ts, 'b': event_id, 'c': value}), 6) AS close, round(max_by(value, {'a': ts, 'b': event_id, 'c': value}), 6) AS adj_close, count(*)::DOUBLE AS volume FROM events GROUP BY ALL""")(panels.event_bars)
-query("calendar_align", ROUND + "aligned")(lambda s, d: clean.calendar_align(panels.bars(s, d)).select("entity", "ts", *panels.PRICES, "volume"))
-query("listing_filter", ROUND + "bars WHERE entity <> 'AF' OR ts >= DATE '1994-01-01'")(lambda s, d: clean.listed(panels.bars(s, d), _listing(s)))
-query("ffill_prices", ROUND + "(SELECT f.* EXCLUDE (volume), a.volume FROM filled f JOIN aligned a USING (entity, ts))")(lambda s, d: clean.forward_fill(clean.calendar_align(panels.bars(s, d))))
+query("bars", BARS + "bars", exact=True)(panels.bars)
+query("event_bars", """SELECT event_type AS entity, date_trunc('hour', ts)::TIMESTAMP AS ts, min_by(value, {'a': ts, 'b': event_id, 'c': value}) AS open, max(value) AS high, min(value) AS low,
+  max_by(value, {'a': ts, 'b': event_id, 'c': value}) AS close, max_by(value, {'a': ts, 'b': event_id, 'c': value}) AS adj_close, count(*)::DOUBLE AS volume FROM events GROUP BY ALL""", exact=True)(panels.event_bars)
+query("calendar_align", BARS + "aligned", exact=True)(lambda s, d: clean.calendar_align(panels.bars(s, d)).select("entity", "ts", *panels.PRICES, "volume"))
+query("listing_filter", BARS + "bars WHERE entity <> 'AF' OR ts >= DATE '1994-01-01'", exact=True)(lambda s, d: clean.listed(panels.bars(s, d), _listing(s)))
+query("ffill_prices", BARS + "(SELECT f.* EXCLUDE (volume), a.volume FROM filled f JOIN aligned a USING (entity, ts))", exact=True)(lambda s, d: clean.forward_fill(clean.calendar_align(panels.bars(s, d))))
 query("fill_volume", "SELECT entity, ts, coalesce(volume, 0) AS volume FROM aligned")(lambda s, d: clean.fill_volume(clean.calendar_align(panels.bars(s, d))).select("entity", "ts", "volume"))
-query("drop_gaps", ROUND + "panel")(lambda s, d: fr.panel(s, d).select("entity", "ts", *panels.PRICES, "volume"))
-query("dedup_first", "SELECT l_returnflag, l_shipdate::DATE AS ts, l_orderkey, l_linenumber, round(min(l_extendedprice), 6) AS price FROM lineitem GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY l_returnflag, ts ORDER BY l_orderkey, l_linenumber) = 1")(
+query("drop_gaps", BARS + "panel", exact=True)(lambda s, d: fr.panel(s, d).select("entity", "ts", *panels.PRICES, "volume"))
+query("dedup_first", "SELECT l_returnflag, ts, l_orderkey, l_linenumber, l_extendedprice AS price FROM (SELECT *, l_shipdate::DATE AS ts FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_returnflag, ts ORDER BY l_orderkey, l_linenumber, l_extendedprice) = 1", exact=True)(
     lambda s, d: clean.first_of_each(s.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", F.to_date("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price")), ["l_returnflag", "ts"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("price")])
 )
-query("outlier_replace", "SELECT entity, ts, " + ", ".join(f"round(CASE WHEN {c} > avg({c}) OVER w + 2 * stddev_samp({c}) OVER w OR {c} < avg({c}) OVER w - 2 * stddev_samp({c}) OVER w OR {c} < 1 THEN avg({c}) OVER w ELSE {c} END, 6) AS {c}" for c in ("close", "volume")) + " FROM panel WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS 29 PRECEDING)")(
+query("outlier_replace", "SELECT entity, ts, " + ", ".join(f"round(CASE WHEN {c} > avg({c}) OVER w + 2 * stddev_samp({c}) OVER w OR {c} < avg({c}) OVER w - 2 * stddev_samp({c}) OVER w OR {c} < 1 THEN avg({c}) OVER w ELSE {c} END, 6) AS {c}" for c in ("close", "volume")) + " FROM panel WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS 29 PRECEDING)", digits=8)(
     lambda s, d: clean.replace_outliers(fr.panel(s, d).select("entity", "ts", "close", "volume"), ["close", "volume"], k_sigma=2.0)
 )
 query("log_return", "SELECT entity, ts, round(r, 6) AS r FROM rets")(lambda s, d: fr.rets(s, d).select("entity", "ts", "r"))
@@ -56,7 +57,7 @@ query("boxcox_lambda", """SELECT round(max_by(lam, llf), 6) AS lam, round(max(ll
 query("temporal_split", "SELECT entity, CASE WHEN ts <= DATE '1996-12-31' THEN 'train' ELSE 'test' END AS split, count(*) AS n, max(ts) AS last FROM rets GROUP BY ALL")(lambda s, d: clean.split(fr.rets(s, d), "1996-12-31").groupBy("entity", "split").agg(F.count("*").alias("n"), F.max("ts").alias("last")))
 query("label_quantile", "SELECT entity, ts, round(next, 6) AS next, round(thr, 6) AS thr, target FROM labelled")(lambda s, d: fr.labelled(s, d).select("entity", "ts", "next", "thr", "target"))
 query("label_distribution", """SELECT q::DOUBLE AS q, target, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY q), 6) AS share FROM (SELECT q, (next > quantile)::INT AS target FROM nexts,
-  (SELECT q, CASE q WHEN 0.6 THEN a WHEN 0.7 THEN b ELSE c END AS quantile FROM (SELECT unnest([0.6, 0.7, 0.8]) AS q), (SELECT quantile_cont(next, 0.6) AS a, quantile_cont(next, 0.7) AS b, quantile_cont(next, 0.8) AS c FROM nexts))) GROUP BY ALL""")(lambda s, d: clean.label_distribution(fr.rets(s, d)))
+  (SELECT q, CASE q WHEN 0.6 THEN a WHEN 0.7 THEN b ELSE c END AS quantile FROM (SELECT unnest([0.6, 0.7, 0.8]) AS q), (SELECT quantile_cont(next, 0.6) AS a, quantile_cont(next, 0.7) AS b, quantile_cont(next, 0.8) AS c FROM nexts))) GROUP BY q, target""")(lambda s, d: clean.label_distribution(fr.rets(s, d)))
 query("non_finite_guard", "SELECT count(*) FILTER (close IS NULL) AS close, count(*) FILTER (volume IS NULL) AS volume FROM aligned")(lambda s, d: clean.non_finite(clean.calendar_align(panels.bars(s, d)), ["close", "volume"]))
 query("numeric_coercion", """SELECT event_type, count(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS ok, count(*) - count(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS bad FROM events GROUP BY event_type""")(
     lambda s, d: s.read.parquet(f"{d}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").try_cast("double")).groupBy("event_type").agg(F.count("k").alias("ok"), F.count_if(F.col("k").isNull()).alias("bad"))
@@ -67,7 +68,7 @@ query("return_column", "SELECT entity, ts, round(ln(adj_close / lag(adj_close) O
 query("date_slice", "SELECT entity, ts, round(close, 6) AS close, strftime(ts, '%Y-%m-%d') AS day FROM panel WHERE upper(entity) = 'RF' AND ts BETWEEN DATE '1994-03-01' AND DATE '1994-06-30'")(lambda s, d: clean.date_slice(fr.panel(s, d), "rf", "1994-03-01", "1994-06-30").select("entity", "ts", "close", "day"))
 
 # Window indicators
-query("lags", "SELECT entity, ts, " + ", ".join(f"round(lag({c}, {k}) OVER w, 6) AS {c}_lag_{k}" for c in ("close", "r") for k in (1, 3, 5)) + " FROM rets WINDOW w AS (PARTITION BY entity ORDER BY ts)")(lambda s, d: (lambda x: x.select("entity", "ts", *[c for c in x.columns if "_lag_" in c]))(indicators.lags(fr.rets(s, d), ["close", "r"])))
+query("lags", "SELECT entity, ts, " + ", ".join(f"round(lag({c}, {k}) OVER w, 6) AS {c}_lag_{k}" for c in ("close", "r") for k in (1, 3, 5)) + " FROM rets WINDOW w AS (PARTITION BY entity ORDER BY ts)", digits=8)(lambda s, d: (lambda x: x.select("entity", "ts", *[c for c in x.columns if "_lag_" in c]))(indicators.lags(fr.rets(s, d), ["close", "r"])))
 query("lead_return", "SELECT entity, ts, round(next, 6) AS next FROM nexts")(lambda s, d: fr.rets(s, d).select("entity", "ts", F.lead("r").over(series()).alias("next")).where("next is not null"))
 query("sma", "SELECT entity, ts, CASE WHEN count(close) OVER w = 5 THEN round(avg(close) OVER w, 6) END AS sma_5 FROM panel WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS 4 PRECEDING)")(lambda s, d: fr.panel(s, d).select("entity", "ts", indicators.sma("close", 5).alias("sma_5")))
 _BANDS = ", ".join(
@@ -75,7 +76,7 @@ _BANDS = ", ".join(
 )
 query("bollinger", f"SELECT entity, ts, {_BANDS} FROM panel WINDOW w10 AS (PARTITION BY entity ORDER BY ts ROWS 9 PRECEDING), w20 AS (PARTITION BY entity ORDER BY ts ROWS 19 PRECEDING)")(lambda s, d: (lambda x: x.select("entity", "ts", *[c for c in x.columns if c.startswith("bb_")]))(indicators.bollinger(fr.panel(s, d))))
 query("obv", "SELECT entity, ts, round(sum(v) OVER (PARTITION BY entity ORDER BY ts), 6) AS obv FROM (SELECT entity, ts, coalesce(sign(close - lag(close) OVER (PARTITION BY entity ORDER BY ts)), 0) * volume AS v FROM panel)")(lambda s, d: indicators.obv(fr.panel(s, d)).select("entity", "ts", "obv"))
-query("hlc3", "SELECT entity, ts, round((high + low + close) / 3, 6) AS hlc3 FROM panel")(lambda s, d: indicators.hlc3(fr.panel(s, d)).select("entity", "ts", "hlc3"))
+query("hlc3", "SELECT entity, ts, round((high + low + close) / 3, 6) AS hlc3 FROM panel", digits=8)(lambda s, d: indicators.hlc3(fr.panel(s, d)).select("entity", "ts", "hlc3"))
 query("regime_tag", "SELECT entity, ts, regime FROM tagged")(lambda s, d: indicators.regime(fr.labelled(s, d)).select("entity", "ts", "regime"))
 query("drawdown_path", """SELECT entity, ts, round(ln(c), 6) AS log_equity, round((p - c) / (p + 2.220446049250313e-16), 6) AS drawdown FROM (SELECT *, max(c) OVER (PARTITION BY entity ORDER BY ts) AS p FROM (SELECT entity, ts, exp(sum(r) OVER (PARTITION BY entity ORDER BY ts)) AS c FROM rets))""")(
     lambda s, d: indicators.equity(fr.rets(s, d)).select("entity", "ts", F.log("equity").alias("log_equity"), "drawdown")
@@ -88,14 +89,14 @@ query("sliding_blocks", "SELECT entity, ts, round(s, 6) AS total, n, round(r, 6)
     lambda s, d: indicators.windows(fr.rets(s, d), ["r", "close"], "r", 10).select("entity", "ts", F.aggregate(F.flatten("block"), F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("block").cast("long").alias("n"), "y")
 )
 _EMA = "SELECT a.entity, a.ts, a.i, sum(CASE WHEN b.i = {first} THEN 1.0 ELSE {alpha} END * pow(1 - {alpha}, a.i - b.i) * b.{x}) AS {x} FROM {t} a JOIN {t} b ON a.entity = b.entity AND b.i <= a.i GROUP BY ALL"
-query("ema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel) SELECT entity, ts, round(x, 6) AS ema_12 FROM (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + ")")(lambda s, d: indicators.recursive_means(fr.panel(s, d)).select("entity", "ts", "ema_12"))
-query("tema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel), e1 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + "), e2 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e1") + "), e3 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e2") + ") SELECT entity, e1.ts, round(3 * e1.x - 3 * e2.x + e3.x, 6) AS tema_12 FROM e1 JOIN e2 USING (entity, i) JOIN e3 USING (entity, i)")(
+query("ema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel) SELECT entity, ts, round(x, 6) AS ema_12 FROM (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + ")", digits=8)(lambda s, d: indicators.recursive_means(fr.panel(s, d)).select("entity", "ts", "ema_12"))
+query("tema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel), e1 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + "), e2 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e1") + "), e3 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e2") + ") SELECT entity, e1.ts, round(3 * e1.x - 3 * e2.x + e3.x, 6) AS tema_12 FROM e1 JOIN e2 USING (entity, i) JOIN e3 USING (entity, i)", digits=8)(
     lambda s, d: indicators.recursive_means(fr.panel(s, d)).select("entity", "ts", "tema_12")
 )
 query("rsi", "WITH p AS (SELECT entity, ts, greatest(g, 0) AS u, greatest(-g, 0) AS v, row_number() OVER (PARTITION BY entity ORDER BY ts) - 1 AS i FROM (SELECT entity, ts, close - lag(close) OVER (PARTITION BY entity ORDER BY ts) AS g FROM panel)), q AS (SELECT * FROM p WHERE i > 0), a AS (" + _EMA.format(first=1, alpha="(1 / 14)", x="u", t="q") + "), b AS (" + _EMA.format(first=1, alpha="(1 / 14)", x="v", t="q") + ") SELECT p.entity, p.ts, CASE WHEN p.i >= 14 THEN round(100 - 100 / (1 + a.u / b.v), 6) END AS rsi_14 FROM p LEFT JOIN a USING (entity, i) LEFT JOIN b USING (entity, i)")(
     lambda s, d: indicators.recursive_means(fr.panel(s, d)).select("entity", "ts", "rsi_14")
 )
-query("share_in_group", "SELECT entity, regime, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY entity) * 100, 6) AS share FROM tagged GROUP BY ALL")(lambda s, d: indicators.regime(fr.labelled(s, d)).groupBy("entity", "regime").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("entity")) * 100))
+query("share_in_group", "SELECT entity, regime, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY entity) * 100, 6) AS share FROM tagged GROUP BY entity, regime")(lambda s, d: indicators.regime(fr.labelled(s, d)).groupBy("entity", "regime").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("entity")) * 100))
 
 # Folds
 query("fold_generate", "SELECT fold_id, entity, ts, off, split FROM fold_rows")(lambda s, d: fr.fold_rows(s, d).select("fold_id", "entity", "ts", "off", "split"))
@@ -154,9 +155,9 @@ query("correlation_table", "SELECT 'close' AS a, 'r' AS b, round(corr(close, r),
 # Forecasts, positions, backtests
 query("ar1_forecast", 'SELECT fold_id, "interval", off, round(mu, 6) AS mu, round(vol, 6) AS vol FROM forecasts')(lambda s, d: fr.forecasts(s, d).select("fold_id", "interval", "off", "mu", "vol"))
 query("zscore_position", 'SELECT fold_id, "interval", thr, off, round(pos, 6) AS pos FROM placed WHERE fold_id % 10 = fold_id % 10')(lambda s, d: backtest.positions(fr.forecasts(s, d), fr.THRESHOLDS).select("fold_id", "interval", "thr", "off", "pos"))
-query("net_return", 'SELECT fold_id, "interval", thr, off, round(turnover, 6) AS turnover, round(net, 6) AS net FROM trace')(lambda s, d: fr.trace(s, d).select("fold_id", "interval", "thr", "off", "turnover", "net"))
+query("net_return", 'SELECT fold_id, "interval", thr, off, round(turnover, 6) AS turnover, round(net, 6) + 0 AS net FROM trace')(lambda s, d: fr.trace(s, d).select("fold_id", "interval", "thr", "off", "turnover", "net"))
 query("backtest_summary", 'SELECT fold_id, entity, "interval", thr, ' + ", ".join(f"round({c}, 6) AS {c}" for c in ("sharpe", "mdd", "ann_return", "ann_vol", "turnover", "round_turns")) + ", n_points, rebalances FROM tests")(lambda s, d: backtest.backtests(fr.trace(s, d)))
-query("penalised_objectives", 'SELECT fold_id, "interval", thr, round(penalty, 6) AS penalty, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM evals')(lambda s, d: fr.evals(s, d).select("fold_id", "interval", "thr", "penalty", "f0", "f1"))
+query("penalised_objectives", 'SELECT fold_id, "interval", thr, round(penalty, 6) AS penalty, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM evals', digits=7)(lambda s, d: fr.evals(s, d).select("fold_id", "interval", "thr", "penalty", "f0", "f1"))
 query("sensitivity_grid", """SELECT thr_mult, cost_mult, count(*) AS n, round(avg(sharpe), 6) AS mean_sharpe, round(avg(turnover), 6) AS mean_turnover FROM (
   SELECT fold_id, thr_mult, cost_mult, avg(net) / stddev_samp(net) * sqrt(252) AS sharpe, sum(turnover) AS turnover FROM (SELECT *, ln(1 + greatest((exp(r) - 1) * pos - 0.0007 * cost_mult * turnover, -0.9999)) AS net FROM (
     SELECT *, abs(pos - coalesce(lag(pos) OVER (PARTITION BY fold_id, thr_mult, cost_mult ORDER BY off), 0)) AS turnover FROM (
@@ -187,7 +188,7 @@ query("turnover_cap", """SELECT fold_id, "interval", thr, block, round(bt, 6) AS
 query("equity_band", 'SELECT "interval", off, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std FROM curve WHERE thr = 0.1 GROUP BY ALL')(lambda s, d: indicators.equity(fr.trace(s, d).where("thr = 0.1").drop("r").withColumnRenamed("net", "r"), series("fold_id", "interval", "thr", order="off")).groupBy("interval", "off").agg(F.avg("equity").alias("mean"), F.stddev_pop("equity").alias("std")))
 
 # Fronts
-query("pareto_front", 'SELECT fold_id, "interval", thr, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM front')(lambda s, d: fr.fronts(s, d).select("fold_id", "interval", "thr", "f0", "f1"))
+query("pareto_front", 'SELECT fold_id, "interval", thr, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM front', digits=7)(lambda s, d: fr.fronts(s, d).select("fold_id", "interval", "thr", "f0", "f1"))
 query("frontier_scan", 'SELECT fold_id, "interval", thr FROM (SELECT *, max(-f0) OVER (PARTITION BY fold_id, "interval" ORDER BY f1, f0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM evals) WHERE most IS NULL OR -f0 > most')(lambda s, d: pareto.frontier(fr.evals(s, d).withColumn("y", -F.col("f0")), fr.CASE, "f1", "y").select("fold_id", "interval", "thr"))
 query("knee_point", 'SELECT fold_id, "interval", thr FROM knees')(lambda s, d: pareto.knees(fr.fronts(s, d), fr.CASE, ["thr"]).select("fold_id", "interval", "thr"))
 query("chord_knee", """SELECT fold_id, "interval", thr FROM (SELECT *, coalesce(abs((b0 - a0) * (f1 - a1) - (b1 - a1) * (f0 - a0)) / nullif(sqrt((b0 - a0) * (b0 - a0) + (b1 - a1) * (b1 - a1)), 0), 0) AS far FROM (

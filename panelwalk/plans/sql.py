@@ -89,4 +89,6 @@ def sql(body: str) -> str:
             if name not in names and re.search(rf"(?<![\w.'])(?<!AS ){name}(?![\w'(])", text):
                 names.add(name)
                 todo.append(TABLES[name])
-    return ("WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in TABLES if n in names) + "\n" if names else "") + body
+    tables = ",\n".join(f"{n} AS ({TABLES[n]})" for n in TABLES if n in names)
+    own = body.removeprefix("WITH ")
+    return f"WITH {tables}{', ' if own != body else ''}\n{own}" if names else body
