@@ -34,8 +34,7 @@ def fold_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qc_table(spark: SparkSession, d: str) -> DataFrame:
-    """Folds for quality control; every 37th lacks its volatility, so that missing values are met."""
-    return fold_table(spark, d).select("fold_id", "entity", F.round("val_pos_ratio", 9).alias("ratio"), F.when(F.col("fold_id") % 37 != 0, F.round("val_vol", 9)).alias("vol"))
+    return fold_table(spark, d).select("fold_id", "entity", F.round("val_pos_ratio", 9).alias("ratio"), F.round("val_vol", 9).alias("vol"))
 
 
 def meta(spark: SparkSession, d: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import clip, rounded, series, sharpe, upto
-from ..operators import backtest, clean, folds, indicators, pareto, qc, stats
-from ..sources import panels
+from ..operators import backtest, clean, folds, indicators, pareto, qc, select, stats
+from ..sources import files, panels
+from ..streaming import streams
 from . import frames as fr
 from .sql import sql
 
@@ -89,8 +90,8 @@ query("sliding_blocks", "SELECT entity, ts, round(s, 6) AS total, n, round(r, 6)
     lambda s, d: indicators.windows(fr.rets(s, d), ["r", "close"], "r", 10).select("entity", "ts", F.aggregate(F.flatten("block"), F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("block").cast("long").alias("n"), "y")
 )
 _EMA = "SELECT a.entity, a.ts, a.i, sum(CASE WHEN b.i = {first} THEN 1.0 ELSE {alpha} END * pow(1 - {alpha}, a.i - b.i) * b.{x}) AS {x} FROM {t} a JOIN {t} b ON a.entity = b.entity AND b.i <= a.i GROUP BY ALL"
-query("ema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel) SELECT entity, ts, round(x, 6) AS ema_12 FROM (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + ")", digits=8)(lambda s, d: indicators.recursive_means(fr.panel(s, d)).select("entity", "ts", "ema_12"))
-query("tema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel), e1 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + "), e2 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e1") + "), e3 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e2") + ") SELECT entity, e1.ts, round(3 * e1.x - 3 * e2.x + e3.x, 6) AS tema_12 FROM e1 JOIN e2 USING (entity, i) JOIN e3 USING (entity, i)", digits=8)(
+query("ema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel) SELECT entity, ts, round(x, 6) AS ema_12 FROM (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + ")", digits=7)(lambda s, d: indicators.recursive_means(fr.panel(s, d)).select("entity", "ts", "ema_12"))
+query("tema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel), e1 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + "), e2 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e1") + "), e3 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e2") + ") SELECT entity, e1.ts, round(3 * e1.x - 3 * e2.x + e3.x, 6) AS tema_12 FROM e1 JOIN e2 USING (entity, i) JOIN e3 USING (entity, i)", digits=7)(
     lambda s, d: indicators.recursive_means(fr.panel(s, d)).select("entity", "ts", "tema_12")
 )
 query("rsi", "WITH p AS (SELECT entity, ts, greatest(g, 0) AS u, greatest(-g, 0) AS v, row_number() OVER (PARTITION BY entity ORDER BY ts) - 1 AS i FROM (SELECT entity, ts, close - lag(close) OVER (PARTITION BY entity ORDER BY ts) AS g FROM panel)), q AS (SELECT * FROM p WHERE i > 0), a AS (" + _EMA.format(first=1, alpha="(1 / 14)", x="u", t="q") + "), b AS (" + _EMA.format(first=1, alpha="(1 / 14)", x="v", t="q") + ") SELECT p.entity, p.ts, CASE WHEN p.i >= 14 THEN round(100 - 100 / (1 + a.u / b.v), 6) END AS rsi_14 FROM p LEFT JOIN a USING (entity, i) LEFT JOIN b USING (entity, i)")(
@@ -154,7 +155,7 @@ query("correlation_table", "SELECT 'close' AS a, 'r' AS b, round(corr(close, r),
 
 # Forecasts, positions, backtests
 query("ar1_forecast", 'SELECT fold_id, "interval", off, round(mu, 6) AS mu, round(vol, 6) AS vol FROM forecasts')(lambda s, d: fr.forecasts(s, d).select("fold_id", "interval", "off", "mu", "vol"))
-query("zscore_position", 'SELECT fold_id, "interval", thr, off, round(pos, 6) AS pos FROM placed WHERE fold_id % 10 = fold_id % 10')(lambda s, d: backtest.positions(fr.forecasts(s, d), fr.THRESHOLDS).select("fold_id", "interval", "thr", "off", "pos"))
+query("zscore_position", 'SELECT fold_id, "interval", thr, off, round(pos, 6) AS pos FROM placed')(lambda s, d: backtest.positions(fr.forecasts(s, d), fr.THRESHOLDS).select("fold_id", "interval", "thr", "off", "pos"))
 query("net_return", 'SELECT fold_id, "interval", thr, off, round(turnover, 6) AS turnover, round(net, 6) + 0 AS net FROM trace')(lambda s, d: fr.trace(s, d).select("fold_id", "interval", "thr", "off", "turnover", "net"))
 query("backtest_summary", 'SELECT fold_id, entity, "interval", thr, ' + ", ".join(f"round({c}, 6) AS {c}" for c in ("sharpe", "mdd", "ann_return", "ann_vol", "turnover", "round_turns")) + ", n_points, rebalances FROM tests")(lambda s, d: backtest.backtests(fr.trace(s, d)))
 query("penalised_objectives", 'SELECT fold_id, "interval", thr, round(penalty, 6) AS penalty, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM evals', digits=7)(lambda s, d: fr.evals(s, d).select("fold_id", "interval", "thr", "penalty", "f0", "f1"))
@@ -217,3 +218,95 @@ query("resume_anti_join", 'SELECT fold_id, "interval", thr FROM evals EXCEPT SEL
 query("top_n_per_entity", "SELECT entity, fold_id, rank::INT AS rank, round(rmse, 6) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(rmse, 8), fold_id) AS rank FROM (SELECT fold_id, entity, sqrt(avg((r - drift) * (r - drift))) AS rmse FROM fold_rows JOIN (SELECT fold_id, avg(r) AS drift FROM fold_rows WHERE split = 'train' GROUP BY fold_id) USING (fold_id) WHERE split = 'val' GROUP BY ALL)) WHERE rank <= 5")(
     lambda s, d: indicators.top_n(folds.random_walk_rmse(fr.fold_rows(s, d)), 5, ["entity"], [F.round("rmse", 8), F.col("fold_id")]).select("entity", "fold_id", "rank", "rmse")
 )
+
+
+# Scaling, similarity, selection
+query("minmax_scale", "SELECT entity, ts, round((close - lo) / (hi - lo), 6) AS close FROM rets, (SELECT min(close) AS lo, max(close) AS hi FROM rets)")(lambda s, d: (lambda x: select.scale(x, x, [], ["close"]))(fr.rets(s, d).select("entity", "ts", "close")))
+query("hybrid_scale", """SELECT fold_id, off, round((r - m) / sd, 6) AS r, round((close - lo) / (hi - lo), 6) AS close FROM fold_rows, (SELECT avg(r) AS m, stddev_pop(r) AS sd, min(close) AS lo, max(close) AS hi FROM fold_rows WHERE split = 'train')""")(
+    lambda s, d: (lambda x: select.scale(x, x.where("split = 'train'"), ["r"], ["close"]).select("fold_id", "off", "r", "close"))(fr.fold_rows(s, d).select("fold_id", "off", "split", "r", "close"))
+)
+query("cosine_pairs", "SELECT i, j, round(sim, 6) AS sim, same_entity FROM pairs")(lambda s, d: select.similar_pairs(fr.meta(s, d)).select("i", "j", "sim", "same_entity"))
+query("penalised_pairs", "SELECT i, j, round(overlap, 6) AS overlap, round(dissim, 6) AS dissim FROM penalised")(lambda s, d: select.similar_pairs(fr.meta(s, d)).select("i", "j", "overlap", "dissim"))
+
+
+def _chosen(s: SparkSession, d: str, k: int = 4) -> tuple[DataFrame, DataFrame]:
+    meta = files.stored(fr.meta(s, d), "meta")
+    pairs = files.stored(select.similar_pairs(meta), "pairs")
+    return pairs, select.representatives(pairs, meta, k)
+
+
+query("representative_folds")(lambda s, d: _chosen(s, d)[1])
+query("coverage_stats")(lambda s, d: select.coverage_stats(*_chosen(s, d)))
+query("best_swap")(lambda s, d: select.best_swap(*_chosen(s, d)))
+query("coverage_elbow")(lambda s, d: select.elbow(_chosen(s, d)[1], 0.2))
+_WIDE = ["open", "high", "low", "close", "volume", "r"]
+query("pca_components")(lambda s, d: (lambda x: select.principal(select.scale(x, x, _WIDE), _WIDE)[0])(fr.rets(s, d).select("entity", "ts", *_WIDE)))
+query("pca_loadings")(lambda s, d: (lambda x: select.loadings(_WIDE, select.principal(select.scale(x, x, _WIDE), _WIDE)[2], s, 3))(fr.rets(s, d).select("entity", "ts", *_WIDE)))
+query("parameter_neighbours", "SELECT DISTINCT fold_id, least(greatest(p + a, 1), 7)::INT AS p, least(greatest(q + b, 1), 7)::INT AS q FROM (SELECT fold_id, (fold_id % 7 + 1)::INT AS p, (fold_id % 5 + 1)::INT AS q FROM folds), (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)")(
+    lambda s, d: backtest.parameter_grid(s, fr.fold_table(s, d).select("fold_id", (F.col("fold_id") % 7 + 1).cast("int").alias("p"), (F.col("fold_id") % 5 + 1).cast("int").alias("q")))
+)
+
+# Files and streams
+
+
+def _csv(s: SparkSession, d: str) -> DataFrame:
+    files.write_bars(panels.bars(s, d), path := files.folder(s, "bars"))
+    return files.read_bars(s, path)
+
+
+def _json_folds(s: SparkSession, d: str) -> DataFrame:
+    record = F.struct("fold_id", "entity", F.date_format("val_start", "yyyy-MM-dd").alias("val_start"))
+    listed = fr.fold_table(s, d).groupBy("entity").agg(F.collect_list(record).alias("folds"))
+    value = F.when(F.col("entity").startswith("A"), F.to_json(F.struct(F.col("folds").alias("arima")))).otherwise(F.to_json("folds"))
+    listed.select(value.alias("value")).write.text(path := files.folder(s, "folds"))
+    return files.read_folds(s, path, "struct<fold_id:bigint,entity:string,val_start:string>")
+
+
+def _log(s: SparkSession, d: str) -> DataFrame:
+    by = fr.fold_table(s, d).groupBy("entity").agg(F.count("*").alias("k"), F.round(F.avg("val_vol"), 4).alias("v"))
+    by.select(F.concat(F.lit("INFO k="), "k", F.lit(" cov_mean="), F.col("v").cast("string"), F.lit(" diversity_mean=0.5 selected="), "entity").alias("value")).union(by.select(F.concat(F.lit("DEBUG skipped "), "entity"))).write.text(path := files.folder(s, "log"))
+    return files.scan_log(s, path)
+
+
+def _ragged(s: SparkSession, d: str) -> DataFrame:
+    nation = s.read.parquet(f"{d}/nation.parquet")
+    good = F.concat_ws(",", F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string"), F.lit("1.5"))
+    nation.select(F.when(F.col("n_nationkey") % 6 == 5, F.concat(good, F.lit(","), good)).otherwise(good)).write.text(path := files.folder(s, "ragged"))
+    fit, bad = files.read_ragged(s, path, "a long, b long, c double")
+    return fit.select(F.lit("fit").alias("kind"), F.col("a").cast("string").alias("line")).unionByName(bad.select(F.lit("bad").alias("kind"), F.col("_corrupt_record").alias("line")))
+
+
+def _appended(s: SparkSession, d: str) -> DataFrame:
+    tests, path = fr.fold_table(s, d).select("fold_id", "entity"), files.folder(s, "results")
+    files.append_new(tests.where("entity < 'N'"), path, ["fold_id"])
+    return files.append_new(tests, path, ["fold_id"])
+
+
+query("csv_round_trip", BARS + "bars", exact=True)(_csv)
+query("json_fold_summaries", "SELECT fold_id, entity, strftime(val_start, '%Y-%m-%d') AS val_start FROM folds")(_json_folds)
+query("log_scan", "SELECT count(*)::INT AS k, round(avg(val_vol), 4) AS coverage, 0.5::DOUBLE AS diversity FROM folds GROUP BY entity")(_log)
+query("ragged_csv", "SELECT CASE WHEN n_nationkey % 6 = 5 THEN 'bad' ELSE 'fit' END AS kind, CASE WHEN n_nationkey % 6 = 5 THEN concat_ws(',', n_nationkey, n_regionkey, '1.5', n_nationkey, n_regionkey, '1.5') ELSE n_nationkey::VARCHAR END AS line FROM nation")(_ragged)
+query("append_resume", "SELECT fold_id, entity FROM folds")(_appended)
+query("dict_text", "SELECT event_id, (event_id % 7)::INT AS p, (event_id % 3)::INT AS q FROM events")(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", files.dict_text(F.concat(F.lit("{'p': "), F.col("event_id") % 7, F.lit(", 'd': None, 'q': "), F.col("event_id") % 3, F.lit("}")), "struct<p:int,d:int,q:int>").alias("x")).select("event_id", "x.p", "x.q")
+)
+query("champion_fallbacks", "SELECT event_id, (event_id % 7)::INT AS p, 2 AS q, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 1 END AS layers FROM events")(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", *files.champion(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"champion": {"p": '), F.col("event_id") % 7, F.lit(', "q": 2}, "num_layers": 3}'))).otherwise(F.concat(F.lit('{"best_params": {"p": '), F.col("event_id") % 7, F.lit(', "q": 2}}')))))
+)
+query("source_tags", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'GA+BO' WHEN 1 THEN 'GA' WHEN 2 THEN 'GA+BO' ELSE 'RS' END AS source FROM events")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", files.source_tag(F.element_at(F.array(F.lit("knee_union"), F.lit("GA_knee"), F.lit("GA-BO"), F.lit("RS")), (F.col("event_id") % 4 + 1).cast("int"))).alias("source")))
+query("interval_text", "SELECT event_id, [10, 20, 42][(event_id % 3 + 1)::INT] AS \"interval\" FROM events")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", files.interval_of(F.element_at(F.array(F.lit("10"), F.lit("20 RS"), F.lit("every 42")), (F.col("event_id") % 3 + 1).cast("int"))).alias("interval")))
+query("column_aliases", "SELECT event_id::DOUBLE AS fold_id, event_type AS entity, value AS sharpe FROM events", exact=True)(lambda s, d: files.known_columns(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias(" Fold"), F.col("event_type").alias("Ticker"), F.col("value").alias("Test_Sharpe"), "props"), ["fold_id", "entity", "sharpe"]))
+
+
+def _stream_bars(s: SparkSession, d: str) -> DataFrame:
+    """All hours that the watermark has closed."""
+    return streams.run_once(streams.hourly_bars(streams.event_stream(s, d)), files.folder(s, "stream"), files.folder(s, "stream-state"))
+
+
+def _stream_signals(s: SparkSession, d: str) -> DataFrame:
+    changes = streams.event_stream(s, d).select(F.col("event_type").alias("entity"), "ts", (F.col("value") > 50).alias("up"), (F.col("value") < 50).alias("down"))
+    return streams.run_once(streams.signals(changes), files.folder(s, "stream"), files.folder(s, "stream-state"))
+
+
+query("stream_hourly_bars", exact=True)(_stream_bars)
+query("stream_signals")(_stream_signals)

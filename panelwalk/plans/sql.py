@@ -28,7 +28,7 @@ FROM aligned WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDI
 FROM numbered t JOIN (SELECT entity, before, unnest(range(0, n)) AS k FROM fold_counts) f ON t.entity = f.entity AND t.i BETWEEN 21 * k AND 21 * k + 293""",
     "folds": """SELECT fold_id, entity, min(ts) FILTER (split = 'train') AS train_start, max(ts) FILTER (split = 'train') AS train_end, min(ts) FILTER (split = 'val') AS val_start,
   max(ts) FILTER (split = 'val') AS val_end, avg(target) FILTER (split = 'val') AS val_pos_ratio, stddev_samp(r) FILTER (split = 'val') AS val_vol FROM fold_rows GROUP BY ALL""",
-    "qc": "SELECT fold_id, entity, round(val_pos_ratio, 9) AS ratio, CASE WHEN fold_id % 37 <> 0 THEN round(val_vol, 9) END AS vol FROM folds",
+    "qc": "SELECT fold_id, entity, round(val_pos_ratio, 9) AS ratio, round(val_vol, 9) AS vol FROM folds",
     "limits": """SELECT entity, CASE WHEN count(*) >= 20 THEN greatest(quantile_cont(ratio, 0.1) - 0.02, 0.05) ELSE 0.05 END AS low,
   CASE WHEN count(*) >= 20 THEN least(quantile_cont(ratio, 0.9) + 0.02, 0.95) ELSE 0.95 END AS high, CASE WHEN count(*) >= 20 THEN greatest(quantile_cont(vol, 0.1), 0.001) ELSE 0.001 END AS least_vol FROM qc GROUP BY entity""",
     "ruled": """SELECT q.*, low, high, least_vol, ratio BETWEEN low AND high AND coalesce(vol, '-inf'::DOUBLE) >= least_vol AS rule_ok,
@@ -70,13 +70,13 @@ ON v.fold_id = h.fold_id AND v.interval_ = h.interval_ AND v.block = h.block""",
   avg((regime = 'bull')::INT) AS bull_ratio, avg((regime = 'bear')::INT) AS bear_ratio, avg((regime = 'sideways')::INT) AS sideways_ratio, min(ts) AS date_min, max(ts) AS date_max, list_sort(list(ts)) AS date_list
 FROM (SELECT *, max(close) OVER w AS peak, row_number() OVER w AS x, lag(r, 1) OVER w AS l1, lag(r, 5) OVER w AS l5, lag(r, 21) OVER w AS l21 FROM fold_rows WHERE split = 'val' WINDOW w AS (PARTITION BY fold_id ORDER BY off)) GROUP BY ALL""",
     "traits": """SELECT fold_id, entity, f AS feature, coalesce((v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0), 0) AS z FROM (
-  UNPIVOT (SELECT fold_id, entity, volatility, downside_volatility, max_drawdown, skewness, kurtosis, trend_strength, acf_lag_1, acf_lag_5, acf_lag_21 FROM meta WHERE fold_id % 5 = 0) ON COLUMNS(* EXCLUDE (fold_id, entity)) INTO NAME f VALUE v) WINDOW w AS (PARTITION BY f)""",
+  UNPIVOT (SELECT fold_id, entity, volatility, downside_volatility, max_drawdown, skewness, kurtosis, trend_strength, acf_lag_1, acf_lag_5, acf_lag_21 FROM meta) ON COLUMNS(* EXCLUDE (fold_id, entity)) INTO NAME f VALUE v) WINDOW w AS (PARTITION BY f)""",
     "norms": "SELECT fold_id, entity, sqrt(sum(z * z)) AS norm FROM traits GROUP BY ALL",
     "pairs": """SELECT a.fold_id AS i, b.fold_id AS j, greatest(least(sum(a.z * b.z) / any_value(p.norm) / any_value(q.norm), 1), 0) AS sim, any_value(a.entity = b.entity) AS same_entity
 FROM traits a JOIN traits b ON a.feature = b.feature AND a.fold_id < b.fold_id JOIN norms p ON p.fold_id = a.fold_id JOIN norms q ON q.fold_id = b.fold_id GROUP BY ALL""",
-    "days": "SELECT fold_id, unnest(date_list) AS d FROM meta WHERE fold_id % 5 = 0",
-    "overlaps": "SELECT a.fold_id AS i, b.fold_id AS j, count(*) AS c FROM days a JOIN days b ON a.d = b.d AND a.fold_id < b.fold_id GROUP BY ALL",
-    "penalised": """SELECT i, j, sim, coalesce(c / (84 - c), 0) AS overlap, same_entity, 1 - least(greatest(sim - 0.9 * coalesce(c / (84 - c), 0) - 0.25 * same_entity::INT, 0), 1) AS dissim FROM pairs LEFT JOIN overlaps USING (i, j)""",
+    "days": "SELECT fold_id, unnest(date_list) AS d FROM meta",
+    "day_overlaps": "SELECT a.fold_id AS i, b.fold_id AS j, count(*) AS c FROM days a JOIN days b ON a.d = b.d AND a.fold_id < b.fold_id GROUP BY ALL",
+    "penalised": """SELECT i, j, sim, coalesce(c / (84 - c), 0) AS overlap, same_entity, 1 - least(greatest(sim - 0.9 * coalesce(c / (84 - c), 0) - 0.25 * same_entity::INT, 0), 1) AS dissim FROM pairs LEFT JOIN day_overlaps USING (i, j)""",
 }
 
 
