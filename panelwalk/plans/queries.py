@@ -49,7 +49,7 @@ query("drop_gaps", BARS + "panel", exact=True)(lambda s, d: fr.panel(s, d).selec
 query("dedup_first", "SELECT l_returnflag, ts, l_orderkey, l_linenumber, l_extendedprice AS price FROM (SELECT *, l_shipdate::DATE AS ts FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_returnflag, ts ORDER BY l_orderkey, l_linenumber, l_extendedprice) = 1", exact=True)(
     lambda s, d: clean.first_of_each(s.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", F.to_date("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price")), ["l_returnflag", "ts"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("price")])
 )
-query("outlier_replace", "SELECT entity, ts, " + ", ".join(f"round(CASE WHEN {c} > avg({c}) OVER w + 2 * stddev_samp({c}) OVER w OR {c} < avg({c}) OVER w - 2 * stddev_samp({c}) OVER w OR {c} < 1 THEN avg({c}) OVER w ELSE {c} END, 6) AS {c}" for c in ("close", "volume")) + " FROM panel WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS 29 PRECEDING)", digits=8)(
+query("outlier_replace", "SELECT entity, ts, " + ", ".join(f"round(CASE WHEN {c} > avg({c}) OVER w + 2 * stddev_samp({c}) OVER w OR {c} < avg({c}) OVER w - 2 * stddev_samp({c}) OVER w OR {c} < 1 THEN avg({c}) OVER w ELSE {c} END, 6) AS {c}" for c in ("close", "volume")) + " FROM panel WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS 29 PRECEDING)", digits=7)(
     lambda s, d: clean.replace_outliers(fr.panel(s, d).select("entity", "ts", "close", "volume"), ["close", "volume"], k_sigma=2.0)
 )
 query("log_return", "SELECT entity, ts, round(r, 6) AS r FROM rets")(lambda s, d: fr.rets(s, d).select("entity", "ts", "r"))
@@ -154,7 +154,7 @@ query("histogram", "SELECT least(floor((r - lo) / ((hi - lo) / 60)), 59)::INT AS
 query("correlation_table", "SELECT 'close' AS a, 'r' AS b, round(corr(close, r), 6) AS corr FROM rets UNION ALL SELECT 'close', 'volume', round(corr(close, volume), 6) FROM rets UNION ALL SELECT 'r', 'volume', round(corr(r, volume), 6) FROM rets")(lambda s, d: stats.correlations(fr.rets(s, d), ["close", "r", "volume"]))
 
 # Forecasts, positions, backtests
-query("ar1_forecast", 'SELECT fold_id, "interval", off, round(mu, 6) AS mu, round(vol, 6) AS vol FROM forecasts')(lambda s, d: fr.forecasts(s, d).select("fold_id", "interval", "off", "mu", "vol"))
+query("ar1_forecast", 'SELECT fold_id, "interval", off, round(mu, 6) + 0 AS mu, round(vol, 6) AS vol FROM forecasts')(lambda s, d: fr.forecasts(s, d).select("fold_id", "interval", "off", "mu", "vol"))
 query("zscore_position", 'SELECT fold_id, "interval", thr, off, round(pos, 6) AS pos FROM placed')(lambda s, d: backtest.positions(fr.forecasts(s, d), fr.THRESHOLDS).select("fold_id", "interval", "thr", "off", "pos"))
 query("net_return", 'SELECT fold_id, "interval", thr, off, round(turnover, 6) AS turnover, round(net, 6) + 0 AS net FROM trace')(lambda s, d: fr.trace(s, d).select("fold_id", "interval", "thr", "off", "turnover", "net"))
 query("backtest_summary", 'SELECT fold_id, entity, "interval", thr, ' + ", ".join(f"round({c}, 6) AS {c}" for c in ("sharpe", "mdd", "ann_return", "ann_vol", "turnover", "round_turns")) + ", n_points, rebalances FROM tests")(lambda s, d: backtest.backtests(fr.trace(s, d)))
