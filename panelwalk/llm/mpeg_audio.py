@@ -178,16 +178,34 @@ def media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_bytes long, media binary")
 
 
+NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "frame_offsets"]
+DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double, frame_offsets array<long>"
+
+
+def _described(doc_ids: pa.Array, n_bytes: pa.Array, raws: list[bytes]) -> pa.RecordBatch:
+    read = [read_mpeg(r) for r in raws]
+    loads = [x["payload"] for x in read]
+    columns = [doc_ids, n_bytes, pa.array(map(len, loads), pa.int64()), pa.array((hashlib.sha256(p).hexdigest() for p in loads), pa.string()), pa.array((zlib.crc32(p[-32:]) for p in loads), pa.int64()), pa.array(map(len, raws), pa.int64()), pa.array((hashlib.sha256(r).hexdigest() for r in raws), pa.string()), pa.array(map(feature, read), pa.string()), pa.array((x["samples"] / x["rate"] if x["rate"] else 0.0 for x in read), pa.float64()), pa.array((x["places"] for x in read), pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, NAMES)
+
+
 def described(streams: DataFrame) -> DataFrame:
     """What the bytes of the media column hold, read back from them."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "frame_offsets"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
-            raws = batch.column(2).to_pylist()
-            read = [read_mpeg(r) for r in raws]
-            loads = [x["payload"] for x in read]
-            columns = [batch.column(0), batch.column(1), pa.array(map(len, loads), pa.int64()), pa.array((hashlib.sha256(p).hexdigest() for p in loads), pa.string()), pa.array((zlib.crc32(p[-32:]) for p in loads), pa.int64()), pa.array(map(len, raws), pa.int64()), pa.array((hashlib.sha256(r).hexdigest() for r in raws), pa.string()), pa.array(map(feature, read), pa.string()), pa.array((x["samples"] / x["rate"] if x["rate"] else 0.0 for x in read), pa.float64()), pa.array((x["places"] for x in read), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield _described(batch.column(0), batch.column(1), batch.column(2).to_pylist())
+
+    return streams.select("doc_id", "n_bytes", "media").mapInArrow(work, DESCRIBED)
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """described() of media() in one pass of the tasks: each stream is read where it was made."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data, offsets = utf8(batch.column(1))
+            raw, at = data.tobytes(), offsets.tolist()
+            yield _described(batch.column(0), pa.array(np.diff(offsets)), [to_mpeg(padded(raw[a:b])) for a, b in zip(at, at[1:], strict=False)])
 
-    return streams.select("doc_id", "n_bytes", "media").mapInArrow(work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double, frame_offsets array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, DESCRIBED)
