@@ -4,11 +4,11 @@ Two sets can only be as alike as SHARE / 100 if they share one of the first n -
 n-grams of each, in any common order; so only these columns of the matrix are multiplied. Spark deals the
 columns to blocks by n-gram; products are summed by pair and pairs below the bound that their sizes give
 are discarded before the texts are compared. The order puts long n-grams, which are rare, first and those
-last that came up often in some task of a counting pass over all documents.
+last that several sets of one task held in a counting pass over all documents.
 
 Equal sets are one node from the start. A column of many nodes is multiplied in two steps, for a group of g
-near copies would give g * g products: first each node with the least node of its column only; what that
-links becomes one component. Then pairs of nodes of different components, in the columns that still
+near copies would give g * g products: first each node with the least node of its column only; pairs that
+reach the bound in such columns alone are compared, and what that links becomes one component. Then pairs of nodes of different components, in the columns that still
 hold several. Pairs of one component are never formed: they cannot change it.
 
 Defined results: a null or empty text has no n-grams and is linked with nothing; a text of fewer than three
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from .components import components
 from .text import LOWER, Ranges, identified, kept, mix, signed, slices, utf8, word_bounds, word_hashes
 
-#: n-grams that a task meets so often are reported, and the most frequent OFTEN go to the end of the order.
-LOCAL_COUNT = 4
-OFTEN = 100_000
+#: n-grams that several sets of a task hold among the first ZONE percent of their order are reported, and
+#: the most frequent OFTEN go to the end of the order.
+ZONE = 25
+OFTEN = 500_000
 #: Bytes of text after which a counting task reports.
 COUNT_BYTES = 16 << 20
 
@@ -66,21 +67,22 @@ def _often(docs: DataFrame, n: int) -> np.ndarray:
     """Sorted hashes of frequent n-grams, at most OFTEN: they settle the order only, never the result."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, size = [], 0
+        sets, size = {}, 0
 
         def report() -> pa.RecordBatch:
-            hashes, counts = np.unique(np.concatenate(grams), return_counts=True)
-            keep = counts >= LOCAL_COUNT
-            return pa.RecordBatch.from_arrays([pa.array(signed(hashes[keep])), pa.array(counts[keep])], ["gram", "n"])
+            hashes, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(signed(hashes[counts > 1])), pa.array(counts[counts > 1])], ["gram", "n"])
 
         for batch in slices(batches):
             data, offsets = utf8(batch.column(0))
-            grams += [h for h, _ in gram_sets(data, offsets, n)]
+            for hashes, spans in gram_sets(data, offsets, n):
+                if len(hashes):
+                    sets[_node(hashes)] = hashes[np.lexsort((hashes, -spans))[: -(-len(hashes) * ZONE // 100)]]
             size += len(data)
-            if size >= COUNT_BYTES:
+            if size >= COUNT_BYTES and sets:
                 yield report()
-                grams, size = [], 0
-        if grams:
+                sets, size = {}, 0
+        if sets:
             yield report()
 
     top = docs.select("text").mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(OFTEN)
@@ -136,7 +138,7 @@ def links(docs: DataFrame, n: int = 3, share: int = 90) -> DataFrame:
     rows = kept(_columns(own, n, share, _often(own, n)), "columns")
     entries = rows.select("node", "size", F.explode("grams").alias("gram"))
     shared = entries.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("gram", "pivot")
-    entries = kept(entries.join(shared, "gram"), "entries")
+    entries = kept(entries.join(shared, "gram").distinct(), "entries")
 
     chosen = entries.select("node").distinct().join(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at")), "node")
     k = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k")
@@ -149,19 +151,21 @@ def links(docs: DataFrame, n: int = 3, share: int = 90) -> DataFrame:
     near = (100 * F.least(size("_a"), size("_b")) >= share * F.greatest(size("_a"), size("_b")))
     sizes = rows.where("node is not null").groupBy("node").agg(F.first("size").alias("size"))
 
-    stars = entries.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("size").alias("size_b")).distinct()
-    stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").where(near).select("a", "b")
+    # What the prefixes share and what lies behind the one that ends first must reach the least overlap.
+    behind = F.floor((share * F.greatest("size_a", "size_b") + 99) / 100) - 1
+    least = F.ceil(F.lit(share) * (F.col("size_a") + F.col("size_b")) / (100 + share))
+    bound = near & (F.col("shared") + behind >= least)
+    # Near copies share most columns, and with them the pivot; what fails here is left to the second step.
+    stars = entries.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("size").alias("size_b")).agg(F.count("*").alias("shared"))
+    stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").where(bound).select("a", "b")
     found = kept(_verified(stars, texts, n, share).unionByName(same_id), "links")
     first = components(found)
 
     labelled = entries.join(first, "node", "left").select("gram", "node", "size", F.coalesce("least", "node").alias("part"))
     mixed = labelled.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gram")
-    left = labelled.distinct().join(mixed, "gram", "left_semi")
+    left = labelled.join(mixed, "gram", "left_semi")
     pairs = left.select("gram", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("part").alias("part_a")).join(left.select("gram", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b")), "gram").where(near & (F.col("part_a") < F.col("part_b")))
-    # What the prefixes share and what lies behind the one that ends first must reach the least overlap.
-    behind = F.floor((share * F.greatest("size_a", "size_b") + 99) / 100) - 1
-    least = F.ceil(F.lit(share) * (F.col("size_a") + F.col("size_b")) / (100 + share))
-    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared")).where(F.col("shared") + behind >= least).select("a", "b")
+    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared")).where(bound).select("a", "b")
     more = _verified(pairs, texts, n, share)
     found = components(found.unionByName(more))
 
