@@ -86,7 +86,7 @@ def _often(docs: DataFrame, n: int) -> np.ndarray:
             yield report()
 
     top = docs.select("text").mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(OFTEN)
-    return np.sort(np.array([r.gram for r in top.select("gram").collect()], np.int64).view(np.uint64))
+    return np.sort(top.select("gram").toArrow()["gram"].to_numpy().view(np.uint64))
 
 
 def _columns(docs: DataFrame, n: int, share: int, often: np.ndarray) -> DataFrame:
