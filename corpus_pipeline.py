@@ -13,6 +13,9 @@ from panelwalk.llm import bpe_codec, decontaminate, jaccard_join, substring_dedu
 from panelwalk.llm.queries import WORD_BPE
 from panelwalk.llm.text import documents, kept
 
+#: Near copies share this percentage of their n-grams of so many words.
+NEAR_WORDS, NEAR_SHARE = 5, 80
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity reaches the threshold."""
@@ -21,8 +24,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group of linked documents."""
-    return jaccard_join.representatives(docs)
+    """Keeps the document of least doc_id of each group of linked documents: near copies are those that share
+    80 percent of their five-word n-grams (op8's query has a bound of its own)."""
+    return jaccard_join.representatives(docs, n=NEAR_WORDS, share=NEAR_SHARE)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ near copies would give g * g products: first each node with the least node of it
 reach the bound in such columns alone are compared, and what that links becomes one component. Then pairs of nodes of different components, in the columns that still
 hold several. Pairs of one component are never formed: they cannot change it.
 
-Defined results: a null or empty text has no n-grams and is linked with nothing; a text of fewer than three
+Defined results: a null or empty text has no n-grams and is linked with nothing; a text of fewer than n
 words is one n-gram; rows that repeat are equal sets; a doc_id with several texts belongs to all their
 components, which it joins; a null doc_id gets a null component; an empty table gives none; other columns
 are ignored by links() and kept by representatives().

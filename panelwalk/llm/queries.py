@@ -51,7 +51,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.links(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.links(documents(spark, sf_dir), n=3, share=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

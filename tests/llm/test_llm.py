@@ -283,3 +283,38 @@ def test_pipeline_stages(spark, sf):
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_drops_copies_of_five_word_jaccard_at_least_80_percent(spark):
+    import corpus_pipeline
+
+    random.seed(11)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(100)]
+        texts.append(base)
+        for _ in range(3):
+            w = list(base)
+            for p in random.sample(range(8, 92), random.randint(1, 4)):
+                w[p] = f"new{random.randint(0, 10**9)}"
+            texts.append(w)
+    # 100 words, two of them apart replaced: 86 / 106 of five words, 92 / 104 of three.
+    pair = [f"p{i}" for i in range(100)]
+    texts += [pair, [*pair[:30], "x", *pair[31:70], "y", *pair[71:]]]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    assert len(sets[-1] & sets[-2]) == 86 and len(sets[-1] | sets[-2]) == 106
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["jaccard_join"]
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == {find(i) for i in range(len(sets))}
