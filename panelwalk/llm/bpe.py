@@ -11,6 +11,7 @@ import functools
 import json
 import re
 import unicodedata
+from typing import NamedTuple
 
 import numpy as np
 import regex
@@ -22,6 +23,8 @@ from .text import SPACE, word_hashes
 NEVER = np.int64(1) << 40
 #: Most units that a worker remembers; it starts anew beyond that.
 MEMORY = 1 << 20
+#: Most units that are cut and merged together.
+PART = 1 << 18
 #: Scripts whose letters, digits and spaces all Unicode versions class alike; a text with others is cut
 #: by the library's own rules.
 SETTLED = re.compile("[\x00-ԯ‐-‧‰-⁞　-〿ぁ-ゖ゠-ヿ一-龥가-힣！-～]*")
@@ -152,6 +155,17 @@ class Table:
         return numbers
 
 
+class Units(NamedTuple):
+    """Units of a batch: ids[start : start + count] of its entry is what a unit came to."""
+
+    entries: np.ndarray
+    ids: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    at: np.ndarray  # offsets by text
+    whole: np.ndarray  # texts that are cut as a whole
+
+
 class Encoder:
     """Encodes batches of texts and remembers what their units came to.
 
@@ -176,8 +190,8 @@ class Encoder:
         stops = np.cumsum(np.r_[0, np.diff(offsets)[use]])
         return gathered(ids, offsets[use], np.diff(stops)), stops[np.cumsum([0, *map(len, parts)])]
 
-    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entries of the units of all texts, their offsets by text, and which texts are cut as a whole."""
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> Units:
+        """The units of all texts, and which texts are cut as a whole."""
         blank = data == 0x20
         odd = data >= 0xD5
         odd[1:] |= blank[1:] & SPACE[data[:-1]] | (data[1:] == 0x7C) & (data[:-1] == 0x3C)
@@ -196,22 +210,47 @@ class Encoder:
         hashes = word_hashes(data, starts, ends) | np.uint64(1)
         if self.table.size + len(hashes) > MEMORY and self.table.size > MEMORY // 2:
             self.forget()
+        found, ids, start, count = self.looked_up(data, starts, ends, hashes)
+        return Units(found, ids, start, count, np.searchsorted(starts, offsets), np.flatnonzero(whole))
+
+    def looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Entries of the units, and the ids, starts and counts that they refer to. Units that the memory has
+        no room for are encoded in parts and not remembered: their entries follow the memory's."""
         found = self.table.find(hashes)
         new = np.flatnonzero(found < 0)
-        if len(new):
-            fresh, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            if self.table.size + len(fresh) > MEMORY:
-                raise MemoryError("a batch has more different units than the memory holds")
-            raw, at = data.tobytes(), new[first]
-            ids, stops = self.merged([[x.encode() for x in self.v.cut(raw[a:b].decode("utf-8", "replace"))] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            numbers = self.table.add(fresh)
+        if not len(new):
+            return found, self.ids, self.start, self.count
+        fresh, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+        if self.table.size and self.table.size + len(fresh) > MEMORY:
+            self.forget()
+            return self.looked_up(data, starts, ends, hashes)
+        at = new[first]
+        for part in range(0, min(len(fresh), MEMORY), PART):
+            some = slice(part, min(part + PART, MEMORY))
+            ids, stops = self.encoded(data, starts[at[some]], ends[at[some]])
+            numbers = self.table.add(fresh[some])
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
             self.ids[self.used : self.used + len(ids)] = ids
             self.start[numbers], self.count[numbers] = self.used + stops[:-1], np.diff(stops)
             self.used += len(ids)
-            found[new] = numbers[back]
-        return found, np.searchsorted(starts, offsets), np.flatnonzero(whole)
+        if len(fresh) <= MEMORY:
+            found[new] = self.table.find(fresh)[back]
+            return found, self.ids, self.start, self.count
+        # The memory was empty, so its entries are those of the first MEMORY fresh units.
+        found[new] = back
+        more, counts = [self.ids[: self.used]], [self.count[:MEMORY]]
+        for part in range(MEMORY, len(fresh), PART):
+            ids, stops = self.encoded(data, starts[at[part : part + PART]], ends[at[part : part + PART]])
+            more.append(ids.astype(np.int32))
+            counts.append(np.diff(stops))
+        count = np.concatenate(counts)
+        return found, np.concatenate(more), np.cumsum(count) - count, count
+
+    def encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units and their offsets, without a look at the memory."""
+        return self.merged([[x.encode() for x in self.v.cut(data[a:b].tobytes().decode("utf-8", "replace"))] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+
 
     def apart(self, data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> list[np.ndarray]:
         """The ids of the texts that are cut as a whole."""
@@ -226,17 +265,17 @@ class Encoder:
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """How many symbols are left of each text."""
-        units, at, whole = self.units(data, offsets)
-        sums = np.cumsum(np.r_[0, self.count[units]])
-        out = sums[at[1:]] - sums[at[:-1]]
-        out[whole] = [len(x) for x in self.apart(data, offsets, whole)]
+        units = self.units(data, offsets)
+        sums = np.cumsum(np.r_[0, units.count[units.entries]])
+        out = sums[units.at[1:]] - sums[units.at[:-1]]
+        out[units.whole] = [len(x) for x in self.apart(data, offsets, units.whole)]
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and n + 1 offsets."""
-        units, at, whole = self.units(data, offsets)
-        sizes = self.count[units]
-        ids, stops = gathered(self.ids, self.start[units], sizes), np.cumsum(np.r_[0, sizes])[at]
+        units = self.units(data, offsets)
+        sizes, whole = units.count[units.entries], units.whole
+        ids, stops = gathered(units.ids, units.start[units.entries], sizes), np.cumsum(np.r_[0, sizes])[units.at]
         if not len(whole):
             return ids, stops
         each = np.split(ids, stops[1:-1])

@@ -66,6 +66,20 @@ def test_encoders_equal_the_library(rows, name, merge):
         assert encoder.v.decode(e.ids) == library.decode(e.ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_of_more_units_than_the_memory_holds(monkeypatch, name):
+    monkeypatch.setattr(bpe, "MEMORY", 64)
+    monkeypatch.setattr(bpe, "PART", 24)
+    path = public_tokenizers.path(name)
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.vocabulary(path), bpe.merge_in_step)
+    numbers = lambda a, b: " ".join(f"n{i}x{i * i}" for i in range(a, b))
+    for texts in (["a few words"], [numbers(0, 40)], [numbers(20, 75)], [numbers(0, 500)], [numbers(0, 64), "a few words"], [numbers(490, 700) + " " + numbers(0, 70), numbers(650, 660)], ["a few words"]):
+        ids, stops = encoder.encode(*utf8(pa.array(texts)))
+        expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(stops, stops[1:], strict=False)] == expected
+        assert encoder.counts(*utf8(pa.array(texts))).tolist() == list(map(len, expected))
+
+
 def test_token_counts(docs, none, rows):
     library = Tokenizer.from_file(queries.BYTE_BPE)
     expected = []
