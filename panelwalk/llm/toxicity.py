@@ -5,7 +5,8 @@ log-count ratio between toxic and other labelled texts; a logistic regression on
 Of all n-grams the FEATURES with the largest ratios by support are kept.
 
 Labels are learnt from at most SAMPLE labelled documents (the first by hash of doc_id); scoring covers all
-rows and whole texts.
+rows and whole texts. Tasks make the features: the driver gets a count of each bucket by class and, of each
+labelled document, the chosen columns.
 
 Defined results: a null or empty text gets the score of no feature; rows that repeat get equal scores;
 without labels of both classes every score is 0.5; labels of unknown documents and null labels are ignored; other columns
@@ -21,22 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, gram_hashes, slices, utf8
+from .text import LOWER, gram_hashes, kept, slices, utf8
 
 SIZES = (4, 5, 6, 7)
 BUCKETS = 1 << 20
 FEATURES = 2048
-SAMPLE = 4000
+SAMPLE = 6000
 THRESHOLD = 0.5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[int, str, int]]:
-    """Bounded: at most `most` rows (doc_id, text, label) of the training part, one for each doc_id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """At most `most` rows (doc_id, label, text) of the training part, one for each doc_id. The texts are kept in
+    the shared folder and stay off the driver."""
     known = labels.where(F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).collect()
-    return sorted((r.doc_id, r.text, r.label) for r in rows)
+    return kept(texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")), "labelled")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 200) -> tuple[np.ndarray, float]:
@@ -68,33 +69,61 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([t for t, _ in out]), np.concatenate([g for _, g in out]).astype(np.int64)
 
 
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of each class hold each bucket."""
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for batch in slices(batches):
+        text, bucket = features(*utf8(batch.column(2)))
+        pairs = np.unique(text.astype(np.int64) * BUCKETS + bucket)
+        toxic = batch.column(1).to_numpy()[pairs // BUCKETS]
+        for label in (0, 1):
+            counts[label] += np.bincount(pairs[toxic == label] % BUCKETS, minlength=BUCKETS)
+    used = np.flatnonzero(counts.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[1, used]), pa.array(counts[0, used])], ["bucket", "toxic", "other"])
+
+
+def _chosen_columns(sample: DataFrame, column: np.ndarray) -> DataFrame:
+    """doc_id, label and a bit for each chosen bucket: of fixed size whatever the text."""
+    shared, width = sample.sparkSession.sparkContext.broadcast(column.astype(np.int32)), int(column.max()) + 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            text, bucket = features(*utf8(batch.column(2)))
+            at = shared.value[bucket]
+            held = np.zeros((batch.num_rows, width), bool)
+            held[text[at >= 0], at[at >= 0]] = True
+            bits = [r.tobytes() for r in np.packbits(held, axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["doc_id", "label", "held"])
+
+    return sample.mapInArrow(work, "doc_id long, label int, held binary")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.ndarray, float]:
     """A weight for each bucket, and the bias."""
-    rows = labelled_sample(docs, labels, label, SAMPLE)
-    y = np.array([r[2] for r in rows], float)
+    sample = labelled_sample(docs, labels, label, SAMPLE)
+    toxic, other = sample.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     weights = np.zeros(BUCKETS, np.float32)
-    if not len(rows) or y.min() == y.max():
+    if not toxic or not other:
         return weights, 0.0
-    seen = []
-    counts = np.zeros((2, BUCKETS))
-    for _, text, toxic in rows:
-        buckets = np.unique(features(*utf8(pa.array([text])))[1])
-        seen.append(buckets)
-        counts[toxic, buckets] += 1
-    p, q = (counts[1] + 0.5) / (y.sum() + 1), (counts[0] + 0.5) / ((1 - y).sum() + 1)
+    found = sample.mapInArrow(_bucket_counts, "bucket int, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = found.toArrow()  # at most a row for each bucket
+    bucket = counts["bucket"].to_numpy()
+    order = np.argsort(bucket)
+    bucket = bucket[order]
+    p, q = (counts["toxic"].to_numpy()[order] + 0.5) / (toxic + 1), (counts["other"].to_numpy()[order] + 0.5) / (other + 1)
     ratio = np.log(p / q)
     # Large ratios on few texts are chance: a signed root of the divergence between both shares.
     support = np.abs(p - q) * np.abs(ratio)
-    chosen = np.argsort(-support, kind="stable")[:FEATURES]
+    best = np.argsort(-support, kind="stable")[:FEATURES]
+    chosen, ratio = bucket[best], ratio[best]
     column = np.full(BUCKETS, -1)
-    column[chosen] = np.arange(FEATURES)
-    x = np.zeros((len(rows), FEATURES), np.float32)
-    for i, buckets in enumerate(seen):
-        cols = column[buckets]
-        cols = cols[cols >= 0]
-        x[i, cols] = ratio[chosen[cols]]
+    column[chosen] = np.arange(len(chosen))
+    rows = _chosen_columns(sample, column).toArrow().sort_by("doc_id")
+    y = rows["label"].to_numpy().astype(float)
+    bits = np.frombuffer(b"".join(rows["held"].to_pylist()), np.uint8).reshape(len(y), -1)
+    x = np.unpackbits(bits, axis=1, count=len(chosen)) * ratio.astype(np.float32)
     w, bias = fit_logistic(x, y, penalty=0.002)
-    weights[chosen] = w * ratio[chosen]
+    weights[chosen] = w * ratio
     return weights, bias
 
 

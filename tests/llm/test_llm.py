@@ -255,6 +255,32 @@ def test_classifiers_hold_out(spark, sf, docs, none, module, label, least):
     assert {round(r.score, 9) for r in module.score(docs, module.fit(docs, labels.limit(0))).collect()} <= {0.5, 0.3}
 
 
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_labelled_texts_stay_off_the_driver(spark, sf, module, monkeypatch):
+    """The driver gets features only, of 6000 labelled documents; the sample's features are those of each text alone."""
+    assert module.SAMPLE == 6000
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    taken = []
+    for name in ("collect", "toArrow", "toPandas", "first"):
+        monkeypatch.setattr(type(table), name, lambda self, real=getattr(type(table), name): taken.append(self.columns) or real(self))
+    model = module.fit(table, labels)
+    assert taken and not any("text" in columns for columns in taken)
+    assert model is not None and np.any(model[0 if module is toxicity else 2])
+
+
+def test_toxicity_features_are_those_of_each_text_alone(spark):
+    texts = ["kill the thing", "a b", "", "Kill THE thing again and again", "nothing at all " * 40]
+    sample = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "doc_id long, label int, text string")
+    each = [set(toxicity.features(*utf8(pa.array([t])))[1].tolist()) for t in texts]
+    got = sample.mapInArrow(toxicity._bucket_counts, "bucket int, toxic long, other long").groupBy("bucket").agg(F.sum("toxic"), F.sum("other")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {b: (sum(b in e for e in each[1::2]), sum(b in e for e in each[::2])) for b in set().union(*each)}
+    column = np.full(toxicity.BUCKETS, -1)
+    chosen = sorted(each[3])[:11]
+    column[chosen] = np.arange(11)
+    for r in toxicity._chosen_columns(sample, column).collect():
+        assert np.unpackbits(np.frombuffer(r.held, np.uint8), count=11).tolist() == [int(b in each[r.doc_id]) for b in chosen]
+
+
 def test_lm_score(spark, docs, none, rows):
     got = lm_score.score(docs, queries.BYTE_BPE).collect()
     train = [(i, WORD.findall(lower(t))) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
