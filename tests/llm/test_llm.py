@@ -299,6 +299,25 @@ def test_lm_score(spark, docs, none, rows):
     assert lm_score.score(none, queries.BYTE_BPE).collect() == []
 
 
+def test_lm_weights_come_from_all_training_texts(spark, monkeypatch):
+    """1,300 texts, then 60 with ids of their own: these get rows, classes and a better score than by counts alone."""
+    monkeypatch.setattr(lm_score, "STEPS", 160)
+    monkeypatch.setattr(lm_score, "TASK_IDS", 2000)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 300, 12) for _ in range(1300)] + [np.tile(np.arange(300, 308), 3) for _ in range(60)]
+    encoded = spark.createDataFrame([(i, i, bytearray(t.astype("<i4").tobytes())) for i, t in enumerate(texts)], "doc_id long, text_key long, ids binary")
+    totals = np.bincount(np.concatenate(texts), minlength=401).astype(float)
+    totals[-1] = len(texts)
+    model = lm_score.fit(encoded, totals)
+    assert (model.compact[300:308] > 0).all() and ((model.compact > 0) == (totals > 0)).all()
+    assert model.scores(texts[-1], np.array([0, 24]))[0] > np.log(totals[texts[-1]] / totals.sum()).sum() * 0.9
+    pairs = [lm_score._follow(s, lm_score._contexts(totals)) for s in (np.r_[400, t, 400] for t in texts)]
+    got = lm_score._tallied(encoded, lambda ids: np.concatenate([lm_score._follow(s, lm_score._contexts(totals)) for s in lm_score._sequences(ids, 400)]))
+    assert all(np.array_equal(a, b) for a, b in zip(got, np.unique(np.concatenate(pairs), return_counts=True), strict=True))
+    again = lm_score.fit(encoded.orderBy(F.rand(3)).repartition(5), totals)
+    assert np.array_equal(again.own, model.own)
+
+
 def test_lm_windows_score_each_id_once():
     rng = np.random.default_rng(0)
     model = lm_score.train([rng.integers(0, 40, 300) for _ in range(3)], np.ones(41))
