@@ -304,7 +304,7 @@ def _stream_bars(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stream_signals(s: SparkSession, d: str) -> DataFrame:
-    changes = streams.event_stream(s, d).select(F.col("event_type").alias("entity"), "ts", (F.col("value") > 50).alias("up"), (F.col("value") < 50).alias("down"))
+    changes = streams.event_stream(s, d).select(F.col("event_type").alias("entity"), "ts", "event_id", (F.col("value") > 50).alias("up"), (F.col("value") < 50).alias("down"))
     return streams.run_once(streams.signals(changes), files.folder(s, "stream"), files.folder(s, "stream-state"))
 
 

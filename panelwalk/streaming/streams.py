@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,10 @@ from ..operators.backtest import streak_state
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
+#: Rows that are sorted in memory, read at once from each sorted run, and given out together.
+RUN_ROWS, BLOCK_ROWS, OUT_ROWS = 1 << 18, 1024, 10_000
+_ROW = np.dtype([("no_ts", "?"), ("ts", "<i8"), ("no_id", "?"), ("id", "<i8"), ("up", "?"), ("down", "?")])
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file as a stream of files."""
@@ -26,18 +33,60 @@ def hourly_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return bars.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("n")).select("entity", F.col("w.start").alias("ts"), "open", "high", "low", "close", "n")
 
 
+def _in_order(batches: Iterator[pd.DataFrame], file) -> Iterator[tuple]:
+    """(no ts, ts, no event_id, event_id, up, down) of all rows in this order: runs of at most RUN_ROWS are sorted,
+    written to the file and merged, so that memory holds one run and a block of each other."""
+    held, size, runs = [], 0, []
+
+    def write() -> None:
+        rows = np.sort(np.concatenate(held))
+        runs.append((file.seek(0, 2), len(rows)))
+        file.write(rows.tobytes())
+
+    for rows in batches:
+        some = np.zeros(len(rows), _ROW)
+        some["no_ts"], some["no_id"] = rows["ts"].isna(), rows["event_id"].isna()
+        some["ts"] = np.where(some["no_ts"], 0, rows["ts"].to_numpy("datetime64[us]").view(np.int64))
+        some["id"] = rows["event_id"].astype("Int64").fillna(0).to_numpy(np.int64)
+        some["up"], some["down"] = rows["up"].eq(True), rows["down"].eq(True)
+        held.append(some)
+        size += len(some)
+        if size >= RUN_ROWS:
+            write()
+            held, size = [], 0
+    if size:
+        write()
+        held = []
+
+    def read(at: int, n: int) -> Iterator[tuple]:
+        for i in range(0, n, BLOCK_ROWS):
+            file.seek(at + i * _ROW.itemsize)
+            yield from np.frombuffer(file.read(min(BLOCK_ROWS, n - i) * _ROW.itemsize), _ROW).tolist()
+
+    yield from heapq.merge(*(read(*run) for run in runs))
+
+
 def signals(changes: DataFrame, enter_k: int = 2, exit_k: int = 2, hold: int = 3) -> DataFrame:
-    """The streak signal of each entity, with its counters kept from batch to batch. changes: entity, ts, up, down."""
+    """The streak signal of each entity, with its counters kept from batch to batch. changes: entity, ts, event_id,
+    up, down; rows of a batch go by ts and event_id, those without last. A batch's rows of an entity meet in one
+    task, which sorts them on disk."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (0, 0, 0, 0)
-        rows = pd.concat(batches).sort_values("ts")
-        out = []
-        for up, down in zip(rows["up"], rows["down"], strict=True):
-            now = streak_state(bool(up), bool(down), tuple(now), enter_k, exit_k, hold)
-            out.append(now[0])
+        now, out = tuple(state.get) if state.exists else (0, 0, 0, 0), []
+
+        def frame() -> pd.DataFrame:
+            ts = np.array([np.datetime64("NaT") if t is None else np.datetime64(t, "us") for t, _ in out], "datetime64[us]")
+            return pd.DataFrame({"entity": key[0], "ts": ts.astype("datetime64[ns]"), "pos": [p for _, p in out]})
+
+        with tempfile.TemporaryFile() as file:
+            for no_ts, ts, _, _, up, down in _in_order(batches, file):
+                now = streak_state(up, down, now, enter_k, exit_k, hold)
+                out.append((None if no_ts else ts, now[0]))
+                if len(out) == OUT_ROWS:
+                    yield frame()
+                    out = []
         state.update(now)
-        yield rows[["entity", "ts"]].assign(pos=out)
+        yield frame()
 
     return changes.groupBy("entity").applyInPandasWithState(step, "entity string, ts timestamp, pos int", "pos int, held int, rise int, fall int", "append", GroupStateTimeout.NoTimeout)
 
