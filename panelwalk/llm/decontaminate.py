@@ -1,10 +1,10 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
+"""Benchmark decontamination: windows by shared shingles, SimHash filter of item-sized windows, exact check.
 
 Words are lower-cased (A-Z). For an item of L words every window of L words of a document (the whole of a
 shorter document) that shares a shingle of five words with it gets a 64-bit SimHash of its shingles, each
 with its count as weight. Two fingerprints within RADIUS bits agree up to RADIUS // BLOCKS bits in at least
-one of BLOCKS equal parts, so the index lists for each part's values the items that near, and no fingerprint
-within the radius is missed. Candidates are verified by the exact weighted similarity of the shingle counts,
+one of BLOCKS equal parts; the table of near parts is looked at first, but as candidates come from shared
+shingles it only spares work: the test of the whole radius alone would leave the same. Candidates are verified by the exact weighted similarity of the shingle counts,
 sum of minima over sum of maxima.
 
 Windows that share no shingle have similarity 0 and need no fingerprint. A window is tried for each place
@@ -16,7 +16,7 @@ falls outside about once in a million.
 The benchmark is a query set: it is read in blocks of BLOCK_ITEMS items, each of them sent to all tasks.
 
 Defined results: null and empty texts and items match nothing; a text or item of fewer than five words is
-one shingle; rows that repeat are reported again, equal items each; a null doc_id is kept; empty tables give
+one shingle; rows that repeat are reported again, equal items each; a null doc_id or item_id is kept; empty tables give
 no rows; extra columns are ignored by find() and kept by clean().
 """
 
@@ -56,9 +56,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[Ranges, np.ndarray]
 class Index:
     """Items by length, their shingles' places, and the items near each value of each block."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         ranges, at = shingles(*utf8(pa.array(texts, pa.string())))
-        self.ids, self.words = np.array(ids, np.int64), np.diff(at)
+        self.ids, self.words = pa.array(ids, pa.int64()), np.diff(at)
         self.size = np.minimum(self.words, SHINGLE)
         grams = [ranges.of(np.arange(a, b - s + 1), np.full(b - a - s + 1, s)) if b > a else np.zeros(0, np.uint64) for a, b, s in zip(at.tolist(), at[1:].tolist(), self.size.tolist(), strict=False)]
         self.counts = [Counter(g.tolist()) for g in grams]
@@ -147,7 +147,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in slices(batches):
                 found = index.matches(*utf8(batch.column(1)))
                 text, item, start, n, alike = zip(*found, strict=True) if found else [()] * 5
-                ids = pa.array(index.ids[list(item)], pa.int64())
+                ids = index.ids.take(pa.array(item, pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text, pa.int64())), ids, pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(alike, pa.float64())], [x.split()[0] for x in FOUND.split(", ")])
 
         return own.mapInArrow(work, FOUND)

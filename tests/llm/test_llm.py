@@ -377,3 +377,11 @@ def test_pipeline_drops_copies_of_five_word_jaccard_at_least_80_percent(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     stage = dict(corpus_pipeline.STAGES)["jaccard_join"]
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == {find(i) for i in range(len(sets))}
+
+
+def test_benchmark_items_without_id_are_found(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"say {text} now"), (2, "nothing of it")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, text), (7, text)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id or -1) for r in decontaminate.find(docs, benchmark).collect()) == [(1, -1), (1, 7)]
+    assert [r.doc_id for r in decontaminate.clean(docs, benchmark).collect()] == [2]
