@@ -181,7 +181,7 @@ SELECT fold_id, off, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY
   SELECT fold_id, off, CASE WHEN r >= up AND abs(r - mid) >= 0.5 * mad THEN 1 WHEN r < down OR abs(r - mid) < 0.5 * mad THEN 0 END AS event FROM b JOIN q USING (fold_id, block) JOIN m USING (fold_id, block))""")(
     lambda s, d: backtest.hysteresis(fr.forecasts(s, d).where("interval = 20").withColumn("pred", F.round("r", 9)), ["fold_id"], ["block"]).select("fold_id", "off", "pos")
 )
-query("streak_signal")(lambda s, d: backtest.streak_signal(fr.forecasts(s, d).where("interval = 20").withColumns({"up": F.col("r") > 0, "down": F.col("r") < 0}).select("fold_id", "off", "block", "up", "down"), ["fold_id"]))
+query("streak_signal")(lambda s, d: backtest.streak_signal(fr.forecasts(s, d).withColumns({"up": F.col("r") > 0, "down": F.col("r") < 0}).select("fold_id", "interval", "off", "block", "up", "down"), ["fold_id", "interval"]))
 query("turnover_cap", """SELECT fold_id, "interval", thr, block, round(bt, 6) AS block_turnover, round(spent - coalesce(lag(spent) OVER (PARTITION BY fold_id, "interval", thr ORDER BY block), 0), 6) AS paid FROM (
   SELECT *, least(8 * sum(n) OVER (PARTITION BY fold_id, "interval", thr) / 252, sum(bt) OVER (PARTITION BY fold_id, "interval", thr ORDER BY block)) AS spent FROM (SELECT fold_id, "interval", thr, block, sum(turnover) AS bt, count(*) AS n FROM trace GROUP BY ALL))""")(
     lambda s, d: backtest.turnover_cap(fr.trace(s, d), ["fold_id", "interval", "thr"], 8.0).drop("scale")

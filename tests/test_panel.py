@@ -144,3 +144,14 @@ def test_stream_signals_sort_all_rows_of_a_batch_on_disk(spark, tmp_path, monkey
             state = backtest.streak_state(value > 0.5, value < 0.5, state, 2, 2, 3)
             expected.append((entity, at, state[0]))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+
+
+def test_streak_signal_covers_every_interval(spark, sf):
+    from panelwalk.plans import frames
+
+    keys = ["fold_id", "interval", "off"]
+    got = Q.QUERIES["streak_signal"](spark, sf)
+    assert set(keys) <= set(got.columns)
+    expected = sorted(map(tuple, frames.forecasts(spark, sf).select(*keys).collect()))
+    assert {k[1] for k in expected} == {10, 20, 42}
+    assert sorted(map(tuple, got.select(*keys).collect())) == expected
