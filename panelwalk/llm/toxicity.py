@@ -28,6 +28,8 @@ SIZES = (4, 5, 6, 7)
 BUCKETS = 1 << 20
 FEATURES = 2048
 SAMPLE = 6000
+#: Bytes of labelled text handled at once: a text takes some hundred times its bytes there.
+SAMPLE_BYTES = 1 << 18
 THRESHOLD = 0.5
 
 
@@ -72,7 +74,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of each class hold each bucket."""
     counts = np.zeros((2, BUCKETS), np.int64)
-    for batch in slices(batches):
+    for batch in slices(batches, most=SAMPLE_BYTES):
         text, bucket = features(*utf8(batch.column(2)))
         pairs = np.unique(text.astype(np.int64) * BUCKETS + bucket)
         toxic = batch.column(1).to_numpy()[pairs // BUCKETS]
@@ -87,7 +89,7 @@ def _chosen_columns(sample: DataFrame, column: np.ndarray) -> DataFrame:
     shared, width = sample.sparkSession.sparkContext.broadcast(column.astype(np.int32)), int(column.max()) + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SAMPLE_BYTES):
             text, bucket = features(*utf8(batch.column(2)))
             at = shared.value[bucket]
             held = np.zeros((batch.num_rows, width), bool)
