@@ -28,7 +28,7 @@ SIZES = (4, 5, 6, 7)
 BUCKETS = 1 << 20
 FEATURES = 2048
 SAMPLE = 6000
-#: Bytes of labelled text handled at once: a text takes some hundred times its bytes there.
+#: Bytes of labelled text handled at once: sorting all its n-grams takes many times as much.
 SAMPLE_BYTES = 1 << 18
 THRESHOLD = 0.5
 
