@@ -1,20 +1,32 @@
 """N-gram Jaccard join: blocked sparse products of the document by n-gram incidence matrix.
 
 Two sets can only be as alike as SHARE / 100 if they share one of the first n - ceil(SHARE n / 100) + 1
-n-grams of each, in any common order; so only these columns of the matrix are multiplied. Spark deals the
-columns to blocks by n-gram; products are summed by pair and pairs below the bound that their sizes give
-are discarded before the texts are compared. The order puts long n-grams, which are rare, first and those
-last that several sets of one task held in a counting pass over all documents.
-
-Equal sets are one node from the start. A column of many nodes is multiplied in two steps, for a group of g
-near copies would give g * g products: first each node with the least node of its column only; pairs that
-reach the bound in such columns alone are compared, and what that links becomes one component. Then pairs of nodes of different components, in the columns that still
-hold several. Pairs of one component are never formed: they cannot change it.
+n-grams of each, in any common order; so only these columns of the matrix are multiplied to find pairs. Spark
+deals the columns to blocks by n-gram; products are summed by pair, and a pair is discarded when what its
+sizes and places leave cannot reach the least overlap. The order puts first the n-grams that no counting task
+has met in two sets and last those that several sets of one task held.
+
+Equal sets are one node (128 bits of hash). A column of many nodes would give a product for every pair, so it
+is multiplied in steps:
+
+1. Stars. The pivot of a column is its node with the largest share of late n-grams, which is the text that the
+   others are copies of where there is one. Each node's row is multiplied with its pivots' rows only: a block is
+   a batch of rows in CSR form times the pivot's row. What reaches the bound is linked.
+2. Differences. Two nodes of one star differ from the pivot in known n-grams, some added and some removed. They
+   can only be linked, and not yet be of one component, if they share so many of these differences that they
+   share one of the first few, added ones first. Pairs come from columns of these differences, which copies
+   that were changed in places of their own don't share.
+3. The rest. Nodes that failed a pivot's bound meet the other nodes of the column by classes of size, where
+   one of each pair must have the n-gram early enough to reach a set of its own size.
+
+Pairs of one component are never formed: they cannot change it. A row of the matrix is made from its text in
+the task that multiplies it, for the text is half as long as its row.
 
 Defined results: a null or empty text has no n-grams and is linked with nothing; a text of fewer than n
 words is one n-gram; rows that repeat are equal sets; a doc_id with several texts belongs to all their
-components, which it joins; a null doc_id gets a null component; an empty table gives none; other columns
-are ignored by links() and kept by representatives().
+components, which it joins; a null doc_id gets a null component; of equal candidates for a pivot the least node
+is taken, which settles no result; long texts count whole and are one row of a block; an empty table gives
+none; other columns, whatever their names, are ignored by links() and kept by representatives().
 """
 
 from __future__ import annotations
@@ -23,18 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import LOWER, Ranges, identified, kept, mix, signed, slices, utf8, word_bounds, word_hashes
+from .text import LOWER, Ranges, identified, kept, mix, signed, slices, spare, utf8, word_bounds, word_hashes
 
 #: n-grams that several sets of a task hold among the first ZONE percent of their order are reported, and
-#: the most frequent OFTEN go to the end of the order.
+#: the most frequent, at most OFTEN, go to the end of the order.
 ZONE = 25
 OFTEN = 500_000
 #: Bytes of text after which a counting task reports.
 COUNT_BYTES = 16 << 20
+#: Classes of size: each reaches this factor beyond the one before it.
+CLASS = 1.01
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -58,9 +72,11 @@ def _prefix_length(n: int, share: int) -> int:
     return n - (share * n + 99) // 100 + 1 if n else 0
 
 
-def _node(hashes: np.ndarray) -> int:
-    """One number for a set."""
-    return int(mix(mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(keepdims=True) + np.uint64(len(hashes)))[0].astype(np.int64))
+def _node(hashes: np.ndarray) -> bytes:
+    """128 bits for a set: two sums of differently mixed hashes, and its size."""
+    one = mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(keepdims=True) + np.uint64(len(hashes))
+    two = mix(hashes * np.uint64(0x9FB21C651E98DF25) + np.uint64(1)).sum(keepdims=True)
+    return np.r_[mix(one), mix(two)].tobytes()
 
 
 def _often(docs: DataFrame, n: int) -> np.ndarray:
@@ -85,95 +101,162 @@ def _often(docs: DataFrame, n: int) -> np.ndarray:
         if sets:
             yield report()
 
-    top = docs.select("text").mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(OFTEN)
-    return np.sort(top.select("gram").toArrow()["gram"].to_numpy().view(np.uint64))
+    found = kept(docs.select("text").mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.least(F.sum("n"), F.lit(4096)).alias("n")), "often")
+    # The least count of which no more than OFTEN n-grams have as much; a row for each of 4,096 counts at most.
+    held = sorted(((r.n, r.k) for r in found.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, total = 4097, 0
+    for count, k in held:
+        if (total := total + k) > OFTEN:
+            break
+        least = count
+    return np.sort(found.where(F.col("n") >= least).select("gram").toArrow()["gram"].to_numpy().view(np.uint64))
 
 
 def _columns(docs: DataFrame, n: int, share: int, often: np.ndarray) -> DataFrame:
-    """doc_id, text_key, node, size and the n-grams of the prefix; a row for each document."""
+    """doc_id, text_key, node, size, late (per mille of late n-grams) and the n-grams of the prefix, by row."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for batch in slices(batches):
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, lates, prefixes = [], [], [], []
             for hashes, spans in gram_sets(*utf8(batch.column(2)), n):
                 at = np.minimum(np.searchsorted(last, hashes), max(0, len(last) - 1))
                 late = last[at] == hashes if len(last) else np.zeros(len(hashes), bool)
                 order = np.lexsort((hashes, -spans, late))[: _prefix_length(len(hashes), share)]
                 nodes.append(_node(hashes) if len(hashes) else None)
                 sizes.append(len(hashes))
+                lates.append(int(late.sum()) * 1000 // max(1, len(hashes)))
                 prefixes.append(signed(hashes[order]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "size", "grams"])
-
-    return docs.mapInArrow(work, "doc_id long, text_key long, node long, size long, grams array<long>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are as alike as asked for."""
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lates, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "size", "late", "grams"])
+
+    return docs.mapInArrow(work, "doc_id long, text_key long, node binary, size long, late int, grams array<long>")
+
+
+def _differences(mine: np.ndarray, pivot: np.ndarray, share: int) -> tuple[int, list[int], list[int]]:
+    """Overlap of a set with its pivot's, the first of its differences, and a role for each of these: 0 of a set
+    that is linked with the pivot, 1 of another, 2 of another where it can only meet a 0.
+
+    With r removed and a added n-grams, f = 100 r + share a, two sets of the star are linked if they share at
+    least (f + f' - (100 - share) |pivot|) / (100 + share) differences; one is linked with the pivot itself
+    if f <= (100 - share) |pivot|."""
+    at = np.minimum(np.searchsorted(pivot, mine), len(pivot) - 1)
+    inside = pivot[at] == mine
+    common = int(inside.sum())
+    lost = np.ones(len(pivot), bool)
+    lost[at[inside]] = False
+    added, removed = mine[~inside], pivot[lost]
+    f, free = 100 * len(removed) + share * len(added), (100 - share) * len(pivot)
+    every = np.concatenate([added, removed])
+    with_other = f // (100 + share) + 1  # differences shared with a set that the pivot isn't linked with
+    if f <= free:
+        first = max(0, len(every) - with_other + 1)
+        return common, signed(every[:first]).tolist(), [0] * first
+    with_any = -(-(f - free) // 100)
+    long, short = max(0, len(every) - with_any + 1), max(0, len(every) - max(with_any, with_other) + 1)
+    return common, signed(every[:long]).tolist(), [1] * short + [2] * (long - short)
+
+
+def _product(pairs: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
+    """For pairs (a, b) of nodes: whether their sets are linked, with size_b and the first differences of b from a."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "left_text"):
-            keep, known = [], {}
-            for i, pair in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
-                for node, text in (pair[0], pair[2]), (pair[1], pair[3]):
-                    if node not in known:
-                        known[node] = next(gram_sets(*utf8(pa.array([text])), n))[0]
-                x, y = known[pair[0]], known[pair[1]]
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= share * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
-
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left_text")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right_text")), "b")
-    return both.select("a", "b", "left_text", "right_text").mapInArrow(work, "a long, b long")
+        pivot, row = None, None
+        for batch in slices(batches, "right_text"):
+            overlaps, sizes, linked, firsts, roles = [], [], [], [], []
+            pivots = batch.column(0).to_pylist()
+            for i, (mine, _) in enumerate(gram_sets(*utf8(batch.column(3)), n)):
+                if pivots[i] != pivot:
+                    pivot, row = pivots[i], next(gram_sets(*utf8(batch.column(2).slice(i, 1)), n))[0]
+                common, first, role = _differences(mine, row, share)
+                overlaps.append(common)
+                sizes.append(len(mine))
+                linked.append(100 * common >= share * (len(mine) + len(row) - common))
+                firsts.append(first)
+                roles.append(role)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(roles, pa.list_(pa.int32()))], ["a", "b", "linked", "size_b", "firsts", "roles"])
+
+    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right_text")), "b")
+    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left_text")), "a")
+    return both.select("a", "b", "left_text", "right_text").mapInArrow(work, "a binary, b binary, linked boolean, size_b long, firsts array<long>, roles array<int>")
+
+
+def _near(a: str, b: str, share: int) -> Column:
+    return 100 * F.least(a, b) >= share * F.greatest(a, b)
+
+
+def _class(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / float(np.log(CLASS))).cast("int")
+
+
+def _by_difference(stars: DataFrame, parts: DataFrame, share: int) -> DataFrame:
+    """Pairs of nodes of one star but of different components that share one of their first differences."""
+    entries = stars.select("a", F.col("b").alias("node"), F.col("size_b").alias("size"), F.explode(F.arrays_zip("firsts", "roles")).alias("x"))
+    entries = entries.select("a", "node", "size", F.col("x.firsts").alias("gram"), F.col("x.roles").alias("role"))
+    # Two at least of which one isn't linked with the pivot; counts are summed before they meet.
+    shared = entries.groupBy("a", "gram").agg(F.count("*").alias("k"), F.count_if(F.col("role") == 0).alias("in"), F.count_if(F.col("role") == 1).alias("out"))
+    shared = shared.where("k > 1 and (in > 0 and in < k or out > 1)").select("a", "gram")
+    found = kept(entries.join(shared, ["a", "gram"]).join(parts, "node", "left").select("a", "gram", "node", "size", "role", F.coalesce("least", "node").alias("part")), "differences")
+    left, right = (found.select("a", "gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "role", "part")]) for s in "xy")
+    meet = ((F.col("role_x") == 0) & (F.col("role_y") > 0)) | ((F.col("role_x") == 1) & (F.col("role_y") == 1) & (F.col("node_x") < F.col("node_y")))
+    return left.join(right, ["a", "gram"]).where(meet & (F.col("part_x") != F.col("part_y")) & _near("size_x", "size_y", share)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+
+def _by_size(entries: DataFrame, stars: DataFrame, parts: DataFrame, share: int) -> DataFrame:
+    """Pairs of nodes of one column but of different components of which one has no product with the pivot."""
+    inside = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(True).alias("in"))
+    labelled = entries.join(parts, "node", "left").withColumn("part", F.coalesce("least", "node")).drop("least")
+    labelled = labelled.join(inside, ["pivot", "node"], "left").withColumn("in", F.coalesce("in", F.col("node") == F.col("pivot")))
+    labelled = kept(labelled, "labelled")
+    mixed = labelled.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("in").alias("all_in")).where("low <> high and not all_in").select("gram")
+    # The largest partner with which an overlap that begins at this place can reach the least one.
+    reach = (F.floor((F.col("size") - F.col("place")) * (100 + share) / share) - F.col("size")).alias("reach")
+    left = labelled.join(mixed, "gram", "left_semi").select("gram", "node", "size", "place", "part", "in", reach)
+    early = left.where("reach >= size").select("gram", _class(F.col("size")).alias("class"), *[F.col(c).alias(f"{c}_y") for c in ("node", "size", "reach", "part", "in")])
+    low, high = F.ceil(F.col("size") * share / 100), F.least("reach", F.floor(F.col("size") * 100 / share))
+    wide = left.where(high >= low).select("gram", F.explode(F.sequence(_class(low), _class(high))).alias("class"), *[F.col(c).alias(f"{c}_x") for c in ("node", "size", "reach", "part", "in")])
+    once = (F.col("reach_x") < F.col("size_x")) | (F.col("node_x") < F.col("node_y"))
+    meet = (F.col("part_x") != F.col("part_y")) & ~(F.col("in_x") & F.col("in_y")) & (F.col("size_y") <= F.col("reach_x")) & (F.col("size_x") <= F.col("reach_y")) & once & _near("size_x", "size_y", share)
+    return wide.join(early, ["gram", "class"]).where(meet).groupBy("node_x", "node_y", "size_x", "size_y").agg(F.count("*").alias("shared")).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
 def links(docs: DataFrame, n: int = 3, share: int = 90) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for every row."""
     own = identified(docs)
     rows = kept(_columns(own, n, share, _often(own, n)), "columns")
-    entries = rows.select("node", "size", F.explode("grams").alias("gram"))
-    shared = entries.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("gram", "pivot")
-    entries = kept(entries.join(shared, "gram").distinct(), "entries")
+    entries = rows.where("node is not null").select("node", "size", "late", "grams").dropDuplicates(["node"])
+    entries = entries.select("node", "size", "late", F.posexplode("grams").alias("place", "gram"))
+    shared = entries.groupBy("gram").agg(F.min(F.struct(-F.col("late"), "node")).alias("best"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("best.node").alias("pivot"))
+    entries = kept(entries.join(shared, "gram").select("gram", "pivot", "node", "size", "place"), "entries")
 
     chosen = entries.select("node").distinct().join(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at")), "node")
     k = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k")
     texts = own.select(k, "text_key", "text").join(chosen.select("node", "at.doc_id", "at.text_key").select("node", k, "text_key"), ["k", "text_key"])
-    texts = kept(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = kept(texts.groupBy("k", "text_key", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
 
-    same_id = rows.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("every")).where("a <> b")
-    same_id = same_id.select("a", F.explode("every").alias("b"))
-    size = lambda side: F.col(f"size{side}")
-    near = (100 * F.least(size("_a"), size("_b")) >= share * F.greatest(size("_a"), size("_b")))
-    sizes = rows.where("node is not null").groupBy("node").agg(F.first("size").alias("size"))
+    known = rows.where("doc_id is not null and node is not null").select("doc_id", "node").distinct()
+    same_id = known.join(known.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
 
     # What the prefixes share and what lies behind the one that ends first must reach the least overlap.
+    sizes = rows.where("node is not null").groupBy("node").agg(F.first("size").alias("size"))
     behind = F.floor((share * F.greatest("size_a", "size_b") + 99) / 100) - 1
     least = F.ceil(F.lit(share) * (F.col("size_a") + F.col("size_b")) / (100 + share))
-    bound = near & (F.col("shared") + behind >= least)
-    # Near copies share most columns, and with them the pivot; what fails here is left to the second step.
     stars = entries.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("size").alias("size_b")).agg(F.count("*").alias("shared"))
-    stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").where(bound).select("a", "b")
-    found = kept(_verified(stars, texts, n, share).unionByName(same_id), "links")
-    first = components(found)
-
-    labelled = entries.join(first, "node", "left").select("gram", "node", "size", F.coalesce("least", "node").alias("part"))
-    mixed = labelled.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gram")
-    left = labelled.join(mixed, "gram", "left_semi")
-    pairs = left.select("gram", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("part").alias("part_a")).join(left.select("gram", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b")), "gram").where(near & (F.col("part_a") < F.col("part_b")))
-    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared")).where(bound).select("a", "b")
-    more = _verified(pairs, texts, n, share)
+    stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").where(_near("size_a", "size_b", share) & (F.col("shared") + behind >= least)).select("a", "b")
+    stars = kept(_product(stars, texts, n, share), "stars")
+    found = kept(stars.where("linked").select("a", "b").unionByName(same_id), "links")
+    parts = components(found)
+
+    pairs = _by_difference(stars, parts, share).unionByName(_by_size(entries, stars, parts, share))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = _product(pairs, texts, n, share).where("linked").select("a", "b")
     found = components(found.unionByName(more))
 
-    parts = rows.join(found, "node", "left").select("doc_id", "text_key", "size", F.coalesce("least", "node").alias("part"))
-    least_id = parts.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    alone = parts.where("part is null").select("doc_id", "text_key", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    joined = parts.join(least_id, "part").select("doc_id", "text_key", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return joined.unionByName(alone)
+    joined = rows.select("doc_id", "text_key", "size", "node").join(found, "node", "left").select("doc_id", "text_key", "size", F.coalesce("least", "node").alias("part"))
+    least_id = joined.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    alone = joined.where("part is null").select("doc_id", "text_key", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    together = joined.join(least_id, "part").select("doc_id", "text_key", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return together.unionByName(alone)
 
 
 def representatives(docs: DataFrame, n: int = 3, share: int = 90) -> DataFrame:
@@ -181,9 +264,10 @@ def representatives(docs: DataFrame, n: int = 3, share: int = 90) -> DataFrame:
     where that repeats); rows without n-grams and rows without doc_id stay."""
     found = links(docs, n, share)
     best = found.where("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
-    stay = best.select(F.col("at.doc_id").alias("__id"), F.col("at.text_key").alias("__key"))
-    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64("text"), "__empty": ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]") | F.col("doc_id").isNull()})
-    chosen = own.join(stay.withColumn("__in", F.lit(True)), ["__id", "__key"], "left").where("__empty or __in")
+    i, key, empty, there = (spare(docs, x) for x in ("id", "key", "empty", "in"))
+    stay = best.select(F.col("at.doc_id").alias(i), F.col("at.text_key").alias(key), F.lit(True).alias(there))
+    own = docs.withColumns({i: F.col("doc_id").cast("long"), key: F.xxhash64("text"), empty: ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]") | F.col("doc_id").isNull()})
+    chosen = own.join(stay, [i, key], "left").where(F.col(empty) | F.col(there))
     # Rows that repeat with equal doc_id and text are one document.
-    once = chosen.where("not __empty").dropDuplicates(["__id", "__key"])
-    return once.unionByName(chosen.where("__empty")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = chosen.where(~F.col(empty)).dropDuplicates([i, key])
+    return once.unionByName(chosen.where(F.col(empty))).select(*[F.col(f"`{c}`") for c in docs.columns])
