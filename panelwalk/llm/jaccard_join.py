@@ -14,8 +14,8 @@ is multiplied in steps:
    a batch of rows in CSR form times the pivot's row. What reaches the bound is linked.
 2. Differences. Two nodes of one star differ from the pivot in known n-grams, some added and some removed. They
    can only be linked, and not yet be of one component, if they share so many of these differences that they
-   share one of the first few, added ones first. Pairs come from columns of these differences, which copies
-   that were changed in places of their own don't share.
+   share one of the first few, added ones first. The columns of these differences are multiplied as stars
+   again, and only what these leave is paired: copies that were changed in places of their own share none.
 3. The rest. Nodes that failed a pivot's bound meet the other nodes of the column by classes of size, where
    one of each pair must have the n-gram early enough to reach a set of its own size.
 
@@ -41,10 +41,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .text import LOWER, Ranges, identified, kept, mix, signed, slices, spare, utf8, word_bounds, word_hashes
 
-#: n-grams that several sets of a task hold among the first ZONE percent of their order are reported, and
-#: the most frequent, at most OFTEN, go to the end of the order.
-ZONE = 25
-OFTEN = 500_000
+#: n-grams that several sets of a counting task hold are reported, and the most frequent, at most OFTEN, go to
+#: the end of the order.
+OFTEN = 1 << 20
 #: Bytes of text after which a counting task reports.
 COUNT_BYTES = 16 << 20
 #: Classes of size: each reaches this factor beyond the one before it.
@@ -91,9 +90,9 @@ def _often(docs: DataFrame, n: int) -> np.ndarray:
 
         for batch in slices(batches):
             data, offsets = utf8(batch.column(0))
-            for hashes, spans in gram_sets(data, offsets, n):
+            for hashes, _ in gram_sets(data, offsets, n):
                 if len(hashes):
-                    sets[_node(hashes)] = hashes[np.lexsort((hashes, -spans))[: -(-len(hashes) * ZONE // 100)]]
+                    sets[_node(hashes)] = hashes
             size += len(data)
             if size >= COUNT_BYTES and sets:
                 yield report()
@@ -189,15 +188,27 @@ def _class(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / float(np.log(CLASS))).cast("int")
 
 
-def _by_difference(stars: DataFrame, parts: DataFrame, share: int) -> DataFrame:
-    """Pairs of nodes of one star but of different components that share one of their first differences."""
-    entries = stars.select("a", F.col("b").alias("node"), F.col("size_b").alias("size"), F.explode(F.arrays_zip("firsts", "roles")).alias("x"))
-    entries = entries.select("a", "node", "size", F.col("x.firsts").alias("gram"), F.col("x.roles").alias("role"))
-    # Two at least of which one isn't linked with the pivot; counts are summed before they meet.
-    shared = entries.groupBy("a", "gram").agg(F.count("*").alias("k"), F.count_if(F.col("role") == 0).alias("in"), F.count_if(F.col("role") == 1).alias("out"))
-    shared = shared.where("k > 1 and (in > 0 and in < k or out > 1)").select("a", "gram")
-    found = kept(entries.join(shared, ["a", "gram"]).join(parts, "node", "left").select("a", "gram", "node", "size", "role", F.coalesce("least", "node").alias("part")), "differences")
-    left, right = (found.select("a", "gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "role", "part")]) for s in "xy")
+def _difference_columns(stars: DataFrame, parts: DataFrame) -> DataFrame:
+    """Columns (a, gram) of the first differences from each pivot that nodes of several components share, of which
+    one at least isn't linked with the pivot: node, size, role, part, and how many differences the node brought."""
+    entries = stars.join(parts.withColumnRenamed("node", "b"), "b", "left").select("a", F.col("b").alias("node"), F.col("size_b").alias("size"), F.coalesce("least", "b").alias("part"), F.size("firsts").alias("brought"), F.explode(F.arrays_zip("firsts", "roles")).alias("x"))
+    entries = entries.select("a", "node", "size", "part", "brought", F.col("x.firsts").alias("gram"), F.col("x.roles").alias("role"))
+    shared = entries.groupBy("a", "gram").agg(F.count("*").alias("k"), F.count_if(F.col("role") == 0).alias("in"), F.count_if(F.col("role") == 1).alias("out"), F.min("part").alias("low"), F.max("part").alias("high"))
+    shared = shared.where("k > 1 and low <> high and (in > 0 and in < k or out > 1)").select("a", "gram")
+    return kept(entries.join(shared, ["a", "gram"]), "differences")
+
+
+def _inner_stars(columns: DataFrame) -> DataFrame:
+    """Pairs of the nodes of each column with its pivot: the node of whose differences the largest share is shared."""
+    central = columns.groupBy("a", "node").agg((-F.count("*") / F.first("brought")).alias("share"))
+    best = columns.select("a", "gram", "node").join(central, ["a", "node"]).groupBy("a", "gram").agg(F.min(F.struct("share", "node")).alias("best"))
+    pairs = columns.select("a", "gram", "node").join(best, ["a", "gram"]).select(F.col("best.node").alias("a"), F.col("node").alias("b"))
+    return pairs.where("a <> b").distinct()
+
+
+def _by_difference(columns: DataFrame, share: int) -> DataFrame:
+    """Pairs of nodes of different components that share one of their first differences from a pivot."""
+    left, right = (columns.select("a", "gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "role", "part")]) for s in "xy")
     meet = ((F.col("role_x") == 0) & (F.col("role_y") > 0)) | ((F.col("role_x") == 1) & (F.col("role_y") == 1) & (F.col("node_x") < F.col("node_y")))
     return left.join(right, ["a", "gram"]).where(meet & (F.col("part_x") != F.col("part_y")) & _near("size_x", "size_y", share)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
@@ -245,9 +256,11 @@ def links(docs: DataFrame, n: int = 3, share: int = 90) -> DataFrame:
     stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").where(_near("size_a", "size_b", share) & (F.col("shared") + behind >= least)).select("a", "b")
     stars = kept(_product(stars, texts, n, share), "stars")
     found = kept(stars.where("linked").select("a", "b").unionByName(same_id), "links")
+    inner = kept(_product(_inner_stars(_difference_columns(stars, components(found))), texts, n, share), "stars")
+    found = kept(found.unionByName(inner.where("linked").select("a", "b")), "links")
     parts = components(found)
 
-    pairs = _by_difference(stars, parts, share).unionByName(_by_size(entries, stars, parts, share))
+    pairs = _by_difference(_difference_columns(inner, parts), share).unionByName(_by_size(entries, stars, parts, share))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _product(pairs, texts, n, share).where("linked").select("a", "b")
     found = components(found.unionByName(more))
