@@ -17,7 +17,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from .text import SPACE, word_hashes
+from .text import SPACE, mix, word_hashes
 
 #: Rank of a pair that cannot be merged.
 NEVER = np.int64(1) << 40
@@ -155,6 +155,16 @@ class Table:
         return numbers
 
 
+def _checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A second number for each unit: from its length and its first and last eight bytes, which are all of most."""
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    size = np.minimum(ends - starts, 8).astype(np.uint64)
+    spare = (np.uint64(8) - size) * np.uint64(8)
+    first, last = eight[starts + 8] << spare, eight[ends] >> spare
+    return mix(first) + last * np.uint64(0x9E3779B97F4A7C15) + (ends - starts).astype(np.uint64)
+
+
 class Units(NamedTuple):
     """Units of a batch: ids[start : start + count] of its entry is what a unit came to."""
 
@@ -181,6 +191,7 @@ class Encoder:
         self.table = Table(MEMORY)
         self.ids, self.used = np.zeros(1 << 20, np.int32), 0
         self.start, self.count = np.zeros(MEMORY + 1, np.int64), np.zeros(MEMORY + 1, np.int64)
+        self.check = np.zeros(MEMORY + 1, np.uint64)
 
     def merged(self, parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each part's pieces, one after the other, and offsets by part."""
@@ -207,23 +218,29 @@ class Encoder:
         ends = np.r_[starts[1:], len(data)]
         text = np.searchsorted(offsets, starts, "right") - 1
         ends = np.minimum(ends, offsets[text + 1])
-        hashes = word_hashes(data, starts, ends) | np.uint64(1)
+        hashes, checks = word_hashes(data, starts, ends) | np.uint64(1), _checks(data, starts, ends)
         if self.table.size + len(hashes) > MEMORY and self.table.size > MEMORY // 2:
             self.forget()
-        found, ids, start, count = self.looked_up(data, starts, ends, hashes)
+        found, ids, start, count = self.looked_up(data, starts, ends, hashes, checks)
         return Units(found, ids, start, count, np.searchsorted(starts, offsets), np.flatnonzero(whole))
 
-    def looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Entries of the units, and the ids, starts and counts that they refer to. Units that the memory has
-        no room for are encoded in parts and not remembered: their entries follow the memory's."""
+        no room for are encoded in parts and not remembered: their entries follow the memory's. Units of one hash
+        and different checks get a new hash."""
         found = self.table.find(hashes)
+        clash = (found >= 0) & (self.check[found] != checks)
         new = np.flatnonzero(found < 0)
+        fresh, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+        clash[new] = checks[new] != checks[new[first]][back]
+        if clash.any():
+            again = np.where(clash, mix(hashes + checks) | np.uint64(1), hashes)
+            return self.looked_up(data, starts, ends, again, checks)
         if not len(new):
             return found, self.ids, self.start, self.count
-        fresh, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
         if self.table.size and self.table.size + len(fresh) > MEMORY:
             self.forget()
-            return self.looked_up(data, starts, ends, hashes)
+            return self.looked_up(data, starts, ends, hashes, checks)
         at = new[first]
         for part in range(0, min(len(fresh), MEMORY), PART):
             some = slice(part, min(part + PART, MEMORY))
@@ -232,6 +249,7 @@ class Encoder:
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
             self.ids[self.used : self.used + len(ids)] = ids
+            self.check[numbers] = checks[at[some]]
             self.start[numbers], self.count[numbers] = self.used + stops[:-1], np.diff(stops)
             self.used += len(ids)
         if len(fresh) <= MEMORY:

@@ -5,7 +5,8 @@ A merge updates at most three leaves, each in a logarithmic number of steps, unt
 mergeable pair. Trees of one width are worked on together as rows of arrays.
 
 Defined results: a null text counts as empty: no ids, empty decoded text; rows that repeat give repeated
-rows; an empty table gives none; long texts are encoded whole; other columns are kept by encode() and
+rows; of equal pairs the leftmost is merged first; an empty table gives none; long texts are encoded whole,
+whatever the number of their different units; other columns are kept by encode() and
 decode() and ignored by round_trip().
 """
 

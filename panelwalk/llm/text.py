@@ -130,8 +130,12 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder in the warehouse only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_steps"
+    """spark.checkpoint.dir; a folder in the warehouse only where that is unset and Spark runs in one process."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_steps"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -150,6 +154,11 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, name: str) -> DataFrame:
+    """The table without the columns of that name, in any case of its letters."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -157,13 +166,3 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and text. Rows that repeat have the same key, and the same result."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-
-
-def gram_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each size, the hash of the bytes from each place on."""
-    h, n = np.zeros(len(data), np.uint64), 0
-    for size in sorted(sizes):
-        while n < size:
-            h = h[: max(0, len(data) - n)] * np.uint64(_WORD_BASE) + _BYTE_CODE[data[n:]]
-            n += 1
-        yield size, (h * np.uint64(_BYTE_BASE)) >> np.uint64(20)

@@ -1,10 +1,12 @@
 """Token counts (rank-synchronous array merging).
 
 Texts are cut into pre-tokens, kept as ragged numpy arrays of symbols. In each round every sequence
-applies its lowest-ranked pair at all its places at once; what survives is counted. No ids are built.
+applies its lowest-ranked pair at all its places at once; what survives is counted. The ids of a unit between
+blanks are remembered by the worker, so that a unit that comes again isn't merged again.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; rows that repeat give repeated rows; an
-empty table gives none; long texts count whole; columns besides doc_id and text are not looked at.
+Defined results: a null or empty text has 0 bytes and 0 tokens; rows that repeat give repeated rows; of equal
+pairs the leftmost is merged first; an empty table gives none; long texts count whole, whatever the number of
+their different units; columns besides doc_id and text are not looked at.
 """
 
 from __future__ import annotations

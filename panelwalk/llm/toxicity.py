@@ -1,16 +1,18 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes features.
 
-A text's features are the byte n-grams of its lower-cased form that occur in it, each weighted with its
-log-count ratio between toxic and other labelled texts; a logistic regression on them gives the score.
-Of all n-grams the FEATURES with the largest ratios by support are kept.
+A text's features are the n-grams of its characters (code points, A-Z lower-cased) that occur in it, each
+weighted with its log-count ratio between toxic and other labelled texts; a logistic regression on them gives
+the score. Of all n-grams, hashed to BUCKETS, the FEATURES with the largest ratios by support are kept.
 
 Labels are learnt from at most SAMPLE labelled documents (the first by hash of doc_id); scoring covers all
 rows and whole texts. Tasks make the features: the driver gets a count of each bucket by class and, of each
-labelled document, the chosen columns.
+labelled document, the chosen columns. Texts are worked on in pieces of PIECE bytes that overlap by the
+longest n-gram, so a very long text takes little more memory than a short one.
 
-Defined results: a null or empty text gets the score of no feature; rows that repeat get equal scores;
-without labels of both classes every score is 0.5; labels of unknown documents and null labels are ignored; other columns
-are kept by score() under their names, and the score column has the name that is asked for.
+Defined results: a null or empty text gets the score of no feature; rows that repeat get equal scores; of
+n-grams with equal support the least bucket is kept; without labels of both classes every score is 0.5; labels
+of unknown documents and null labels are ignored; an empty table gives no rows; other columns are kept by
+score() under their names, but one that has the name asked for the score is replaced.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, gram_hashes, kept, slices, utf8
+from .text import LOWER, kept, mix, slices, utf8, without
 
 SIZES = (4, 5, 6, 7)
 BUCKETS = 1 << 20
 FEATURES = 2048
 SAMPLE = 6000
-#: Bytes of labelled text handled at once: sorting all its n-grams takes many times as much.
-SAMPLE_BYTES = 1 << 18
+#: Bytes of text handled at once: sorting all its n-grams takes many times as much.
+PIECE = 1 << 18
 THRESHOLD = 0.5
 
 
@@ -60,26 +62,57 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 200)
     return w, float(bias)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bucket of all n-grams of all texts, each size in turn."""
-    low = LOWER[data]
-    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    out = []
-    for n, grams in gram_hashes(low, SIZES):
-        within = text[: len(grams)] == text[n - 1 :] if len(grams) else np.zeros(0, bool)
-        out.append((text[: len(grams)][within], grams[within] & np.uint64(BUCKETS - 1)))
-    return np.concatenate([t for t, _ in out]), np.concatenate([g for _, g in out]).astype(np.int64)
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text number and bucket of all n-grams, a piece of the bytes and a size at a time."""
+    low, longest = LOWER[data], max(SIZES)
+
+    def boundary(at: int) -> int:
+        """The first place from `at` on where a character begins, or the end."""
+        while at < len(low) and low[at] & 0xC0 == 0x80:
+            at += 1
+        return min(at, len(low))
+
+    for start in range(0, len(low), PIECE):
+        a, b = boundary(start), boundary(start + PIECE)
+        part = low[a : boundary(b + 4 * longest)]
+        codes = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        places = np.flatnonzero(part & 0xC0 != 0x80)
+        text = (np.searchsorted(offsets, a + places, "right") - 1).astype(np.int32)
+        own = int(np.searchsorted(places, b - a))
+        h, n = np.zeros(len(codes), np.uint64), 0
+        for size in sorted(SIZES):
+            while n < size:
+                h = h[: max(0, len(codes) - n)] * np.uint64(0xD1342543DE82EF95) + codes[n:] * np.uint64(0x9E3779B97F4A7C15)
+                n += 1
+            first = h[:own]
+            within = text[: len(first)] == text[size - 1 :][: len(first)] if len(first) else np.zeros(0, bool)
+            yield text[: len(first)][within], (mix(first[within]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, use: np.ndarray | None = None) -> np.ndarray:
+    """text number * BUCKETS + bucket of the n-grams of all texts, each once and in order; of the buckets in
+    `use` only, where it is given."""
+    found, size = [np.zeros(0, np.int64)], 0
+    for text, bucket in _pieces(data, offsets):
+        if use is not None:
+            hit = use[bucket]
+            text, bucket = text[hit], bucket[hit]
+        found.append(np.unique(text.astype(np.int64) * BUCKETS + bucket))
+        size += len(found[-1])
+        if size > 4 * BUCKETS:
+            found = [np.unique(np.concatenate(found))]
+            size = 0
+    return np.unique(np.concatenate(found))
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of each class hold each bucket."""
     counts = np.zeros((2, BUCKETS), np.int64)
-    for batch in slices(batches, most=SAMPLE_BYTES):
-        text, bucket = features(*utf8(batch.column(2)))
-        pairs = np.unique(text.astype(np.int64) * BUCKETS + bucket)
+    for batch in slices(batches, most=PIECE):
+        pairs = features(*utf8(batch.column(2)))
         toxic = batch.column(1).to_numpy()[pairs // BUCKETS]
         for label in (0, 1):
-            counts[label] += np.bincount(pairs[toxic == label] % BUCKETS, minlength=BUCKETS)
+            np.add.at(counts[label], pairs[toxic == label] % BUCKETS, 1)
     used = np.flatnonzero(counts.any(0))
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[1, used]), pa.array(counts[0, used])], ["bucket", "toxic", "other"])
 
@@ -89,11 +122,10 @@ def _chosen_columns(sample: DataFrame, column: np.ndarray) -> DataFrame:
     shared, width = sample.sparkSession.sparkContext.broadcast(column.astype(np.int32)), int(column.max()) + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SAMPLE_BYTES):
-            text, bucket = features(*utf8(batch.column(2)))
-            at = shared.value[bucket]
+        for batch in slices(batches, most=PIECE):
+            pairs = features(*utf8(batch.column(2)), shared.value >= 0)
             held = np.zeros((batch.num_rows, width), bool)
-            held[text[at >= 0], at[at >= 0]] = True
+            held[pairs // BUCKETS, shared.value[pairs % BUCKETS]] = True
             bits = [r.tobytes() for r in np.packbits(held, axis=1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["doc_id", "label", "held"])
 
@@ -133,17 +165,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score
     """The rows of docs with a score between 0 and 1."""
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
+    docs = without(docs, column)
     place = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         use = w != 0
         for batch in slices(batches, "text"):
-            data, offsets = utf8(batch.column(place))
-            text, bucket = features(data, offsets)
-            hit = use[bucket]
-            pairs = np.unique(text[hit].astype(np.int64) * BUCKETS + bucket[hit])
-            sums = np.bincount(pairs // BUCKETS, w[pairs % BUCKETS], len(offsets) - 1) + bias
+            pairs = features(*utf8(batch.column(place)), use)
+            sums = np.bincount(pairs // BUCKETS, w[pairs % BUCKETS], batch.num_rows) + bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-sums)))], [*batch.schema.names, column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
