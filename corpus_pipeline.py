@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last
 return the columns of `documents`; the last returns each document's ids and what they decode to.
+
+Defined results: a null or empty text isn't toxic, a copy, a repeat or an item of the benchmark: it stays and is
+encoded as empty; a null doc_id stays, as nothing says of which group it is the least; rows that repeat with
+equal doc_id and text are one document after the second stage; of a group of copies the least doc_id stays, of
+several texts under it the one of the least hash; a document of score 0.5 is toxic; texts count whole whatever
+their length; an empty table passes through all stages; further columns are kept under their names.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelwalk.llm import bpe_codec, decontaminate, jaccard_join, substring_dedup, toxicity
 from panelwalk.llm.queries import WORD_BPE
-from panelwalk.llm.text import documents, kept
+from panelwalk.llm.text import documents, kept, spare
 
 #: Near copies share this percentage of their n-grams of so many words.
 NEAR_WORDS, NEAR_SHARE = 5, 80
@@ -20,7 +26,8 @@ NEAR_WORDS, NEAR_SHARE = 5, 80
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity reaches the threshold."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, "__toxicity").where(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
+    column = spare(docs, "toxicity")
+    return toxicity.score(docs, model, column).where(F.col(column) < toxicity.THRESHOLD).drop(column)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
