@@ -10,7 +10,8 @@ the checksums of protected frames, reads Xing, Info and VBRI tables and an ID3v1
 durations in samples and the byte place of each frame.
 
 Defined results: a null text counts as empty and is one unit of padding; equal texts give equal values;
-rows that repeat give repeated rows; an empty table gives none; texts are kept whole whatever their length;
+rows that repeat give repeated rows, there being no order or choice between them; an empty table gives none;
+texts are kept whole whatever their length;
 bytes without a frame give no frames and no payload; other columns are not looked at.
 """
 
@@ -26,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices, utf8
+from .text import kept, slices, utf8
 
 UNIT = 576
+#: Bytes of text, and of streams, that a task holds at once.
+MADE_AT_ONCE = 1 << 20
 RATE = 32_000
 
 # kbit/s by the index in a Layer III header, and Hz by its index, for MPEG 1, 2 and 2.5.
@@ -169,7 +172,7 @@ def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the stream of every text in a binary column."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=MADE_AT_ONCE):
             data, offsets = utf8(batch.column(1))
             raw, at = data.tobytes(), offsets.tolist()
             streams = [to_mpeg(padded(raw[a:b])) for a, b in zip(at, at[1:], strict=False)]
@@ -183,6 +186,7 @@ DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 strin
 
 
 def _described(doc_ids: pa.Array, n_bytes: pa.Array, raws: list[bytes]) -> pa.RecordBatch:
+    """The columns of DESCRIBED for streams as they were stored."""
     read = [read_mpeg(r) for r in raws]
     loads = [x["payload"] for x in read]
     columns = [doc_ids, n_bytes, pa.array(map(len, loads), pa.int64()), pa.array((hashlib.sha256(p).hexdigest() for p in loads), pa.string()), pa.array((zlib.crc32(p[-32:]) for p in loads), pa.int64()), pa.array(map(len, raws), pa.int64()), pa.array((hashlib.sha256(r).hexdigest() for r in raws), pa.string()), pa.array(map(feature, read), pa.string()), pa.array((x["samples"] / x["rate"] if x["rate"] else 0.0 for x in read), pa.float64()), pa.array((x["places"] for x in read), pa.list_(pa.int64()))]
@@ -193,19 +197,12 @@ def described(streams: DataFrame) -> DataFrame:
     """What the bytes of the media column hold, read back from them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media"):
+        for batch in slices(batches, "media", MADE_AT_ONCE):
             yield _described(batch.column(0), batch.column(1), batch.column(2).to_pylist())
 
     return streams.select("doc_id", "n_bytes", "media").mapInArrow(work, DESCRIBED)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """described() of media() in one pass of the tasks: each stream is read where it was made."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            data, offsets = utf8(batch.column(1))
-            raw, at = data.tobytes(), offsets.tolist()
-            yield _described(batch.column(0), pa.array(np.diff(offsets)), [to_mpeg(padded(raw[a:b])) for a, b in zip(at, at[1:], strict=False)])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, DESCRIBED)
+    """described() of media() that was written as a table and read again."""
+    return described(kept(media(docs), "media", {"parquet.block.size": 8 << 20, "compression": "zstd"}))

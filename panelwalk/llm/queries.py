@@ -39,7 +39,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg_audio.round_trip(documents(spark, sf_dir)).drop("frame_offsets")
+    return mpeg_audio.round_trip(documents(spark, sf_dir))
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

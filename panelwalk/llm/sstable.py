@@ -10,7 +10,8 @@ sorts first. Value: place of the document's first id within the shard, then the
 where the vocabulary allows, else of four.
 
 Defined results: a null or empty text is written as the end id alone; rows that repeat are all written, in
-order of their texts; an empty table writes no shard and gives no row.
+order of their texts, equal ones in any; a long text is one value, whatever its length; columns besides doc_id and
+text are not looked at; an empty table writes no shard and gives no row.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import bisect
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,11 @@ import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .text import shared_folder, slices, utf8
+from .text import kept, shared_folder, slices, utf8
 
 MAGIC = b"PWSST001"
 BLOCK_BYTES = 64 << 10
@@ -99,27 +100,44 @@ class Writer:
 
 
 class Shard:
-    """A shard that is read: get(doc_id) looks one up, items() gives all."""
+    """A shard that is read by ranges: footer, index and filter at first, then a block where one is asked for.
+    get(doc_id) looks one up, items() gives all. read(place, n) gives n bytes of the shard."""
 
-    def __init__(self, raw: bytes):
-        self.raw = raw
-        at, size, bloom, bloom_size, self.n_docs, self.n_ids, self.width, magic = FOOTER.unpack(raw[-FOOTER.size :])
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read = read
+        at, length, bloom, bloom_length, self.n_docs, self.n_ids, self.width, magic = FOOTER.unpack(read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
-        self.bits = struct.unpack_from("<Q", raw, bloom)[0]
-        self.bloom = raw[bloom + 8 : bloom + bloom_size]
-        self.index = []
-        end = at + size
-        while at < end:
+        raw = read(bloom, bloom_length)
+        self.bits, self.bloom = struct.unpack_from("<Q", raw)[0], raw[8:]
+        raw, at, self.index = read(at, length), 0, []
+        while at < length:
             a, b = raw[at], raw[at + 1]
             first, last = raw[at + 2 : at + 2 + a], raw[at + 2 + a : at + 2 + a + b]
             self.index.append((first, last, *struct.unpack_from("<QI", raw, at + 2 + a + b)))
             at += 14 + a + b
         self.lasts = [x[1] for x in self.index]
 
+    @classmethod
+    def of(cls, raw: bytes) -> Shard:
+        """A shard whose bytes are at hand."""
+        return cls(lambda at, n: raw[at : at + n], len(raw))
+
+    @classmethod
+    def opened(cls, uri: str) -> Shard:
+        """A shard in a file: each read is a ranged one."""
+        store, path = _store(uri)
+        file = store.open_input_file(path)
+
+        def read(at: int, n: int) -> bytes:
+            file.seek(at)
+            return file.read(n)
+
+        return cls(read, file.size())
+
     def block(self, number: int) -> Iterator[tuple[bytes, int, np.ndarray]]:
         _, _, at, size = self.index[number]
-        data = zstandard.ZstdDecompressor().decompress(self.raw[at : at + size])
+        data = zstandard.ZstdDecompressor().decompress(self.read(at, size))
         at, key = 0, b""
         while at < len(data):
             shared, rest, place, size = struct.unpack_from("<BBQI", data, at)
@@ -146,12 +164,15 @@ class Shard:
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder's URI. Where Spark knows a store by another scheme than Arrow (s3a, abfss through
+    Hadoop), Arrow's name for it is used."""
+    uri = "s3" + uri[3:] if uri.startswith(("s3a:", "s3n:")) else uri
     return pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) -> DataFrame:
-    """Writes shards into `folder`, which all executors share; returns one row for each, in order of their
-    documents. A task that is run again writes the same files under the same names."""
+    """Writes shards into `folder`, which all executors share; returns one row for each, part and number being the
+    order of their documents. A task that is run again writes the same files under the same names."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _store(folder)
@@ -183,29 +204,27 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) -> DataFra
     store, path = _store(folder)
     store.create_dir(path, recursive=True)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    wrote = sorted(ordered.mapInArrow(work, WROTE).collect(), key=lambda r: (r.part, r.number))  # a row a shard
-    return docs.sparkSession.createDataFrame(wrote, WROTE)
+    # Rows of one doc_id can go to several tasks by the beginning of their texts, in the order of the texts.
+    ordered = ordered.repartitionByRange("doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
+    return kept(ordered.mapInArrow(work, WROTE), "wrote")
 
 
 def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    rows = shards.orderBy("part", "number").collect()
-    starts, total = [], 0
-    for r in rows:
-        starts.append((r.shard, total))
-        total += r.n_ids
+    # Ids before each task's shards by a sum over one row a task, then within the task.
+    tasks = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("skip", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number")) - F.col("n_ids")
+    before = shards.withColumn("within", within).join(tasks, "part").select("shard", (F.col("skip") + F.col("within")).alias("before"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out = [(i, place, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, place, ids in Shard(raw.as_py()).items()]
+                out = [(i, place, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, place, ids in Shard.of(raw.as_py()).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(out), pa.string()), *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))], [x.split()[0] for x in READ.split(", ")])
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    files = files.load([f"{folder}/{r.shard}" for r in rows] if len(rows) < 100 else f"{folder}/part-*.sst") if rows else spark.createDataFrame([], "path string, content binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.sst").load(folder)
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content").mapInArrow(work, READ)
-    return found.join(spark.createDataFrame(starts, "shard string, before long"), "shard").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(before, "shard").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:

@@ -19,7 +19,9 @@ collapse to one row for each content before they meet; nothing gathers the place
 Defined results: a null text counts as empty: no words, digest of the empty text; a text of fewer than
 WINDOW words loses nothing; rows that repeat count as different places; rows with equal doc_id and text get
 equal results, rows with equal doc_id and other texts are told apart; a null doc_id is kept; an empty table
-gives no rows; extra columns are ignored by report() and kept by removed().
+gives no rows; a text of any length is one row whose places are counted in longs within a task and in an int
+in tables (2^31 words); of several equal anchors in a window the leftmost is taken, in every copy alike; extra
+columns, whatever their names, are ignored by report() and kept by removed().
 """
 
 from __future__ import annotations
@@ -32,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Ranges, identified, kept, signed, slices, utf8, word_bounds, word_hashes
+from .text import Ranges, identified, kept, signed, slices, spare, utf8, word_bounds, word_hashes
 
 WINDOW = 35
 ANCHOR = 8
 #: Edges that one anchor place can have; they fit the bits of a long.
 REACH = WINDOW - ANCHOR + 1
 _PLACE = np.uint64((1 << 24) - 1)
+#: Edges whose anchors are found together; with REACH they are fewer than the places that _PLACE can tell.
+BLOCK = 1 << 23
 PATHS = "doc_id long, text_key long, anchor long, content long, first int, edges int"
 EDGES = "anchor long, content long, copies long, whole boolean, nth int, edge long"
 
@@ -52,6 +56,17 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
+def _leftmost(anchors: np.ndarray) -> np.ndarray:
+    """For each edge the place of its anchor. A key holds the high bits of the hash and the place, counted anew
+    every BLOCK places, so that texts of any length keep the order."""
+    out = [np.zeros(0, np.int64)]
+    for a in range(0, len(anchors) - REACH + 1, BLOCK):
+        part = anchors[a : a + BLOCK + REACH - 1]
+        least = _least(part & ~_PLACE | np.arange(len(part), dtype=np.uint64), REACH)
+        out.append((least & _PLACE).astype(np.int64) + a)
+    return np.concatenate(out)
+
+
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         data, offsets = utf8(batch.column(2))
@@ -60,19 +75,18 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         ranges = Ranges(word_hashes(data, starts, ends))
         anchors = ranges.all_of(ANCHOR)
-        least = _least(anchors & ~_PLACE | np.arange(len(anchors), dtype=np.uint64) & _PLACE, REACH)
-        text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(least)]
-        edge = np.flatnonzero(np.arange(len(least)) + WINDOW <= at[text + 1])
+        low_place = _leftmost(anchors)
+        text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(low_place)]
+        edge = np.flatnonzero(np.arange(len(low_place)) + WINDOW <= at[text + 1])
         if not len(edge):
             continue
-        low = least[edge] & _PLACE
+        low = low_place[edge]
         new = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (np.diff(edge) > 1)])
         first, count = edge[new], np.diff(np.r_[new, len(edge)])
-        offset = (low[new].astype(np.int64) - first) & int(_PLACE)
         which = text[first]
         doc = batch.column(0).take(pa.array(which))
         key = batch.column(1).take(pa.array(which))
-        columns = [doc, key, pa.array(signed(anchors[first + offset])), pa.array(signed(ranges.of(first, count + WINDOW - 1))), pa.array((first - at[which]).astype(np.int32)), pa.array(count.astype(np.int32))]
+        columns = [doc, key, pa.array(signed(anchors[low[new]])), pa.array(signed(ranges.of(first, count + WINDOW - 1))), pa.array((first - at[which]).astype(np.int32)), pa.array(count.astype(np.int32))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "anchor", "content", "first", "edges"])
 
 
@@ -107,7 +121,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     again = edges.groupBy("anchor", "edge").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "edge")
     partly = edges.where("not whole").join(again, ["anchor", "edge"]).groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("mask"))
     verdict = contents.where("copies > 1").select("anchor", "content", every.cast("long").alias("mask")).unionByName(partly)
-    return paths.join(verdict, ["anchor", "content"]).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", F.col("mask").bitwiseAND(F.expr("shiftleft(1L, edges) - 1")).alias("mask"))).alias("spans"))
+    return paths.join(verdict, ["anchor", "content"]).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", F.col("mask").bitwiseAND(F.expr("shiftleft(1L, edges) - 1")).alias("mask"))).alias("spans"))
 
 
 def _with_text(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
@@ -156,7 +170,7 @@ def removed(docs: DataFrame) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     names = docs.columns
     place, sized = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    spans = repeated_spans(identified(docs)).select("doc_id", "text_key", F.col("spans").alias("__spans"))
+    spans = repeated_spans(identified(docs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -170,6 +184,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 columns[sized] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    left = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__key": F.xxhash64("text")})
-    right = spans.withColumns({"__id": F.coalesce("doc_id", F.lit(-(1 << 63))), "__key": F.col("text_key")}).select("__id", "__key", "__spans")
-    return left.join(right, ["__id", "__key"], "left").select(*[left[f"`{c}`"] for c in names], "__spans").mapInArrow(work, fields)
+    i, key, found = (spare(docs, x) for x in ("id", "key", "spans"))
+    left = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), key: F.xxhash64("text")})
+    right = spans.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(i), F.col("text_key").alias(key), F.col("spans").alias(found))
+    return left.join(right, [i, key], "left").select(*[F.col(f"`{c}`") for c in names], found).mapInArrow(work, fields)
