@@ -1,22 +1,22 @@
-"""Benchmark decontamination: windows by shared shingles, SimHash filter of item-sized windows, exact check.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-Words are lower-cased (A-Z). For an item of L words every window of L words of a document (the whole of a
-shorter document) that shares a shingle of five words with it gets a 64-bit SimHash of its shingles, each
-with its count as weight. Two fingerprints within RADIUS bits agree up to RADIUS // BLOCKS bits in at least
-one of BLOCKS equal parts; the table of near parts is looked at first, but as candidates come from shared
-shingles it only spares work: the test of the whole radius alone would leave the same. Candidates are verified by the exact weighted similarity of the shingle counts,
-sum of minima over sum of maxima.
+Words are lower-cased (A-Z). For an item of L words the windows are all runs of L words of a document, or the
+whole of a shorter one. A window of similarity 0.8 has four fifths of an item's shingles of five words, so only
+windows with that many shingles of the benchmark, whichever, get a 64-bit SimHash of their shingles, each with
+its count as weight. The multi-index says which items such a window may be: fingerprints within RADIUS bits
+agree up to RADIUS // BLOCKS bits in at least one of BLOCKS equal parts, so of each part's value the items with
+a value that near are looked up, and their union holds every item within the radius. Candidates within the
+radius are verified by the exact weighted similarity of the shingle counts, sum of minima over sum of maxima.
 
-Windows that share no shingle have similarity 0 and need no fingerprint. A window is tried for each place
-where the item would begin by one of its shingles, and for all places between two such that are closer than
-the edits that the similarity allows. Shingles that differ in a share of 1/9 turn each SimHash bit with
-probability 0.15; RADIUS lies five deviations beyond the mean of 9.7 bits, so a window of similarity 0.8
-falls outside about once in a million.
+Shingles that differ in a share of 1/9 turn each SimHash bit with probability 0.15; RADIUS lies five deviations
+beyond the mean of 9.7 bits, so a window of similarity 0.8 falls outside about once in a million.
 
-The benchmark is a query set: it is read in blocks of BLOCK_ITEMS items, each of them sent to all tasks.
+The benchmark is a query set: it is read in blocks of BLOCK_ITEMS items, each of them sent to all tasks, and
+documents are read once for each block.
 
 Defined results: null and empty texts and items match nothing; a text or item of fewer than five words is
-one shingle; rows that repeat are reported again, equal items each; a null doc_id or item_id is kept; empty tables give
+one shingle; rows that repeat are reported again, equal items each; of windows that are equally similar to an
+item the first is reported; a null doc_id or item_id is kept; long texts are searched whole; empty tables give
 no rows; extra columns are ignored by find() and kept by clean().
 """
 
@@ -36,7 +36,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 24
 BLOCKS = 8
-BLOCK_ITEMS = 2048
+BLOCK_ITEMS = 4096
 FOUND = "doc_id long, item_id long, first_word long, n_words long, similarity double"
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -54,77 +54,73 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[Ranges, np.ndarray]
 
 
 class Index:
-    """Items by length, their shingles' places, and the items near each value of each block."""
+    """Items by length, the shingles of all of them, and the items near each value of each block."""
 
     def __init__(self, ids: list[int | None], texts: list[str]):
         ranges, at = shingles(*utf8(pa.array(texts, pa.string())))
         self.ids, self.words = pa.array(ids, pa.int64()), np.diff(at)
-        self.size = np.minimum(self.words, SHINGLE)
-        grams = [ranges.of(np.arange(a, b - s + 1), np.full(b - a - s + 1, s)) if b > a else np.zeros(0, np.uint64) for a, b, s in zip(at.tolist(), at[1:].tolist(), self.size.tolist(), strict=False)]
+        sizes = np.minimum(self.words, SHINGLE)
+        grams = [ranges.of(np.arange(a, b - s + 1), np.full(b - a - s + 1, s)) if b > a else np.zeros(0, np.uint64) for a, b, s in zip(at.tolist(), at[1:].tolist(), sizes.tolist(), strict=False)]
         self.counts = [Counter(g.tolist()) for g in grams]
         self.prints = np.concatenate([simhash(g[None]) if len(g) else np.zeros((1, 8), np.uint8) for g in grams]) if ids else np.zeros((0, 8), np.uint8)
-        # Of each shingle size the sorted hashes, with the items and places where they stand.
-        self.places = {}
-        for s in np.unique(self.size[self.size > 0]).tolist():
-            which = np.flatnonzero(self.size == s)
-            hashes = np.concatenate([grams[i] for i in which])
-            item = np.concatenate([np.full(len(grams[i]), i) for i in which])
-            place = np.concatenate([np.arange(len(grams[i])) for i in which])
-            order = np.argsort(hashes, kind="stable")
-            self.places[s] = hashes[order], item[order], place[order]
-        # near[block, value, item]: whether the item's block is within the share of the radius.
+        #: Of each shingle size the sorted hashes; of each length the items.
+        self.grams = {s: np.unique(np.concatenate([g for g, x in zip(grams, sizes, strict=True) if x == s])) for s in np.unique(sizes[sizes > 0]).tolist()}
+        self.items = {n: np.flatnonzero(self.words == n) for n in np.unique(self.words[self.words > 0]).tolist()}
+        # near[block, value, item]: the multi-index, from a block's value to the items within its share of the radius.
         self.near = _ONES[np.arange(256, dtype=np.uint8)[None, :, None] ^ self.prints.T[:, None, :]] <= RADIUS // BLOCKS
 
-    def windows(self, ranges: Ranges, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, item and first word of the windows to look at."""
-        texts, items, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, (hashes, item, place) in self.places.items():
+    def windows(self, ranges: Ranges, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length of items and of windows: the length of the items, first words, and sizes of the windows
+        that hold enough shingles of the benchmark, and their texts."""
+        for s, known in self.grams.items():
             here = ranges.all_of(s)
-            left = np.searchsorted(hashes, here)
-            hit = np.flatnonzero(hashes[np.minimum(left, len(hashes) - 1)] == here)
-            text = np.searchsorted(at, hit, "right") - 1
-            hit, text = (x[hit + s <= at[text + 1]] for x in (hit, text))
-            left, right = left[hit], np.searchsorted(hashes, here[hit], "right")
-            each = np.repeat(np.arange(len(hit)), right - left)
-            nth = np.arange(len(each)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + left[each]
-            last = np.maximum(at[text[each] + 1] - self.words[item[nth]], at[text[each]])
-            texts.append(text[each])
-            items.append(item[nth])
-            firsts.append(np.clip(hit[each] - place[nth], at[text[each]], last))
-        votes = np.unique(np.stack([np.concatenate(texts), np.concatenate(items), np.concatenate(firsts)]), axis=1)
-        text, item, first = votes
-        gap = np.diff(first, append=0)
-        same = np.r_[(text[1:] == text[:-1]) & (item[1:] == item[:-1]), False][: len(text)]
-        more = np.where(same & (gap <= 2 + self.words[item] // 4), gap, 1)
-        each = np.repeat(np.arange(len(text)), more)
-        return text[each], item[each], first[each] + np.arange(len(each)) - np.repeat(np.cumsum(more) - more, more)
+            hit = known[np.minimum(np.searchsorted(known, here), len(known) - 1)] == here
+            text = np.searchsorted(at, np.flatnonzero(hit), "right") - 1
+            inside = np.flatnonzero(hit) + s <= at[text + 1]
+            hit[np.flatnonzero(hit)[~inside]] = False
+            held = np.bincount(text[inside], minlength=len(at) - 1)
+            sums = np.cumsum(np.r_[0, hit])
+            lengths = np.diff(at)
+            for words in self.items:
+                if min(words, SHINGLE) != s:
+                    continue
+                texts = np.flatnonzero((held >= least_common(words - s + 1)) & (lengths >= s))
+                size = np.minimum(words, lengths[texts])
+                starts = lengths[texts] - size + 1
+                first = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts) + np.repeat(at[texts], starts)
+                size, of = np.repeat(size, starts), np.repeat(texts, starts)
+                enough = sums[first + size - s + 1] - sums[first] >= least_common(words - s + 1)
+                yield words, first[enough], size[enough], of[enough]
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity) of the best window of each text and item."""
         ranges, at = shingles(data, offsets)
-        text, item, first = self.windows(ranges, at)
-        length = np.minimum(self.words[item], at[text + 1] - at[text])
         best: dict[tuple[int, int], tuple] = {}
-        keys = np.unique(np.stack([self.words[item], length, self.size[item]]), axis=1).T.tolist() if len(text) else []
-        for words, n, s in keys:
-            mine = np.flatnonzero((self.words[item] == words) & (length == n) & (self.size[item] == s))
-            if n < s:
-                continue  # the whole of the text is shorter than the only shingle
-            where, back = np.unique(first[mine], return_inverse=True)
-            rows = ranges.of((where[:, None] + np.arange(n - s + 1)).ravel(), np.full(len(where) * (n - s + 1), s)).reshape(len(where), -1)
-            prints = simhash(rows)
-            near = self.near[np.arange(BLOCKS), prints[back], item[mine][:, None]].any(1)
-            near &= _ONES[prints[back] ^ self.prints[item[mine]]].sum(1) <= RADIUS
-            for w, row in zip(mine[near].tolist(), back[near].tolist(), strict=True):
-                there, have = self.counts[item[w]], Counter(rows[row].tolist())
-                common = (there & have).total()
-                alike = common / (there.total() + have.total() - common)
-                key, start = (int(text[w]), int(item[w])), int(first[w] - at[text[w]])
-                if alike >= SIMILARITY and (key not in best or (-alike, start) < best[key][:2]):
-                    best[key] = (-alike, start, n)
+        for words, first, size, text in self.windows(ranges, at):
+            s, items = min(words, SHINGLE), self.items[words]
+            for n in np.unique(size).tolist():
+                mine = np.flatnonzero(size == n)
+                for part in np.array_split(mine, -(-len(mine) // 2048)):
+                    rows = ranges.of((first[part, None] + np.arange(n - s + 1)).ravel(), np.full(len(part) * (n - s + 1), s)).reshape(len(part), -1)
+                    prints = simhash(rows)
+                    window, item = np.nonzero(self.near[np.arange(BLOCKS)[:, None, None], prints.T[:, :, None], items].any(0))
+                    close = _ONES[prints[window] ^ self.prints[items[item]]].sum(1) <= RADIUS
+                    for w, i in zip(window[close].tolist(), items[item[close]].tolist(), strict=True):
+                        there, have = self.counts[i], Counter(rows[w].tolist())
+                        common = (there & have).total()
+                        alike = common / (there.total() + have.total() - common)
+                        t = int(text[part[w]])
+                        start = int(first[part[w]] - at[t])
+                        if alike >= SIMILARITY and ((t, i) not in best or (-alike, start) < best[t, i][:2]):
+                            best[t, i] = (-alike, start, n)
         return [(t, i, start, n, -alike) for (t, i), (alike, start, n) in sorted(best.items())]
 
 
+def least_common(grams: int) -> int:
+    """Shingles that a window must share with an item of so many to reach the similarity."""
+    return int(np.ceil(SIMILARITY * grams - 1e-9))
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """The benchmark in blocks of bounded size."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")

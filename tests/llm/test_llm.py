@@ -379,6 +379,29 @@ def test_pipeline_drops_copies_of_five_word_jaccard_at_least_80_percent(spark):
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == {find(i) for i in range(len(sets))}
 
 
+def test_decontamination_candidates_come_from_the_index(spark):
+    """With an empty multi-index nothing is found; in blocks of few items the same as in one."""
+    words = [f"w{i}" for i in range(60)]
+    items = [" ".join(words[i : i + 20]) for i in range(0, 40, 4)]
+    index = decontaminate.Index(list(range(len(items))), items)
+    text = utf8(pa.array([" ".join(["a", *words[:24], "b"]), None, "a b"]))
+    found = index.matches(*text)
+    assert {(t, i) for t, i, *_ in found} == {(0, 0), (0, 1)}
+    index.near[:] = False
+    assert index.matches(*text) == []
+
+
+def test_decontamination_in_blocks_and_odd_rows(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    benchmark = spark.createDataFrame([(i, " ".join(words[i : i + 20])) for i in range(0, 40, 4)], "item_id long, text string")
+    rows = [(None, " ".join(words[:24])), (1, " ".join(words[8:28])), (1, " ".join(words[8:28])), (2, "a " * 200_000 + " ".join(words[:20]))]
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, item_id int, similarity string")
+    one = sorted(map(str, decontaminate.find(docs, benchmark).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    assert sorted(map(str, decontaminate.find(docs, benchmark).collect())) == one and len(one) == 5
+    assert decontaminate.clean(docs.union(docs.limit(1).selectExpr("3L", "'clean'", "item_id", "similarity")), benchmark).collect()[0].doc_id == 3
+
+
 def test_benchmark_items_without_id_are_found(spark):
     text = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, f"say {text} now"), (2, "nothing of it")], "doc_id long, text string")
