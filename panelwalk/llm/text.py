@@ -37,6 +37,10 @@ _BYTE_CODE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
 _WORD_INVERSE = pow(_WORD_BASE, -1, 1 << 64)
+_BYTE_INVERSE = pow(_BYTE_BASE, -1, 1 << 64)
+#: Bytes of words that are hashed together; a longer word is hashed alone.
+HASHED_AT_ONCE = 1 << 20
+_POWERS, _UNDO = _odd_powers(_BYTE_BASE, HASHED_AT_ONCE), _odd_powers(_BYTE_INVERSE, HASHED_AT_ONCE + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,15 +96,19 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each word."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    powers = _odd_powers(_BYTE_BASE, int(lengths.max()))
-    sums = np.add.reduceat(_BYTE_CODE[data[within + np.repeat(starts, lengths)]] * powers[within], first)
-    return mix(sums + lengths.astype(np.uint64))
+    """64-bit hash of the bytes of each word, from sums over the bytes of many words; starts ascend."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + HASHED_AT_ONCE, "right")))
+        size = int(ends[j - 1]) - low
+        powers, undo = (_POWERS, _UNDO) if size <= HASHED_AT_ONCE else (_odd_powers(_BYTE_BASE, size), _odd_powers(_BYTE_INVERSE, 1))
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE_CODE[data[low : low + size]] * powers[:size], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * undo[starts[i:j] - low]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 class Ranges:
@@ -138,11 +146,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir") + "/_steps"
 
 
-def kept(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
-    """Writes a step as a table in the shared folder and reads it back: lineage ends there."""
+def kept(df: DataFrame, name: str, options: dict | None = None, by: str | None = None) -> DataFrame:
+    """Writes a step as a table in the shared folder, in folders by the last column if that is named, and reads it
+    back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
+    writer = df.write.options(**(options or {}))
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
