@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import clip, rounded, series, sharpe, upto
+from ..functions.common import clip, series, sharpe
 from ..operators import backtest, clean, folds, indicators, pareto, qc, select, stats
 from ..sources import files, panels
 from ..streaming import streams
 from . import frames as fr
-from .sql import sql
+from . import reports  # noqa: F401  registers its own
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 BARS = "SELECT entity, ts, open, high, low, close, adj_close, volume FROM "
 
 
-def query(name: str, oracle: str | None = None, exact: bool = False, digits: int = 6) -> Callable[[Query], Query]:
-    """Registers a query; its doubles are rounded here, as in its SQL, unless they are exact. Prices are cents
-    by a quantity of up to 50, which can end in a five at the seventh digit: eight digits leave no ties."""
-
-    def put(f: Query) -> Query:
-        QUERIES[name] = f if exact else lambda spark, d: rounded(f(spark, d), digits)
-        if oracle:
-            ORACLES[name] = sql(oracle.replace(', 6)', f', {digits})'))
-        return f
-
-    return put
-
-
 def _listing(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("AF", "1994-01-01")], "entity string, listed string").withColumn("listed", F.col("listed").cast("date"))
 

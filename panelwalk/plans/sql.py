@@ -79,6 +79,21 @@ FROM traits a JOIN traits b ON a.feature = b.feature AND a.fold_id < b.fold_id J
     "penalised": """SELECT i, j, sim, coalesce(c / (84 - c), 0) AS overlap, same_entity, 1 - least(greatest(sim - 0.9 * coalesce(c / (84 - c), 0) - 0.25 * same_entity::INT, 0), 1) AS dissim FROM pairs LEFT JOIN day_overlaps USING (i, j)""",
 }
 
+# Sampled thresholds, evaluated as the grid's are.
+TABLES["samples"] = """SELECT fold_id, "interval", k, round(CASE WHEN k % 2 = 0 THEN 0.01 + 0.59 * u ELSE greatest(0.01, least(0.6, thr * (0.8 + 0.4 * u))) END, 6) AS thr FROM (
+  SELECT fold_id, "interval", thr, k, ((fold_id * 7919 + "interval" * 104729 + k * 1299709 + 12345) % 100003) / 100003 AS u FROM knees, (SELECT unnest(range(0, 6)) AS k))"""
+TABLES["swept_placed"] = """SELECT f.*, k, thr, CASE WHEN still THEN 0 ELSE least(greatest(mu / (vol + 1e-8) / (thr + 1e-8), -1), 1) END AS pos FROM forecasts f JOIN samples USING (fold_id, "interval")"""
+_K = 'PARTITION BY fold_id, "interval", k ORDER BY off'
+TABLES["swept_trace"] = f"""SELECT *, ln(1 + greatest((exp(r) - 1) * pos - 0.0007 * turnover, -0.9999)) AS net FROM (SELECT *, abs(pos - coalesce(lag(pos) OVER ({_K}), 0)) AS turnover FROM swept_placed)"""
+TABLES["swept_curve"] = f"""SELECT *, max(c) OVER ({_K}) AS p FROM (SELECT *, exp(sum(net) OVER ({_K})) AS c FROM swept_trace)"""
+TABLES["swept_tests"] = TABLES["tests"].replace('"interval", thr,', '"interval", thr, k,').replace("curve", "swept_curve")
+TABLES["swept"] = TABLES["evals"].replace("FROM tests", "FROM swept_tests")
+TABLES["swept_front"] = TABLES["front"].replace("evals", "swept")
+TABLES["grown"] = """SELECT e.*, gen FROM evals e, (SELECT unnest(range(1, 6)) AS gen) WHERE list_position([0.02, 0.05, 0.1, 0.2, 0.4]::DOUBLE[], thr) <= gen"""
+TABLES["small"] = "SELECT * FROM evals WHERE thr < 0.15"
+TABLES["large"] = "SELECT * FROM evals WHERE thr > 0.07"
+TABLES["stacked"] = f"""SELECT fold_id, "interval", thr, f0, f1 FROM ({TABLES["front"].replace("evals", "small")}) UNION SELECT fold_id, "interval", thr, f0, f1 FROM ({TABLES["front"].replace("evals", "large")})"""
+
 
 def sql(body: str) -> str:
     """The query with the tables that it needs before it."""
@@ -89,6 +104,6 @@ def sql(body: str) -> str:
             if name not in names and re.search(rf"(?<![\w.'])(?<!AS ){name}(?![\w'(])", text):
                 names.add(name)
                 todo.append(TABLES[name])
-    tables = ",\n".join(f"{n} AS ({TABLES[n]})" for n in TABLES if n in names)
+    tables = ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n]})" for n in TABLES if n in names)
     own = body.removeprefix("WITH ")
     return f"WITH {tables}{', ' if own != body else ''}\n{own}" if names else body

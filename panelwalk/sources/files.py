@@ -17,8 +17,10 @@ ALIASES = {"interval": "retrain_interval", "retrain": "retrain_interval", "ticke
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new place in the folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_steps"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root or spark.conf.get('spark.sql.warehouse.dir') + '/_steps'}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "step", **options) -> DataFrame:
@@ -105,3 +107,15 @@ def append_new(batch: DataFrame, path: str, keys: list[str]) -> DataFrame:
             raise
     batch.write.mode("append").parquet(path)
     return spark.read.schema(batch.schema).parquet(path)
+
+
+def fold_slice(spark: SparkSession, path: str, split: str, schema: str) -> DataFrame:
+    """One part of a table of fold rows kept in folders by part; the filter decides which folders are read."""
+    return spark.read.schema(schema).parquet(path).where(F.col("split") == split)
+
+
+def by_file_id(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
+    """All files below a folder with fold_id from each file's place, in order of ids; files that can't be read are
+    left out."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).parquet(path)
+    return rows.withColumn("fold_id", F.nullif(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1), F.lit("")).try_cast("long")).where("fold_id is not null")
