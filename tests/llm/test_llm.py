@@ -318,6 +318,24 @@ def test_lm_weights_come_from_all_training_texts(spark, monkeypatch):
     assert np.array_equal(again.own, model.own)
 
 
+def test_lm_score_equals_one_masked_pass():
+    """A text within one window, id by id with a whole softmax."""
+    rng = np.random.default_rng(4)
+    model = lm_score.train([rng.integers(0, 300, 200) for _ in range(4)], np.r_[rng.integers(1, 50, 300).astype(float), 4.0])
+    ids, end = rng.integers(0, 300, 20), 300
+    before, total = [end, *ids], 0.0
+    for t, goal in enumerate([*ids, end]):
+        rows = model.compact[before[: t + 1]]
+        w = np.exp([model.query[rows[-1]] @ model.key[r] + model.bias[t, lm_score.BEFORE + j] for j, r in enumerate(rows)])
+        seen = (w[:, None] * model.value[rows]).sum(0) / w.sum()
+        outer = seen @ model.out_group + model.own_group[rows[-1]]
+        inner = (seen @ model.out).reshape(-1, lm_score.GROUP) + model.own[rows[-1]]
+        each = (outer - np.log(np.exp(outer).sum()))[:, None] + inner - np.log(np.exp(inner).sum(1, keepdims=True))
+        assert math.isclose(np.exp(each).sum(), 1, rel_tol=1e-4)
+        total += each.ravel()[model.classes[goal]] + model.inside[goal]
+    assert math.isclose(model.scores(ids, np.array([0, 20]))[0], total, rel_tol=1e-4)
+
+
 def test_lm_windows_score_each_id_once():
     rng = np.random.default_rng(0)
     model = lm_score.train([rng.integers(0, 40, 300) for _ in range(3)], np.ones(41))
@@ -408,3 +426,36 @@ def test_benchmark_items_without_id_are_found(spark):
     benchmark = spark.createDataFrame([(None, text), (7, text)], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id or -1) for r in decontaminate.find(docs, benchmark).collect()) == [(1, -1), (1, 7)]
     assert [r.doc_id for r in decontaminate.clean(docs, benchmark).collect()] == [2]
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "word_hashes", lambda data, starts, ends: np.full(len(starts), 5, np.uint64))
+    library, encoder = Tokenizer.from_file(queries.BYTE_BPE), bpe.Encoder(bpe.vocabulary(queries.BYTE_BPE), bpe.merge_in_step)
+    texts = ["some plain words here", "other words there and there", "some words again"]
+    ids, stops = encoder.encode(*utf8(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(stops, stops[1:], strict=False)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_toxicity_pieces_make_the_features_of_the_whole(monkeypatch):
+    text = utf8(pa.array(["", "Kill é漢字 THE thing 🎉 " * 40, "aé", None, "x" * 500]))
+    whole = toxicity.features(*text)
+    monkeypatch.setattr(toxicity, "PIECE", 37)
+    assert np.array_equal(toxicity.features(*text), whole)
+    grams = {(i, t[k : k + n]) for i, t in enumerate(["kill é漢字 the thing 🎉 " * 40, "aé", "x" * 500]) for n in toxicity.SIZES for k in range(len(t) - n + 1)}
+    assert len(grams) - len(whole) <= 2  # buckets may be shared
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_a_column_of_the_score_name_is_replaced(spark, sf, module):
+    labels = spark.read.parquet(f"{sf}/labels.parquet").limit(0)
+    table = spark.createDataFrame([(1, "a text", "old")], "doc_id long, text string, Score string")
+    got = module.score(table, module.fit(table.drop("Score"), labels))
+    assert got.columns == ["doc_id", "text", "score"] and got.first().score in (0.5, module.THRESHOLD)
+
+
+def test_equal_texts_have_equal_media(spark):
+    rows = [(1, "same text"), (2, "same text"), (3, None), (4, "")]
+    got = {r.doc_id: tuple(r)[1:] for r in mpeg_audio.round_trip(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] and got[3] == got[4] and got[1][0] == 9 and len(got[1][-1]) == 1
+    stream = mpeg_audio.to_mpeg(mpeg_audio.padded(b"same text"))
+    assert got[1][4:6] == (len(stream), hashlib.sha256(stream).hexdigest())
