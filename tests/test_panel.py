@@ -13,7 +13,7 @@ from panelwalk.sources import files
 from .oracle import differences, duck
 
 #: One or two of each family; all are compared by the driver, and with this list emptied, here.
-FAMILIES = "bars calendar_align ffill_prices dedup_first log_return label_quantile rsi obv rolling_sharpe fold_generate fold_summary qc_restore meta_features bh_metrics acf kpss_stat backtest_summary hysteresis_signal pareto_front hypervolume interval_report csv_round_trip ragged_csv".split()
+FAMILIES = "bars calendar_align ffill_prices dedup_first log_return label_quantile rsi obv rolling_sharpe fold_generate fold_summary qc_restore meta_features bh_metrics acf kpss_stat backtest_summary hysteresis_signal pareto_front hypervolume interval_report csv_round_trip ragged_csv validated_join lookup_ids sample_per_entity category_order drawdown_kinds arch_lm yeo_johnson_lambda power_column outlier_default locked_features fold_slice ar1_forecast hybrid_scale".split()
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, sf, con, name):
 
 
 def test_every_query_has_a_plan(spark, sf):
-    eager = {"csv_round_trip", "json_fold_summaries", "log_scan", "ragged_csv", "append_resume", "stream_hourly_bars", "stream_signals", "representative_folds", "coverage_stats", "best_swap", "coverage_elbow", "pca_components", "pca_loadings", "describe_returns"}
+    eager = {"csv_round_trip", "json_fold_summaries", "log_scan", "ragged_csv", "append_resume", "stream_hourly_bars", "stream_signals", "representative_folds", "coverage_stats", "best_swap", "coverage_elbow", "pca_components", "pca_loadings", "describe_returns", "hv_progression", "seed_picks", "fold_slice", "fold_files", "locked_features"}
     for name in set(Q.QUERIES) - eager:
         assert Q.QUERIES[name](spark, sf).columns, name
 
@@ -155,3 +155,20 @@ def test_streak_signal_covers_every_interval(spark, sf):
     expected = sorted(map(tuple, frames.forecasts(spark, sf).select(*keys).collect()))
     assert {k[1] for k in expected} == {10, 20, 42}
     assert sorted(map(tuple, got.select(*keys).collect())) == expected
+
+
+def test_repeated_keys_end_a_many_to_one_join(spark):
+    from panelwalk.operators import report
+
+    left = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "k int, entity string")
+    right = spark.createDataFrame([(1, "x", 5)], "k int, entity string, v int")
+    assert sorted(map(tuple, report.many_to_one(left, right, ["k"]).collect())) == [(1, "x", 5), (2, "a", None), (3, "UNK", None)]
+    with pytest.raises(Exception, match="repeated key"):
+        report.many_to_one(left, right.union(right), ["k"]).collect()
+
+
+def test_first_evaluations_round_half_to_even(spark):
+    from panelwalk.operators import report
+
+    df = spark.createDataFrame([(1, 0.125, 0), (1, 0.12, 1), (1, 0.13, 2)], "g int, t double, seq int")
+    assert sorted(x.seq for x in report.first_evaluations(df, ["g"], "t", "seq", 2).collect()) == [0, 2]
