@@ -151,7 +151,7 @@ def kept(df: DataFrame, name: str, options: dict | None = None, by: str | None =
     back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.options(**(options or {}))
+    writer = df.write.options(**({"compression": "zstd"} | (options or {})))
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
