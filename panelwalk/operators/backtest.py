@@ -50,8 +50,8 @@ def pnl(runs: DataFrame, keys: list[str] = RUN, order: str = "off", cost_multipl
 
 def backtests(trace: DataFrame, keys: list[str] = RUN) -> DataFrame:
     """Risk of the net returns with turnover, rebalances and round turns, by run."""
-    trades = trace.groupBy(*keys).agg(F.sum("turnover").alias("turnover"), F.count_if(F.col("turnover") > 1e-6).alias("rebalances"), (F.sum("turnover") / 2).alias("round_turns"))
-    return risk(trace, keys, order="off", r="net").join(trades, keys)
+    trades = F.sum("turnover").alias("turnover"), F.count_if(F.col("turnover") > 1e-6).alias("rebalances"), (F.sum("turnover") / 2).alias("round_turns")
+    return risk(trace, keys, order="off", r="net", more=trades)
 
 
 def objectives(tests: DataFrame, low: float = 0.01, high: float = 0.6) -> DataFrame:

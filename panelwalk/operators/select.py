@@ -52,7 +52,7 @@ def similar_pairs(meta: DataFrame) -> DataFrame:
     """i < j, cosine similarity clipped to 0..1, Jaccard overlap of days, and the penalised dissimilarity.
 
     Every pair of folds is a row of the result. Overlaps come from an equi-join by day."""
-    t = traits(meta)
+    t = stored(traits(meta), "traits")
     a, b = t.select(F.col("fold_id").alias("i"), F.col("entity").alias("e"), F.col("z").alias("x")), t.select(F.col("fold_id").alias("j"), F.col("entity").alias("f"), F.col("z").alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     pairs = a.join(b, F.col("i") < F.col("j")).select("i", "j", clip(dot, 0.0, 1.0).alias("sim"), (F.col("e") == F.col("f")).alias("same_entity"))

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.common import TINY, YEAR, series, sharpe, upto
 
 
-def risk(df: DataFrame, keys: list[str], order: str = "ts", r: str = "r") -> DataFrame:
-    """Sharpe, largest drawdown, annual return and volatility, and rows, of log returns by key."""
+def risk(df: DataFrame, keys: list[str], order: str = "ts", r: str = "r", more: tuple[Column, ...] = ()) -> DataFrame:
+    """Sharpe, largest drawdown, annual return and volatility, and rows, of log returns by key; more aggregates after them."""
     w = series(*keys, order=order)
     run = df.withColumn("_c", F.exp(F.sum(r).over(upto(w)))).withColumn("_p", F.max("_c").over(upto(w)))
-    return run.groupBy(*keys).agg(sharpe(r).alias("sharpe"), F.max((F.col("_p") - F.col("_c")) / (F.col("_p") + TINY)).alias("mdd"), (F.avg(r) * YEAR).alias("ann_return"), (F.stddev_samp(r) * YEAR**0.5).alias("ann_vol"), F.count("*").alias("n_points"))
+    return run.groupBy(*keys).agg(sharpe(r).alias("sharpe"), F.max((F.col("_p") - F.col("_c")) / (F.col("_p") + TINY)).alias("mdd"), (F.avg(r) * YEAR).alias("ann_return"), (F.stddev_samp(r) * YEAR**0.5).alias("ann_vol"), F.count("*").alias("n_points"), *more)
 
 
 def describe(returns: DataFrame) -> DataFrame:

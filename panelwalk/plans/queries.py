@@ -97,7 +97,7 @@ _META = ["positive_ratio", "volatility", "downside_volatility", "max_drawdown",
 query("meta_features", "SELECT fold_id, entity, " + ", ".join(f"round({c}, 6) AS {c}" for c in _META) + ", date_min, date_max, len(date_list)::BIGINT AS days FROM meta")(lambda s, d: fr.meta(s, d).withColumn("days", F.size("date_list").cast("long")).drop("date_list"))
 
 # Quality control
-query("qc_merge_meta", "SELECT q.fold_id, round(coalesce(vol, round(volatility, 9)), 6) AS vol FROM qc q JOIN meta USING (fold_id) WHERE coalesce(ratio, positive_ratio) IS NOT NULL")(lambda s, d: qc.merge_meta(fr.qc_table(s, d), fr.meta(s, d).withColumn("volatility", F.round("volatility", 9)))[0].select("fold_id", "vol"))
+query("qc_merge_meta", "SELECT q.fold_id, round(coalesce(vol, round(volatility, 9)), 6) AS vol FROM qc q JOIN meta USING (fold_id) WHERE coalesce(ratio, positive_ratio) IS NOT NULL")(lambda s, d: (lambda rows: qc.merge_meta(fr.qc_table(s, d, rows), fr.meta(s, d, rows).withColumn("volatility", F.round("volatility", 9)))[0].select("fold_id", "vol"))(fr.fold_rows(s, d)))
 query("qc_thresholds", "SELECT entity, round(low, 6) AS low, round(high, 6) AS high, round(least_vol, 6) AS least_vol FROM limits")(lambda s, d: qc.thresholds(fr.qc_table(s, d)))
 
 
@@ -184,7 +184,7 @@ query("hv_gain_summary", 'SELECT "interval", count(*) FILTER (gain > 1e-12) AS i
 query("final_interval", 'SELECT "interval", round(median(gain) / (nullif(stddev_samp(gain), 0) + 1e-9), 6) AS score, round(median(gain), 6) AS median_gain, count(*) AS n FROM gains GROUP BY "interval" ORDER BY median(gain) / (nullif(stddev_samp(gain), 0) + 1e-9) DESC NULLS LAST, median_gain DESC, n DESC, "interval" LIMIT 1')(lambda s, d: pareto.final_interval(fr.gains(s, d), "interval"))
 query("scalarised", 'SELECT fold_id, "interval", thr, lam, round(greatest(lam * s0, (1 - lam) * s1) + 0.05 * (lam * s0 + (1 - lam) * s1), 6) AS value FROM ranged, (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS lam)')(lambda s, d: pareto.scalarised(fr.fronts(s, d), fr.CASE, [0.25, 0.5, 0.75]).select("fold_id", "interval", "thr", "lam", "value"))
 query("best_and_knee", """SELECT fold_id, "interval", thr, 'best' AS pick FROM front QUALIFY row_number() OVER (PARTITION BY fold_id, "interval" ORDER BY f0, f1, thr) = 1 UNION ALL SELECT fold_id, "interval", thr, 'knee' FROM knees""")(
-    lambda s, d: clean.first_of_each(fr.fronts(s, d), fr.CASE, [F.col("f0"), F.col("f1"), F.col("thr")]).select("fold_id", "interval", "thr", F.lit("best").alias("pick")).unionByName(pareto.knees(fr.fronts(s, d), fr.CASE, ["thr"]).select("fold_id", "interval", "thr", F.lit("knee").alias("pick")))
+    lambda s, d: (lambda x: clean.first_of_each(x, fr.CASE, [F.col("f0"), F.col("f1"), F.col("thr")]).select("fold_id", "interval", "thr", F.lit("best").alias("pick")).unionByName(pareto.knees(x, fr.CASE, ["thr"]).select("fold_id", "interval", "thr", F.lit("knee").alias("pick"))))(files.stored(fr.fronts(s, d), "fronts"))
 )
 
 # Reports
@@ -197,7 +197,7 @@ query("pivot_interval", 'SELECT fold_id, round(max(sharpe) FILTER ("interval" =
 query("source_delta_top3", """SELECT a.fold_id, a."interval", round(b.f0 - a.f0, 6) AS delta FROM evals a JOIN evals b ON a.fold_id = b.fold_id AND a."interval" = b."interval" AND a.thr = 0.05 AND b.thr = 0.2 ORDER BY round(abs(b.f0 - a.f0), 6) DESC, a.fold_id, a."interval" LIMIT 3""")(
     lambda s, d: fr.evals(s, d).groupBy("fold_id", "interval").agg((F.max(F.when(F.col("thr") == 0.2, F.col("f0"))) - F.max(F.when(F.col("thr") == 0.05, F.col("f0")))).alias("delta")).orderBy(F.desc(F.round(F.abs("delta"), 6)), "fold_id", "interval").limit(3)
 )
-query("resume_anti_join", 'SELECT fold_id, "interval", thr FROM evals EXCEPT SELECT fold_id, "interval", thr FROM front')(lambda s, d: fr.evals(s, d).select("fold_id", "interval", "thr").join(fr.fronts(s, d).select("fold_id", "interval", "thr"), ["fold_id", "interval", "thr"], "left_anti"))
+query("resume_anti_join", 'SELECT fold_id, "interval", thr FROM evals EXCEPT SELECT fold_id, "interval", thr FROM front')(lambda s, d: (lambda x: x.select("fold_id", "interval", "thr").join(pareto.front(x, fr.CASE).select("fold_id", "interval", "thr"), ["fold_id", "interval", "thr"], "left_anti"))(files.stored(fr.evals(s, d), "evals")))
 query("top_n_per_entity", "SELECT entity, fold_id, rank::INT AS rank, round(rmse, 6) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(rmse, 8), fold_id) AS rank FROM (SELECT fold_id, entity, sqrt(avg((r - drift) * (r - drift))) AS rmse FROM fold_rows JOIN (SELECT fold_id, avg(r) AS drift FROM fold_rows WHERE split = 'train' GROUP BY fold_id) USING (fold_id) WHERE split = 'val' GROUP BY ALL)) WHERE rank <= 5")(
     lambda s, d: indicators.top_n(folds.random_walk_rmse(fr.fold_rows(s, d)), 5, ["entity"], [F.round("rmse", 8), F.col("fold_id")]).select("entity", "fold_id", "rank", "rmse")
 )
@@ -208,8 +208,8 @@ query("minmax_scale", "SELECT entity, ts, round((close - lo) / (hi - lo), 6) AS
 query("hybrid_scale", """SELECT fold_id, off, round((r - m) / sd, 6) AS r, round((close - lo) / (hi - lo), 6) AS close FROM fold_rows, (SELECT avg(r) AS m, stddev_pop(r) AS sd, min(close) AS lo, max(close) AS hi FROM fold_rows WHERE split = 'train')""")(
     lambda s, d: (lambda x: select.scale(x, x.where("split = 'train'"), ["r"], ["close"]).select("fold_id", "off", "r", "close"))(fr.fold_rows(s, d).select("fold_id", "off", "split", "r", "close"))
 )
-query("cosine_pairs", "SELECT i, j, round(sim, 6) AS sim, same_entity FROM pairs")(lambda s, d: select.similar_pairs(fr.meta(s, d)).select("i", "j", "sim", "same_entity"))
-query("penalised_pairs", "SELECT i, j, round(overlap, 6) AS overlap, round(dissim, 6) AS dissim FROM penalised")(lambda s, d: select.similar_pairs(fr.meta(s, d)).select("i", "j", "overlap", "dissim"))
+query("cosine_pairs", "SELECT i, j, round(sim, 6) AS sim, same_entity FROM pairs")(lambda s, d: select.similar_pairs(files.stored(fr.meta(s, d), "meta")).select("i", "j", "sim", "same_entity"))
+query("penalised_pairs", "SELECT i, j, round(overlap, 6) AS overlap, round(dissim, 6) AS dissim FROM penalised")(lambda s, d: select.similar_pairs(files.stored(fr.meta(s, d), "meta")).select("i", "j", "overlap", "dissim"))
 
 
 def _chosen(s: SparkSession, d: str, k: int = 4) -> tuple[DataFrame, DataFrame]:

@@ -14,10 +14,10 @@ from .registry import query
 RUN = ["fold_id", "entity", "interval", "thr"]
 
 
-def sweep(s: SparkSession, d: str) -> DataFrame:
-    """Evaluations of sampled thresholds, half of them near the knee of the grid's front."""
-    forecasts = fr.forecasts(s, d)
-    knees = pareto.knees(fr.fronts(s, d), fr.CASE, ["thr"]).select(*fr.CASE, F.col("thr").alias("champion"))
+def sweep(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """Evaluations of sampled thresholds over rows of folds, half of them near the knee of the grid's front."""
+    forecasts = fr.forecasts(s, d, rows)
+    knees = pareto.knees(pareto.front(fr.evals(s, d, rows), fr.CASE), fr.CASE, ["thr"]).select(*fr.CASE, F.col("thr").alias("champion"))
     samples = report.sampled_thresholds(knees.select(*fr.CASE), knees, 6)
     runs = report.scaled_position(forecasts.join(samples, fr.CASE), F.col("thr"))
     tests = backtest.backtests(backtest.pnl(runs, [*RUN, "k"]), [*RUN, "k"])
@@ -25,14 +25,15 @@ def sweep(s: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"f0": F.round("f0", 7), "f1": F.round("f1", 7)})
 
 
-query("parameter_sweep", 'SELECT fold_id, "interval", k, round(thr, 6) AS thr, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM swept_front', digits=7)(lambda s, d: pareto.front(sweep(s, d), fr.CASE).select(*fr.CASE, "k", "thr", "f0", "f1"))
+query("parameter_sweep", 'SELECT fold_id, "interval", k, round(thr, 6) AS thr, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM swept_front', digits=7)(lambda s, d: pareto.front(sweep(s, d, fr.fold_rows(s, d)), fr.CASE).select(*fr.CASE, "k", "thr", "f0", "f1"))
 
 
 @query("random_search_summary", """SELECT model, "interval", round(median(sharpe), 6) AS median_sharpe, round(median(mdd), 6) AS median_mdd, count(DISTINCT fold_id) AS folds, count(*) AS n
 FROM (SELECT 'sampled' AS model, fold_id, "interval", sharpe, mdd FROM swept UNION ALL SELECT 'grid', fold_id, "interval", sharpe, mdd FROM evals) GROUP BY ALL""")
 def random_search(s: SparkSession, d: str) -> DataFrame:
     rows = lambda df, name: df.select(F.lit(name).alias("model"), "fold_id", "interval", "sharpe", "mdd")
-    both = rows(sweep(s, d), "sampled").unionByName(rows(fr.evals(s, d), "grid"))
+    held = fr.fold_rows(s, d)
+    both = rows(sweep(s, d, held), "sampled").unionByName(rows(fr.evals(s, d, held), "grid"))
     return both.groupBy("model", "interval").agg(F.median("sharpe").alias("median_sharpe"), F.median("mdd").alias("median_mdd"), F.countDistinct("fold_id").alias("folds"), F.count("*").alias("n"))
 
 
@@ -56,7 +57,7 @@ query("final_hv_by_stage", """SELECT "interval", round(avg(hv) FILTER (stage = '
     lambda s, d: fr.hypervolumes(s, d).groupBy("interval").pivot("stage", ["GA", "GA+BO"]).agg(F.avg("hv")).select("interval", F.col("GA").alias("ga"), F.col("`GA+BO`").alias("ga_bo"))
 )
 query("validated_join", """SELECT fold_id, "interval", thr, coalesce(CASE WHEN fold_id % 2 = 0 THEN e.entity END, f.entity, 'UNK') AS entity, round(val_vol, 6) AS val_vol FROM evals e LEFT JOIN (SELECT * FROM folds WHERE fold_id % 5 <> 0) f USING (fold_id)""")(
-    lambda s, d: report.many_to_one(fr.evals(s, d).select("fold_id", "interval", "thr", F.when(F.col("fold_id") % 2 == 0, F.col("entity")).alias("entity")), fr.fold_table(s, d).where("fold_id % 5 <> 0").select("fold_id", "entity", "val_vol"), ["fold_id"])
+    lambda s, d: (lambda rows: report.many_to_one(fr.evals(s, d, rows).select("fold_id", "interval", "thr", F.when(F.col("fold_id") % 2 == 0, F.col("entity")).alias("entity")), fr.fold_table(s, d, rows).where("fold_id % 5 <> 0").select("fold_id", "entity", "val_vol"), ["fold_id"]))(fr.fold_rows(s, d))
 )
 _RMSE = 'SELECT fold_id, entity, sqrt(avg((r - drift) * (r - drift))) AS rmse FROM fold_rows JOIN (SELECT fold_id, avg(r) AS drift FROM fold_rows WHERE split = \'train\' GROUP BY fold_id) USING (fold_id) WHERE split = \'val\' GROUP BY ALL'
 
@@ -65,8 +66,9 @@ _RMSE = 'SELECT fold_id, entity, sqrt(avg((r - drift) * (r - drift))) AS rmse FR
 FROM (SELECT entity, min(rmse) AS first FROM ({_RMSE}) GROUP BY entity) JOIN (SELECT entity, min(rmse) AS second FROM (SELECT entity, fold_id, "interval", sqrt(avg((r - mu) * (r - mu))) AS rmse FROM forecasts GROUP BY ALL) GROUP BY entity) USING (entity)""")
 def two_models(s: SparkSession, d: str) -> DataFrame:
     error = F.sqrt(F.avg((F.col("r") - F.col("mu")) * (F.col("r") - F.col("mu"))))
-    ar1 = fr.forecasts(s, d).groupBy("entity", "fold_id", "interval").agg(error.alias("rmse"))
-    return report.improvement(folds.random_walk_rmse(fr.fold_rows(s, d)), ar1, "entity", "rmse")
+    rows = fr.fold_rows(s, d)
+    ar1 = fr.forecasts(s, d, rows).groupBy("entity", "fold_id", "interval").agg(error.alias("rmse"))
+    return report.improvement(folds.random_walk_rmse(rows), ar1, "entity", "rmse")
 
 
 @query("lookup_ids", """SELECT 'found' AS kind, count(*) AS n, min(fold_id) AS least, max(fold_id) AS most FROM folds WHERE fold_id IN (SELECT DISTINCT user_id FROM events)
@@ -97,7 +99,7 @@ query("flagged_knees", """SELECT fold_id, "interval", thr FROM ranged QUALIFY ro
     lambda s, d: report.flagged_knees(fr.fronts(s, d).withColumn("is_knee", F.when(F.col("thr") == 0.1, F.col("fold_id") % 3 == 0)), fr.CASE, "is_knee", ["thr"]).select("fold_id", "interval", "thr")
 )
 query("union_front", """SELECT fold_id, "interval", thr, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM stacked a WHERE NOT EXISTS (SELECT 1 FROM stacked b WHERE a.fold_id = b.fold_id AND a."interval" = b."interval" AND b.f0 <= a.f0 AND b.f1 <= a.f1 AND (b.f0 < a.f0 OR b.f1 < a.f1))""", digits=7)(
-    lambda s, d: (lambda e: pareto.front(pareto.front(e.where("thr < 0.15"), fr.CASE).unionByName(pareto.front(e.where("thr > 0.07"), fr.CASE)).distinct(), fr.CASE).select("fold_id", "interval", "thr", "f0", "f1"))(fr.evals(s, d).select(*fr.CASE, "thr", "f0", "f1"))
+    lambda s, d: (lambda e: pareto.front(pareto.front(e.where("thr < 0.15"), fr.CASE).unionByName(pareto.front(e.where("thr > 0.07"), fr.CASE)).distinct(), fr.CASE).select("fold_id", "interval", "thr", "f0", "f1"))(files.stored(fr.evals(s, d).select(*fr.CASE, "thr", "f0", "f1"), "evals"))
 )
 query("seed_picks", """SELECT fold_id, "interval", thr, 'f0' AS pick FROM front QUALIFY row_number() OVER (PARTITION BY fold_id, "interval" ORDER BY f0, f1, thr) = 1
 UNION ALL SELECT fold_id, "interval", thr, 'f1' FROM front QUALIFY row_number() OVER (PARTITION BY fold_id, "interval" ORDER BY f1, f0, thr) = 1

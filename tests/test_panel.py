@@ -32,6 +32,12 @@ def test_every_query_has_a_plan(spark, sf):
         assert Q.QUERIES[name](spark, sf).columns, name
 
 
+@pytest.mark.parametrize("name", ["hypervolume", "cosine_pairs", "pareto_front", "backtest_summary", "interval_report", "best_and_knee", "resume_anti_join"])
+def test_plans_read_stored_steps(spark, sf, name):
+    plan = Q.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and 1 <= plan.count("Relation [") <= 8
+
+
 def test_front_window_equals_dominance_join(spark):
     random.seed(2)
     rows = [(g, float(random.randint(0, 6)), float(random.randint(0, 6))) for g in range(40) for _ in range(12)]
