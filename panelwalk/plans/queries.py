@@ -282,8 +282,8 @@ query("column_aliases", "SELECT event_id::DOUBLE AS fold_id, event_type AS entit
 
 
 def _stream_bars(s: SparkSession, d: str) -> DataFrame:
-    """All hours that the watermark has closed."""
-    return streams.run_once(streams.hourly_bars(streams.event_stream(s, d)), files.folder(s, "stream"), files.folder(s, "stream-state"))
+    """All hours, those that the watermark has not closed as they stand at the end."""
+    return streams.run_updates(streams.hourly_bars(streams.event_stream(s, d)), ["entity", "ts"], files.folder(s, "stream"), files.folder(s, "stream-state"))
 
 
 def _stream_signals(s: SparkSession, d: str) -> DataFrame:
@@ -291,5 +291,6 @@ def _stream_signals(s: SparkSession, d: str) -> DataFrame:
     return streams.run_once(streams.signals(changes), files.folder(s, "stream"), files.folder(s, "stream-state"))
 
 
-query("stream_hourly_bars", exact=True)(_stream_bars)
+query("stream_hourly_bars", """SELECT event_type AS entity, date_trunc('hour', ts)::TIMESTAMP AS ts, min_by(value, {'a': ts, 'b': event_id, 'c': value}) AS open, max(value) AS high, min(value) AS low,
+  max_by(value, {'a': ts, 'b': event_id, 'c': value}) AS close, count(*) AS n FROM events GROUP BY ALL""", exact=True)(_stream_bars)
 query("stream_signals")(_stream_signals)

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.backtest import streak_state
@@ -95,3 +96,16 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     """Runs a stream over what is there and returns what it wrote."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_updates(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregation over what is there and returns every key's last state, windows that the watermark hasn't
+    closed included. Each batch's changed rows have a folder of their own, so a batch that is run again replaces it."""
+
+    def put(batch: DataFrame, nth: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={nth}")
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])

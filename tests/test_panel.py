@@ -13,7 +13,7 @@ from panelwalk.sources import files
 from .oracle import differences, duck
 
 #: One or two of each family; all are compared by the driver, and with this list emptied, here.
-FAMILIES = "bars calendar_align ffill_prices dedup_first log_return label_quantile rsi obv rolling_sharpe fold_generate fold_summary qc_restore meta_features bh_metrics acf kpss_stat backtest_summary hysteresis_signal pareto_front hypervolume interval_report csv_round_trip ragged_csv validated_join lookup_ids sample_per_entity category_order drawdown_kinds arch_lm yeo_johnson_lambda power_column outlier_default locked_features fold_slice ar1_forecast hybrid_scale".split()
+FAMILIES = "bars calendar_align ffill_prices dedup_first log_return label_quantile rsi obv rolling_sharpe fold_generate fold_summary qc_restore meta_features bh_metrics acf kpss_stat backtest_summary hysteresis_signal pareto_front hypervolume interval_report csv_round_trip ragged_csv validated_join lookup_ids sample_per_entity category_order drawdown_kinds arch_lm yeo_johnson_lambda power_column outlier_default locked_features fold_slice ar1_forecast hybrid_scale stream_hourly_bars".split()
 
 
 @pytest.fixture(scope="module")
@@ -178,3 +178,53 @@ def test_first_evaluations_round_half_to_even(spark):
 
     df = spark.createDataFrame([(1, 0.125, 0), (1, 0.12, 1), (1, 0.13, 2)], "g int, t double, seq int")
     assert sorted(x.seq for x in report.first_evaluations(df, ["g"], "t", "seq", 2).collect()) == [0, 2]
+
+
+def test_coverage_of_a_choice_equals_brute_force(spark):
+    random.seed(11)
+    n, taken = 9, [2, 5, 7]
+    sim = {(i, j): round(random.random(), 3) for i in range(n) for j in range(i + 1, n)}
+    pairs = spark.createDataFrame([(i, j, x, 0.0) for (i, j), x in sim.items()], "i long, j long, sim double, overlap double")
+    chosen = spark.createDataFrame([(i,) for i in taken], "fold_id long")
+    of = lambda i, j: 1.0 if i == j else sim[min(i, j), max(i, j)]
+    covered = lambda some: [max(of(i, j) for i in some) for j in range(n)]
+    best = sorted(covered(taken))
+    got = select.coverage_stats(pairs, chosen).first()
+    assert (got.n, got.least) == (n, best[0]) and math.isclose(got.mean, sum(best) / n) and math.isclose(got.p50, best[n // 2])
+    swaps = {(out, into): sum(covered([t for t in taken if t != out] + [into])) - sum(best) for out in taken for into in range(n) if into not in taken}
+    swap = select.best_swap(pairs, chosen).first()
+    assert math.isclose(swap.gain, max(swaps.values())) and math.isclose(swaps[swap.out, swap["into"]], swap.gain)
+
+
+def test_elbow_is_the_first_small_step(spark):
+    curve = spark.createDataFrame([(1, 0.4), (2, 0.7), (3, 0.75), (4, 0.9), (5, 0.91)], "nth int, coverage double")
+    assert select.elbow(curve, 0.1).first().k == 3
+
+
+def test_partial_autocorrelations_solve_the_normal_equations(spark):
+    import numpy as np
+
+    from panelwalk.operators import stats
+
+    random.seed(3)
+    rows = [(e, i, random.gauss(0, 1) + (i % 7) * k) for e, k in (("a", 0.1), ("b", 0.4)) for i in range(80)]
+    acf = stats.acf(spark.createDataFrame(rows, "entity string, ts int, r double"), 6)
+    rho = {(x.entity, x.lag): x.acf for x in acf.collect()}
+    value = "pacf"
+    for x in stats.pacf(acf).collect():
+        row = [1.0, *[rho[x.entity, k] for k in range(1, x.lag + 1)]]
+        wanted = np.linalg.solve([[row[abs(i - j)] for j in range(x.lag)] for i in range(x.lag)], row[1:])[-1]
+        assert math.isclose(x[value], wanted, abs_tol=1e-9)
+
+
+def test_components_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 4)) * [3, 2, 1, 0.1]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double, d double")
+    parts, shares, _ = select.principal(df, list("abcd"), 0.95)
+    _, size, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(shares, size**2 / (size**2).sum())
+    got = np.array([list(r)[1:] for r in parts.orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs((x - x.mean(0)) @ axes[: got.shape[1]].T))
