@@ -228,3 +228,23 @@ def test_components_equal_numpy(spark):
     assert np.allclose(shares, size**2 / (size**2).sum())
     got = np.array([list(r)[1:] for r in parts.orderBy("id").collect()])
     assert np.allclose(np.abs(got), np.abs((x - x.mean(0)) @ axes[: got.shape[1]].T))
+
+
+def test_greedy_choice_equals_brute_force(spark):
+    random.seed(6)
+    n, k = 10, 4
+    pair = {(i, j): (round(random.random(), 3), random.choice([0.0, 0.6])) for i in range(n) for j in range(i + 1, n)}
+    pairs = spark.createDataFrame([(i, j, *x) for (i, j), x in pair.items()], "i long, j long, sim double, overlap double")
+    entity = ["x" if i < 6 else "y" for i in range(n)]
+    of = lambda i, j: (1.0, 0.0) if i == j else pair[min(i, j), max(i, j)]
+    cover, wanted = [0.0] * n, []
+    for _ in range(k):
+        free = [i for i in range(n) if i not in wanted and all(of(i, t)[1] <= 0.5 for t in wanted) and sum(entity[t] == entity[i] for t in wanted) < 2]
+        if not free:
+            break
+        gain = {i: sum(max(cover[j], of(i, j)[0]) - cover[j] for j in range(n)) for i in free}
+        wanted.append(min(free, key=lambda i: (-round(gain[i], 9), i)))
+        cover = [max(c, of(wanted[-1], j)[0]) for j, c in enumerate(cover)]
+    got = select.representatives(pairs, spark.createDataFrame(list(enumerate(entity)), "fold_id long, entity string"), k, per_entity=2).orderBy("nth").collect()
+    assert len(wanted) > 1 and [x.fold_id for x in got] == wanted
+    assert math.isclose(got[-1].coverage, sum(cover) / n)
