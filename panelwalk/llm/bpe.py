@@ -8,6 +8,7 @@ merge uses, so all places of the lowest pair can be merged together (leftmost fi
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 import unicodedata
@@ -17,7 +18,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from .text import SPACE, mix, word_hashes
+from .text import SPACE, same_bytes, word_hashes
 
 #: Rank of a pair that cannot be merged.
 NEVER = np.int64(1) << 40
@@ -155,14 +156,10 @@ class Table:
         return numbers
 
 
-def _checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A second number for each unit: from its length and its first and last eight bytes, which are all of most."""
-    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
-    size = np.minimum(ends - starts, 8).astype(np.uint64)
-    spare = (np.uint64(8) - size) * np.uint64(8)
-    first, last = eight[starts + 8] << spare, eight[ends] >> spare
-    return mix(first) + last * np.uint64(0x9E3779B97F4A7C15) + (ends - starts).astype(np.uint64)
+def _other_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int) -> np.ndarray:
+    """Other hashes of units whose hash another unit has."""
+    salt = turn.to_bytes(8, "little")
+    return np.array([int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8, salt=salt).digest(), "little") | 1 for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
 
 
 class Units(NamedTuple):
@@ -191,7 +188,8 @@ class Encoder:
         self.table = Table(MEMORY)
         self.ids, self.used = np.zeros(1 << 20, np.int32), 0
         self.start, self.count = np.zeros(MEMORY + 1, np.int64), np.zeros(MEMORY + 1, np.int64)
-        self.check = np.zeros(MEMORY + 1, np.uint64)
+        self.bytes, self.bytes_used = np.zeros(1 << 20, np.uint8), 0
+        self.place, self.size = np.zeros(MEMORY + 1, np.int64), np.zeros(MEMORY + 1, np.int64)
 
     def merged(self, parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each part's pieces, one after the other, and offsets by part."""
@@ -218,29 +216,33 @@ class Encoder:
         ends = np.r_[starts[1:], len(data)]
         text = np.searchsorted(offsets, starts, "right") - 1
         ends = np.minimum(ends, offsets[text + 1])
-        hashes, checks = word_hashes(data, starts, ends) | np.uint64(1), _checks(data, starts, ends)
+        hashes = word_hashes(data, starts, ends) | np.uint64(1)
         if self.table.size + len(hashes) > MEMORY and self.table.size > MEMORY // 2:
             self.forget()
-        found, ids, start, count = self.looked_up(data, starts, ends, hashes, checks)
+        found, ids, start, count = self.looked_up(data, starts, ends, hashes)
         return Units(found, ids, start, count, np.searchsorted(starts, offsets), np.flatnonzero(whole))
 
-    def looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Entries of the units, and the ids, starts and counts that they refer to. Units that the memory has
-        no room for are encoded in parts and not remembered: their entries follow the memory's. Units of one hash
-        and different checks get a new hash."""
+        no room for are encoded in parts and not remembered: their entries follow the memory's. The bytes of each
+        unit are held against those remembered for its hash; where they differ, the unit gets another hash."""
         found = self.table.find(hashes)
-        clash = (found >= 0) & (self.check[found] != checks)
-        new = np.flatnonzero(found < 0)
+        sizes = ends - starts
+        known, new = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
+        clash = np.zeros(len(hashes), bool)
+        clash[known] = ~self._remembered(data, starts[known], sizes[known], found[known])
         fresh, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-        clash[new] = checks[new] != checks[new[first]][back]
+        leads = new[first][back]
+        clash[new] = (sizes[new] != sizes[leads]) | ~same_bytes(data, starts[new], np.minimum(sizes[new], sizes[leads]), data, starts[leads])
         if clash.any():
-            again = np.where(clash, mix(hashes + checks) | np.uint64(1), hashes)
-            return self.looked_up(data, starts, ends, again, checks)
+            again = hashes.copy()
+            again[clash] = _other_hashes(data, starts[clash], ends[clash], turn)
+            return self.looked_up(data, starts, ends, again, turn + 1)
         if not len(new):
             return found, self.ids, self.start, self.count
         if self.table.size and self.table.size + len(fresh) > MEMORY:
             self.forget()
-            return self.looked_up(data, starts, ends, hashes, checks)
+            return self.looked_up(data, starts, ends, hashes, turn)
         at = new[first]
         for part in range(0, min(len(fresh), MEMORY), PART):
             some = slice(part, min(part + PART, MEMORY))
@@ -249,7 +251,7 @@ class Encoder:
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
             self.ids[self.used : self.used + len(ids)] = ids
-            self.check[numbers] = checks[at[some]]
+            self._remember(data, starts[at[some]], sizes[at[some]], numbers)
             self.start[numbers], self.count[numbers] = self.used + stops[:-1], np.diff(stops)
             self.used += len(ids)
         if len(fresh) <= MEMORY:
@@ -265,6 +267,20 @@ class Encoder:
         count = np.concatenate(counts)
         return found, np.concatenate(more), np.cumsum(count) - count, count
 
+    def _remember(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> None:
+        units = gathered(data, starts, sizes)
+        while self.bytes_used + len(units) + 8 > len(self.bytes):
+            self.bytes = np.r_[self.bytes, np.zeros_like(self.bytes)]
+        self.bytes[self.bytes_used : self.bytes_used + len(units)] = units
+        self.place[numbers], self.size[numbers] = self.bytes_used + np.cumsum(sizes) - sizes, sizes
+        self.bytes_used += len(units)
+
+    def _remembered(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Whether the units have the bytes of their entries."""
+        equal = sizes == self.size[numbers]
+        equal[equal] = same_bytes(data, starts[equal], sizes[equal], self.bytes, self.place[numbers[equal]], np.ndarray(len(self.bytes) - 7, "<u8", self.bytes, strides=(1,)))
+        return equal
+
     def encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of units and their offsets, without a look at the memory."""
         return self.merged([[x.encode() for x in self.v.cut(data[a:b].tobytes().decode("utf-8", "replace"))] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])

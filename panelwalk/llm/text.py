@@ -6,6 +6,8 @@ separators are single bytes which never occur inside another character, so words
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -26,21 +28,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def _odd_powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_RNG = np.random.default_rng(20240601)
-_BYTE_CODE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD1342543DE82EF95
-_WORD_INVERSE = pow(_WORD_BASE, -1, 1 << 64)
-_BYTE_INVERSE = pow(_BYTE_BASE, -1, 1 << 64)
-#: Bytes of words that are hashed together; a longer word is hashed alone.
-HASHED_AT_ONCE = 1 << 20
-_POWERS, _UNDO = _odd_powers(_BYTE_BASE, HASHED_AT_ONCE), _odd_powers(_BYTE_INVERSE, HASHED_AT_ONCE + 1)
+#: Longest word, in bytes, whose hash is mixed eight bytes at a time together with others; a longer one gets BLAKE2b.
+SHORT_WORD = 64
+#: Ranges of words are sums modulo this prime.
+PRIME = np.uint64((1 << 61) - 1)
+_WORD_BASE = 0x14C9F0E2B6D7A853 % int(PRIME)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,32 +88,95 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each word, from sums over the bytes of many words; starts ascend."""
-    out = np.zeros(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        low = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, low + HASHED_AT_ONCE, "right")))
-        size = int(ends[j - 1]) - low
-        powers, undo = (_POWERS, _UNDO) if size <= HASHED_AT_ONCE else (_odd_powers(_BYTE_BASE, size), _odd_powers(_BYTE_INVERSE, 1))
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data[low : low + size]] * powers[:size], out=sums[1:])
-        out[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * undo[starts[i:j] - low]
-        i = j
-    return mix(out + (ends - starts).astype(np.uint64))
+    """64-bit hash of the bytes of each word. Eight bytes of all words are mixed into their hashes at once, each
+    time after the hash so far was mixed, so that no sum of bytes and places can cancel out."""
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    eight = eights(data)
+    short = lengths <= SHORT_WORD
+    todo = np.flatnonzero(short & (lengths > 0))
+    done = 0
+    while len(todo):
+        left = lengths[todo] - done
+        spare = (8 - np.minimum(left, 8)).astype(np.uint64) * np.uint64(8)
+        block = eight[starts[todo] + done] << spare
+        out[todo] = mix((out[todo] ^ block) * np.uint64(0x9FB21C651E98DF25))
+        todo, done = todo[left > 8], done + 8
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on as one number, zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, others: np.ndarray, there: np.ndarray | None = None) -> np.ndarray:
+    """Whether data[start : start + size] and other[its start : its start + size] are equal, for many ranges.
+    there: eights(other), if that is at hand."""
+    out = np.ones(len(starts), bool)
+    here, there = eights(data), eights(other) if there is None else there
+    todo, done = np.flatnonzero(sizes <= SHORT_WORD), 0
+    todo = todo[sizes[todo] > 0]
+    while len(todo):
+        left = sizes[todo] - done
+        spare = (8 - np.minimum(left, 8)).astype(np.uint64) * np.uint64(8)
+        out[todo] &= here[starts[todo] + done] << spare == there[others[todo] + done] << spare
+        todo, done = todo[(left > 8) & out[todo]], done + 8
+    for i in np.flatnonzero(sizes > SHORT_WORD).tolist():
+        out[i] = np.array_equal(data[starts[i] : starts[i] + sizes[i]], other[others[i] : others[i] + sizes[i]])
+    return out
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, of numbers below it."""
+    low31, low30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low31, b >> np.uint64(31), b & low31
+    middle = a0 * b1 + a1 * b0
+    raw = a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & low30) << np.uint64(31)) + a0 * b0
+    return _reduced(raw)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x >> np.uint64(61)) + (x & PRIME)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1), doubled in each step."""
+    out = np.ones(max(n, 1), np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = times(out[:more], np.uint64(pow(base, have, int(PRIME))))
+        have += more
+    return out[:n]
+
+
+@functools.lru_cache(maxsize=1)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_WORD_BASE, n), _powers(pow(_WORD_BASE, -1, int(PRIME)), n)
 
 
 class Ranges:
-    """Hashes of ranges of words from prefix sums: equal word sequences, equal hashes."""
+    """Hashes of ranges of words from prefix sums modulo 2^61 - 1: equal word sequences, equal hashes. A word counts
+    as its hash modulo the prime, times a power of a base by place: a polynomial, so that two different sequences
+    of n words agree for n bases of 2^61 at most."""
 
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
+        powers, undo = _tables(1 << max(16, int(n).bit_length()))
+        terms = times(_reduced(hashes), powers[:n])
+        # Halves are summed apart, as sums of whole terms would pass 64 bits.
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * _odd_powers(_WORD_BASE, n), out=self.sums[1:])
-        self.undo = _odd_powers(_WORD_INVERSE, n + 1)
+        low, high = np.cumsum(terms & np.uint64(0xFFFFFFFF)), np.cumsum(terms >> np.uint64(32))
+        self.sums[1:] = _reduced(_reduced(low) + times(_reduced(high), np.uint64(1 << 32)))
+        self.undo = undo
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
-        raw = (self.sums[start + length] - self.sums[start]) * self.undo[start]
+        raw = times(_reduced(self.sums[start + length] + PRIME - self.sums[start]), self.undo[start])
         return mix(raw + np.asarray(length).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
     def all_of(self, length: int) -> np.ndarray:
@@ -129,7 +184,7 @@ class Ranges:
         n = len(self.sums) - length
         if n <= 0:
             return np.zeros(0, np.uint64)
-        raw = (self.sums[length:] - self.sums[:n]) * self.undo[:n]
+        raw = times(_reduced(self.sums[length:] + PRIME - self.sums[:n]), self.undo[:n])
         return mix(raw + np.uint64(length * 0x2545F4914F6CDD1D % (1 << 64)))
 
 
