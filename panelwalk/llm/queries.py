@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, jaccard_join, lm_score, mpeg_audio, quality, sstable, substring_dedup, token_count, toxicity
+from . import bpe_codec, collocations, decontaminate, jaccard_join, lm_score, mpeg_audio, quality, sstable, substring_dedup, token_count, toxicity
 from .text import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,7 +63,11 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_and_read(documents(spark, sf_dir), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_token_counts, op4_lm_score, op5_media_columns, op6_bpe_round_trip, op7_decontamination, op8_jaccard_join, op9_toxicity, op10_sstable)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_token_counts, op4_lm_score, op5_media_columns, op6_bpe_round_trip, op7_decontamination, op8_jaccard_join, op9_toxicity, op10_sstable, op13_collocations)}
 
 #: DuckDB. Words are cut as the operators cut them; a document's words are a list.
 _WORDS = r"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents"
@@ -91,4 +95,20 @@ ways AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
 reach AS (SELECT doc_id AS x, doc_id AS least FROM documents UNION SELECT ways.y, reach.least FROM reach JOIN ways ON reach.x = ways.x)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x, min(least) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id""",
+    "op13_collocations": r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+sizes AS (SELECT unnest(range(1, 5)) AS size),
+starts AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, sizes WHERE len(w) >= size),
+f AS MATERIALIZED (SELECT lang, w[i:i + size - 1] AS p, size, count(*) AS a FROM starts GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, p, a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+scored AS (SELECT c.lang, c.p, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+spans AS (SELECT lang, p, size, a, unnest(range(2, size)) AS inside FROM f WHERE size > 2),
+inner_phrases AS (SELECT lang, p[j:j + inside - 1] AS p, max(a) AS longer FROM (SELECT *, unnest(range(1, size - inside + 2)) AS j FROM spans) GROUP BY ALL),
+stay AS (SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN inner_phrases i ON i.lang = b.lang AND i.p = b.p WHERE longer IS NULL OR 100 * longer < 80 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stay)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
