@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, collocations, decontaminate, jaccard_join, lm_score, mpeg_audio, quality, sstable, substring_dedup, token_count, toxicity
+from . import bpe_codec, collocations, decontaminate, exact_dedup, jaccard_join, lm_score, mpeg_audio, quality, sstable, substring_dedup, token_count, toxicity
 from .text import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,11 +63,15 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_and_read(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(documents(spark, sf_dir))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_token_counts, op4_lm_score, op5_media_columns, op6_bpe_round_trip, op7_decontamination, op8_jaccard_join, op9_toxicity, op10_sstable, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_token_counts, op4_lm_score, op5_media_columns, op6_bpe_round_trip, op7_decontamination, op8_jaccard_join, op9_toxicity, op10_sstable, op11_exact_dedup, op13_collocations)}
 
 #: DuckDB. Words are cut as the operators cut them; a document's words are a list.
 _WORDS = r"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents"
@@ -95,6 +99,10 @@ ways AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
 reach AS (SELECT doc_id AS x, doc_id AS least FROM documents UNION SELECT ways.y, reach.least FROM reach JOIN ways ON reach.x = ways.x)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x, min(least) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id""",
+    "op11_exact_dedup": r"""
+WITH digests AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1 AS kept, h AS text_sha256
+FROM digests WINDOW g AS (PARTITION BY h)""",
     "op13_collocations": r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
