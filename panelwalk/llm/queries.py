@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, collocations, decontaminate, exact_dedup, jaccard_join, lm_score, mpeg_audio, quality, sstable, substring_dedup, token_count, toxicity
+from . import bpe_codec, collocations, decontaminate, exact_dedup, jaccard_join, lm_score, mpeg_audio, prefix_trie, quality, sstable, substring_dedup, token_count, toxicity
 from .text import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,11 +67,15 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_token_counts, op4_lm_score, op5_media_columns, op6_bpe_round_trip, op7_decontamination, op8_jaccard_join, op9_toxicity, op10_sstable, op11_exact_dedup, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_token_counts, op4_lm_score, op5_media_columns, op6_bpe_round_trip, op7_decontamination, op8_jaccard_join, op9_toxicity, op10_sstable, op11_exact_dedup, op12_prefix_trie, op13_collocations)}
 
 #: DuckDB. Words are cut as the operators cut them; a document's words are a list.
 _WORDS = r"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents"
@@ -103,6 +107,23 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x, min(least) AS co
 WITH digests AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1 AS kept, h AS text_sha256
 FROM digests WINDOW g AS (PARTITION BY h)""",
+    "op12_prefix_trie": r"""
+WITH turns AS (SELECT conv_id, sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+convs AS (SELECT s.conv_id, s.conv_id - s.conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(s.conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte:
+    list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 6 AS h FROM sizes s),
+whole AS (SELECT c.conv_id, p AS d, k, chars FROM convs c JOIN turns t ON t.conv_id = c.base AND p <= h
+  UNION ALL SELECT c.conv_id, p - h + least(h, coalesce(n, 0)), k, chars FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND p > h LEFT JOIN sizes b ON b.conv_id = c.base),
+paths AS (SELECT c.conv_id, coalesce(list(k ORDER BY d) FILTER (d IS NOT NULL), []) AS ks, coalesce(list(chars ORDER BY d) FILTER (d IS NOT NULL), []) AS cs FROM convs c LEFT JOIN whole USING (conv_id) GROUP BY c.conv_id),
+steps AS (SELECT conv_id, ks, cs, unnest(range(0, len(ks) + 1)) AS depth FROM paths),
+visits AS (SELECT conv_id, depth, array_to_string(ks[1:depth], '') AS key, CASE WHEN depth > 0 THEN array_to_string(ks[1:depth - 1], '') END AS parent, CASE WHEN depth > 0 THEN cs[depth] ELSE 0 END AS chars, depth = len(ks) AS ends FROM steps),
+nodes AS (SELECT key, parent, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM visits GROUP BY ALL),
+children AS (SELECT parent AS key, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+valued AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (key)),
+sums AS (SELECT a.key, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved FROM valued a JOIN valued b ON starts_with(b.key, a.key) GROUP BY a.key)
+SELECT v.conv_id, v.depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(v.ids) AS ends_sha256
+FROM valued v JOIN sums USING (key) LEFT JOIN valued o ON o.key = v.parent""",
     "op13_collocations": r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
