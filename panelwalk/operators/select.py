@@ -48,75 +48,36 @@ def traits(meta: DataFrame, columns: list[str] = TRAITS) -> DataFrame:
     return rows.withColumn("_n", norm).select("fold_id", "entity", "date_list", F.transform("z", lambda x: x / F.col("_n")).alias("z"))
 
 
+#: Days of a bucket of dates: folds whose dates share a bucket are compared by their days.
+BUCKET = 64
+
+
+def overlaps(folds: DataFrame) -> DataFrame:
+    """i < j, overlap (Jaccard) of folds with common days. folds: fold_id, date_list (sorted). A fold lies in each
+    bucket from its first day to its last; a pair meets in the first bucket that both have."""
+    low, high = (F.floor(F.unix_date(F.element_at("date_list", k)) / BUCKET) for k in (1, -1))
+    spans = folds.where(F.size("date_list") > 0).select("fold_id", "date_list", low.alias("low"), F.explode(F.sequence(low, high)).alias("bucket"))
+    a, b = (spans.select(F.col("fold_id").alias(i), F.col("date_list").alias(f"days_{i}"), F.col("low").alias(f"low_{i}"), "bucket") for i in "ij")
+    met = a.join(b, "bucket").where((F.col("i") < F.col("j")) & (F.col("bucket") == F.greatest("low_i", "low_j")))
+    common = F.size(F.array_intersect("days_i", "days_j"))
+    return met.select("i", "j", common.alias("c"), (common / (F.size("days_i") + F.size("days_j") - common)).alias("overlap")).where("c > 0").drop("c")
+
+
 def similar_pairs(meta: DataFrame) -> DataFrame:
     """i < j, cosine similarity clipped to 0..1, Jaccard overlap of days, and the penalised dissimilarity.
 
-    Every pair of folds is a row of the result. Overlaps come from an equi-join by day."""
+    Every pair of folds is a row of the result, which is what this report is for; the choice of folds (`facility`)
+    makes no such table."""
     t = stored(traits(meta), "traits")
     a, b = t.select(F.col("fold_id").alias("i"), F.col("entity").alias("e"), F.col("z").alias("x")), t.select(F.col("fold_id").alias("j"), F.col("entity").alias("f"), F.col("z").alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     pairs = a.join(b, F.col("i") < F.col("j")).select("i", "j", clip(dot, 0.0, 1.0).alias("sim"), (F.col("e") == F.col("f")).alias("same_entity"))
-    days = t.select("fold_id", F.size("date_list").alias("n"), F.explode("date_list").alias("d"))
-    common = days.select(F.col("fold_id").alias("i"), F.col("n").alias("n_i"), "d").join(days.select(F.col("fold_id").alias("j"), F.col("n").alias("n_j"), "d"), "d").where("i < j").groupBy("i", "j", "n_i", "n_j").agg(F.count("*").alias("c"))
-    overlap = common.select("i", "j", (F.col("c") / (F.col("n_i") + F.col("n_j") - F.col("c"))).alias("overlap"))
-    out = pairs.join(overlap, ["i", "j"], "left").fillna({"overlap": 0.0})
+    out = pairs.join(overlaps(t), ["i", "j"], "left").fillna({"overlap": 0.0})
     penalty = 0.9 * F.col("overlap") + 0.25 * F.col("same_entity").cast("double")
     return out.withColumn("dissim", 1 - clip(F.col("sim") - penalty, 0.0, 1.0))
 
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    """All ordered pairs with the diagonal: candidate i covers j."""
-    ids = pairs.select("i").union(pairs.select("j")).distinct().select("i", F.col("i").alias("j"), F.lit(1.0).alias("sim"), F.lit(0.0).alias("overlap"))
-    return pairs.select("i", "j", "sim", "overlap").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim", "overlap")).unionByName(ids)
-
-
-def representatives(pairs: DataFrame, folds: DataFrame, k: int, per_entity: int = 3, most_overlap: float = 0.5, least_gain: float = 0.0) -> DataFrame:
-    """Greedy facility location: each round adds the fold that covers most beyond what is covered, unless its
-    entity has its share or its days overlap a chosen fold's. A round is one aggregate over the pairs; only
-    the chosen fold comes to the driver. Returns nth, fold_id, gain and the mean coverage."""
-    spark = pairs.sparkSession
-    ways = stored(both_ways(pairs), "ways")
-    entity = folds.select(F.col("fold_id").alias("i"), "entity")
-    cover = ways.select("j").distinct().withColumn("cov", F.lit(0.0))
-    chosen: list[tuple] = []
-    n = cover.count()
-    covered = 0.0
-    for nth in range(1, k + 1):
-        full = [e for e in {c[2] for c in chosen} if sum(c[2] == e for c in chosen) >= per_entity]
-        open_ = ways.join(cover, "j").groupBy("i").agg(F.sum(F.greatest("cov", "sim") - F.col("cov")).alias("gain")).join(entity, "i")
-        if chosen:
-            taken = [c[1] for c in chosen]
-            near = ways.where(F.col("j").isin(taken) & ((F.col("overlap") > most_overlap) | (F.col("i") == F.col("j")))).select("i").distinct()
-            open_ = open_.join(near, "i", "left_anti").where(~F.col("entity").isin(full))
-        best = open_.orderBy(F.desc(F.round("gain", 9)), "i").first()
-        if best is None or best.gain < least_gain:
-            break
-        covered += best.gain
-        chosen.append((nth, best.i, best.entity, float(best.gain), covered / n))
-        cover = stored(cover.join(ways.where(F.col("i") == best.i).select("j", "sim"), "j", "left").select("j", F.greatest("cov", F.coalesce("sim", F.lit(0.0))).alias("cov")), "cover")
-    return spark.createDataFrame(chosen, "nth int, fold_id long, entity string, gain double, coverage double")
-
-
-def coverage_stats(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Distribution of each fold's best similarity to a chosen one."""
-    best = both_ways(pairs).join(F.broadcast(chosen.select(F.col("fold_id").alias("i"))), "i").groupBy("j").agg(F.max("sim").alias("best"))
-    return best.agg(F.avg("best").alias("mean"), F.min("best").alias("least"), F.percentile("best", F.lit(0.05)).alias("p5"), F.percentile("best", F.lit(0.5)).alias("p50"), F.percentile("best", F.lit(0.95)).alias("p95"), F.count("*").alias("n"))
-
-
 def elbow(curve: DataFrame, tiny: float) -> DataFrame:
     """The first k whose step up from the k before it is below `tiny`."""
     step = F.col("coverage") - F.lag("coverage").over(Window.orderBy("nth"))
     return curve.withColumn("step", step).where(F.col("step") < tiny).agg(F.min("nth").alias("k"))
-
-
-def best_swap(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The exchange of one chosen fold for another that raises total coverage most, all scored in one
-    aggregate from each fold's best and second-best similarity."""
-    ways = both_ways(pairs)
-    mine = ways.join(F.broadcast(chosen.select(F.col("fold_id").alias("i"))), "i")
-    top = mine.withColumn("nth", F.row_number().over(Window.partitionBy("j").orderBy(F.desc("sim"), "i"))).where("nth <= 2")
-    top = top.groupBy("j").agg(F.max(F.when(F.col("nth") == 1, F.col("sim"))).alias("s1"), F.max(F.when(F.col("nth") == 1, F.col("i"))).alias("by"), F.coalesce(F.max(F.when(F.col("nth") == 2, F.col("sim"))), F.lit(0.0)).alias("s2"))
-    outs = F.broadcast(chosen.select(F.col("fold_id").alias("out")))
-    rest = F.when(F.col("by") == F.col("out"), F.col("s2")).otherwise(F.col("s1"))
-    scored = ways.join(F.broadcast(chosen.select(F.col("fold_id").alias("i"))), "i", "left_anti").join(top, "j").crossJoin(outs).groupBy("out", "i").agg(F.sum(F.greatest("sim", rest) - F.col("s1")).alias("gain"))
-    return scored.select("out", F.col("i").alias("into"), "gain").orderBy(F.desc(F.round("gain", 9)), "out", "into").limit(1)

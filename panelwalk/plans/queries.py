@@ -10,7 +10,7 @@ from ..operators import backtest, clean, folds, indicators, pareto, qc, select,
 from ..sources import files, panels
 from ..streaming import streams
 from . import frames as fr
-from . import reports  # noqa: F401  registers its own
+from . import reports, selection  # noqa: F401  register their own
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 BARS = "SELECT entity, ts, open, high, low, close, adj_close, volume FROM "
@@ -212,16 +212,6 @@ query("cosine_pairs", "SELECT i, j, round(sim, 6) AS sim, same_entity FROM pairs
 query("penalised_pairs", "SELECT i, j, round(overlap, 6) AS overlap, round(dissim, 6) AS dissim FROM penalised")(lambda s, d: select.similar_pairs(files.stored(fr.meta(s, d), "meta")).select("i", "j", "overlap", "dissim"))
 
 
-def _chosen(s: SparkSession, d: str, k: int = 4) -> tuple[DataFrame, DataFrame]:
-    meta = files.stored(fr.meta(s, d), "meta")
-    pairs = files.stored(select.similar_pairs(meta), "pairs")
-    return pairs, select.representatives(pairs, meta, k)
-
-
-query("representative_folds")(lambda s, d: _chosen(s, d)[1])
-query("coverage_stats")(lambda s, d: select.coverage_stats(*_chosen(s, d)))
-query("best_swap")(lambda s, d: select.best_swap(*_chosen(s, d)))
-query("coverage_elbow")(lambda s, d: select.elbow(_chosen(s, d)[1], 0.2))
 _WIDE = ["open", "high", "low", "close", "volume", "r"]
 query("pca_components")(lambda s, d: (lambda x: select.principal(select.scale(x, x, _WIDE), _WIDE)[0])(fr.rets(s, d).select("entity", "ts", *_WIDE)))
 query("pca_loadings")(lambda s, d: (lambda x: select.loadings(_WIDE, select.principal(select.scale(x, x, _WIDE), _WIDE)[2], s, 3))(fr.rets(s, d).select("entity", "ts", *_WIDE)))

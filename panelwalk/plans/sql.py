@@ -105,5 +105,6 @@ def sql(body: str) -> str:
                 names.add(name)
                 todo.append(TABLES[name])
     tables = ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n]})" for n in TABLES if n in names)
-    own = body.removeprefix("WITH ")
-    return f"WITH {tables}{', ' if own != body else ''}\n{own}" if names else body
+    first = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+    own = body.removeprefix(first)
+    return f"{first}{tables}{', ' if own != body else ''}\n{own}" if names else body

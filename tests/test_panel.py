@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, sf, con, name):
 
 
 def test_every_query_has_a_plan(spark, sf):
-    eager = {"csv_round_trip", "json_fold_summaries", "log_scan", "ragged_csv", "append_resume", "stream_hourly_bars", "stream_signals", "representative_folds", "coverage_stats", "best_swap", "coverage_elbow", "pca_components", "pca_loadings", "describe_returns", "hv_progression", "seed_picks", "fold_slice", "fold_files", "locked_features"}
+    eager = {"csv_round_trip", "json_fold_summaries", "log_scan", "ragged_csv", "append_resume", "stream_hourly_bars", "stream_signals", "representative_folds", "coverage_stats", "best_swap", "coverage_elbow", "coverage_sweep", "adaptive_folds", "improved_folds", "pca_components", "pca_loadings", "describe_returns", "hv_progression", "seed_picks", "fold_slice", "fold_files", "locked_features"}
     for name in set(Q.QUERIES) - eager:
         assert Q.QUERIES[name](spark, sf).columns, name
 
@@ -119,13 +119,6 @@ def test_required_columns_are_named(spark):
         clean.require(spark.range(1).toDF("a"), ["a", "b", "c"])
 
 
-def test_greedy_choice_respects_entities(spark):
-    pairs = spark.createDataFrame([(i, j, 1.0 - 0.1 * (j - i), 0.0) for i in range(6) for j in range(i + 1, 6)], "i long, j long, sim double, overlap double")
-    entities = spark.createDataFrame([(i, "x" if i < 4 else "y") for i in range(6)], "fold_id long, entity string")
-    got = select.representatives(pairs, entities, 3, per_entity=1).collect()
-    assert [x.entity for x in got] == ["x", "y"] and got[0].fold_id == 2
-
-
 def test_dict_text(spark):
     df = spark.createDataFrame([("{'p': 5, 'd': None, 'q': 4}",)], "x string")
     assert tuple(df.select(files.dict_text(F.col("x"), "struct<p:int,d:int,q:int>").alias("y")).select("y.*").first()) == (5, None, 4)
@@ -180,22 +173,6 @@ def test_first_evaluations_round_half_to_even(spark):
     assert sorted(x.seq for x in report.first_evaluations(df, ["g"], "t", "seq", 2).collect()) == [0, 2]
 
 
-def test_coverage_of_a_choice_equals_brute_force(spark):
-    random.seed(11)
-    n, taken = 9, [2, 5, 7]
-    sim = {(i, j): round(random.random(), 3) for i in range(n) for j in range(i + 1, n)}
-    pairs = spark.createDataFrame([(i, j, x, 0.0) for (i, j), x in sim.items()], "i long, j long, sim double, overlap double")
-    chosen = spark.createDataFrame([(i,) for i in taken], "fold_id long")
-    of = lambda i, j: 1.0 if i == j else sim[min(i, j), max(i, j)]
-    covered = lambda some: [max(of(i, j) for i in some) for j in range(n)]
-    best = sorted(covered(taken))
-    got = select.coverage_stats(pairs, chosen).first()
-    assert (got.n, got.least) == (n, best[0]) and math.isclose(got.mean, sum(best) / n) and math.isclose(got.p50, best[n // 2])
-    swaps = {(out, into): sum(covered([t for t in taken if t != out] + [into])) - sum(best) for out in taken for into in range(n) if into not in taken}
-    swap = select.best_swap(pairs, chosen).first()
-    assert math.isclose(swap.gain, max(swaps.values())) and math.isclose(swaps[swap.out, swap["into"]], swap.gain)
-
-
 def test_elbow_is_the_first_small_step(spark):
     curve = spark.createDataFrame([(1, 0.4), (2, 0.7), (3, 0.75), (4, 0.9), (5, 0.91)], "nth int, coverage double")
     assert select.elbow(curve, 0.1).first().k == 3
@@ -230,21 +207,12 @@ def test_components_equal_numpy(spark):
     assert np.allclose(np.abs(got), np.abs((x - x.mean(0)) @ axes[: got.shape[1]].T))
 
 
-def test_greedy_choice_equals_brute_force(spark):
-    random.seed(6)
-    n, k = 10, 4
-    pair = {(i, j): (round(random.random(), 3), random.choice([0.0, 0.6])) for i in range(n) for j in range(i + 1, n)}
-    pairs = spark.createDataFrame([(i, j, *x) for (i, j), x in pair.items()], "i long, j long, sim double, overlap double")
-    entity = ["x" if i < 6 else "y" for i in range(n)]
-    of = lambda i, j: (1.0, 0.0) if i == j else pair[min(i, j), max(i, j)]
-    cover, wanted = [0.0] * n, []
-    for _ in range(k):
-        free = [i for i in range(n) if i not in wanted and all(of(i, t)[1] <= 0.5 for t in wanted) and sum(entity[t] == entity[i] for t in wanted) < 2]
-        if not free:
-            break
-        gain = {i: sum(max(cover[j], of(i, j)[0]) - cover[j] for j in range(n)) for i in free}
-        wanted.append(min(free, key=lambda i: (-round(gain[i], 9), i)))
-        cover = [max(c, of(wanted[-1], j)[0]) for j, c in enumerate(cover)]
-    got = select.representatives(pairs, spark.createDataFrame(list(enumerate(entity)), "fold_id long, entity string"), k, per_entity=2).orderBy("nth").collect()
-    assert len(wanted) > 1 and [x.fold_id for x in got] == wanted
-    assert math.isclose(got[-1].coverage, sum(cover) / n)
+def test_overlaps_of_days_equal_brute_force(spark):
+    import datetime
+
+    rng, day = random.Random(8), datetime.date(1999, 11, 1)
+    folds_ = [sorted(rng.sample(range(s, s + w), min(w, n))) for s, w, n in ((rng.randint(0, 300), rng.choice([5, 60, 150]), rng.randint(0, 40)) for _ in range(40))]
+    df = spark.createDataFrame([(i, [day + datetime.timedelta(d) for d in x]) for i, x in enumerate(folds_)], "fold_id long, date_list array<date>")
+    got = {(r.i, r.j): r.overlap for r in select.overlaps(df).collect()}
+    wanted = {(i, j): len(set(a) & set(b)) / len(set(a) | set(b)) for i, a in enumerate(folds_) for j, b in enumerate(folds_) if i < j and set(a) & set(b)}
+    assert got.keys() == wanted.keys() and all(math.isclose(got[k], wanted[k]) for k in wanted)
