@@ -72,6 +72,12 @@ def hysteresis(rows: DataFrame, keys: list[str], block: list[str], q: float = 0.
     return p.withColumn("pos", pos).drop("_enter", "_exit", "_mid", "_far", "_strong", "_event")
 
 
+def moves(rows: DataFrame, block: list[str], low: float, high: float, pred: str = "pred") -> DataFrame:
+    """up, down: predictions above the upper and below the lower quantile of their block."""
+    b = Window.partitionBy(*block)
+    return rows.withColumns({"up": F.col(pred) > F.percentile(pred, F.lit(high)).over(b), "down": F.col(pred) < F.percentile(pred, F.lit(low)).over(b)})
+
+
 def streak_state(up: bool, down: bool, state: tuple[int, int, int, int], enter_k: int, exit_k: int, hold: int) -> tuple[int, int, int, int]:
     """One step of the signal with streaks: position, days held, rising and falling streaks."""
     pos, held, rise, fall = state

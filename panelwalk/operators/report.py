@@ -102,16 +102,6 @@ def progression(hv: DataFrame, keys: list[str]) -> DataFrame:
     return hv.groupBy(*keys).agg(F.avg("hv").alias("mean"), F.coalesce(F.stddev_samp("hv"), F.lit(0.0)).alias("std"), F.count("*").alias("n"))
 
 
-def sampled_thresholds(runs: DataFrame, champions: DataFrame, n: int, low: float = 0.01, high: float = 0.6, seed: int = 12345) -> DataFrame:
-    """n thresholds for each run: even ones anywhere in the range, odd ones within a fifth of the champion's. The
-    numbers come from the run's keys, so that each task makes its own and always the same."""
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k")
-    rows = runs.join(champions, ["fold_id", "interval"]).select("fold_id", "interval", "champion", k)
-    u = F.pmod(F.col("fold_id") * 7919 + F.col("interval") * 104729 + F.col("k") * 1299709 + seed, F.lit(100003)) / 100003.0
-    thr = F.when(F.col("k") % 2 == 0, low + (high - low) * u).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), F.col("champion") * (0.8 + 0.4 * u))))
-    return rows.select("fold_id", "interval", "k", F.round(thr, 6).alias("thr"))
-
-
 def drawdowns(df: DataFrame, column: str, kind: str, keys: list[str] = ["entity"], order: str = "ts") -> DataFrame:
     """Largest drawdown of prices, simple returns or log returns; auto takes returns as log where one is -1 or less."""
     w = series(*keys, order=order)
@@ -156,14 +146,29 @@ def rolling_turnover(trace: DataFrame, keys: list[str], n: int = 21, annual: boo
     return trace.withColumn("rolling_turnover", full(F.avg("turnover").over(last_rows(w, n)) * (YEAR / n if annual else 1.0), F.col("turnover"), w, n))
 
 
-def all_penalties(tests: DataFrame, low: float, high: float, least_vol: float = 0.0015, most: float = 0.95) -> DataFrame:
-    """Both families of penalties. First: threshold out of range, no fit, volatility below the least, no activity.
-    Second: no trade at all, or a position that never changes after the first day."""
+def block_penalties(trace: DataFrame, keys: list[str], least_vol: float = 0.0015) -> DataFrame:
+    """calm, idle, failed by run: twice what still blocks lack of the least volatility, blocks that hold nothing though
+    they aren't still, and blocks without a finite forecast. trace: keys, block, r, mu, pos, still."""
+    fails = F.max((F.col("mu").isNull() | F.isnan("mu") | (F.abs("mu") == float("inf"))).cast("int"))
+    by = trace.groupBy(*keys, "block").agg(F.max("still").alias("still"), F.stddev_pop("r").alias("vol"), F.coalesce(F.sum(F.abs("pos")), F.lit(0.0)).alias("held"), fails.alias("fails"))
+    live = ~F.col("still")
+    return by.groupBy(*keys).agg(
+        F.sum(F.when(F.col("still"), 2 * (least_vol - F.col("vol"))).otherwise(0.0)).alias("calm"),
+        F.count_if(live & (F.col("fails") == 0) & (F.col("held") == 0)).alias("idle"),
+        F.count_if(live & (F.col("fails") == 1)).alias("failed"),
+    )
+
+
+def first_penalties(tests: DataFrame, by_block: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
+    """Threshold out of range, a fit that failed, still blocks, no activity at all."""
     out = 10 * F.greatest(F.col("thr") - high, low - F.col("thr"), F.lit(0.0))
-    calm = 2 * F.greatest(least_vol - F.coalesce(F.col("ann_vol") / YEAR**0.5, F.lit(0.0)), F.lit(0.0))
-    first = out + F.when(F.col("sharpe").isNull(), 5.0).otherwise(0.0) + calm + F.when(F.col("rebalances") == 0, 0.5).otherwise(0.0)
-    second = F.when(F.col("rebalances") == 0, 20.0).otherwise(0.0) + F.when(F.col("mdd") > most, 20.0).otherwise(0.0)
-    return tests.withColumns({"penalty_first": first, "penalty_second": second})
+    fails = F.when(F.col("failed") > 0, 5.0).otherwise(0.0)
+    return tests.join(by_block, keys).withColumn("penalty", out + fails + F.col("calm") + F.when(F.col("rebalances") == 0, 0.5).otherwise(0.0))
+
+
+def second_penalties(by_block: DataFrame) -> DataFrame:
+    """Twenty for each block without a trade and for each that failed, and the still blocks' lack."""
+    return by_block.withColumn("penalty", 20.0 * (F.col("idle") + F.col("failed")) + F.col("calm"))
 
 
 def scaled_position(forecasts: DataFrame, thr: Column) -> DataFrame:

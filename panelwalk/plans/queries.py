@@ -10,7 +10,7 @@ from ..operators import backtest, clean, folds, indicators, pareto, qc, select,
 from ..sources import files, panels
 from ..streaming import streams
 from . import frames as fr
-from . import reports, selection  # noqa: F401  register their own
+from . import models, reports, selection  # noqa: F401  register their own
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 BARS = "SELECT entity, ts, open, high, low, close, adj_close, volume FROM "
@@ -158,13 +158,12 @@ def _sensitivity(s: SparkSession, d: str) -> DataFrame:
     return by.groupBy("thr_mult", "cost_mult").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.avg("turnover").alias("mean_turnover"))
 
 
-query("hysteresis_signal", """WITH b AS (SELECT fold_id, "interval", block, off, round(r, 9) AS r FROM forecasts WHERE "interval" = 20), q AS (SELECT fold_id, block, quantile_cont(r, 0.7) AS up, quantile_cont(r, 0.65) AS down, quantile_cont(r, 0.5) AS mid FROM b GROUP BY ALL),
+query("hysteresis_signal", """WITH b AS (SELECT fold_id, "interval", block, off, round(mu, 9) AS r FROM forecasts WHERE "interval" = 20), q AS (SELECT fold_id, block, quantile_cont(r, 0.7) AS up, quantile_cont(r, 0.65) AS down, quantile_cont(r, 0.5) AS mid FROM b GROUP BY ALL),
 m AS (SELECT fold_id, block, quantile_cont(abs(r - mid), 0.5) AS mad FROM b JOIN q USING (fold_id, block) GROUP BY ALL)
 SELECT fold_id, off, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY fold_id ORDER BY off ROWS UNBOUNDED PRECEDING), 0)::DOUBLE AS pos FROM (
   SELECT fold_id, off, CASE WHEN r >= up AND abs(r - mid) >= 0.5 * mad THEN 1 WHEN r < down OR abs(r - mid) < 0.5 * mad THEN 0 END AS event FROM b JOIN q USING (fold_id, block) JOIN m USING (fold_id, block))""")(
-    lambda s, d: backtest.hysteresis(fr.forecasts(s, d).where("interval = 20").withColumn("pred", F.round("r", 9)), ["fold_id"], ["block"]).select("fold_id", "off", "pos")
+    lambda s, d: backtest.hysteresis(fr.forecasts(s, d).where("interval = 20").withColumn("pred", F.round("mu", 9)), ["fold_id"], ["block"]).select("fold_id", "off", "pos")
 )
-query("streak_signal")(lambda s, d: backtest.streak_signal(fr.forecasts(s, d).withColumns({"up": F.col("r") > 0, "down": F.col("r") < 0}).select("fold_id", "interval", "off", "block", "up", "down"), ["fold_id", "interval"]))
 query("turnover_cap", """SELECT fold_id, "interval", thr, block, round(bt, 6) AS block_turnover, round(spent - coalesce(lag(spent) OVER (PARTITION BY fold_id, "interval", thr ORDER BY block), 0), 6) AS paid FROM (
   SELECT *, least(8 * sum(n) OVER (PARTITION BY fold_id, "interval", thr) / 252, sum(bt) OVER (PARTITION BY fold_id, "interval", thr ORDER BY block)) AS spent FROM (SELECT fold_id, "interval", thr, block, sum(turnover) AS bt, count(*) AS n FROM trace GROUP BY ALL))""")(
     lambda s, d: backtest.turnover_cap(fr.trace(s, d), ["fold_id", "interval", "thr"], 8.0).drop("scale")

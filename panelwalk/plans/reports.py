@@ -9,30 +9,17 @@ from ..functions.common import series
 from ..operators import backtest, clean, folds, indicators, pareto, report, stats
 from ..sources import files, panels
 from . import frames as fr
+from .models import sweep
 from .registry import query
 
 RUN = ["fold_id", "entity", "interval", "thr"]
 
 
-def sweep(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
-    """Evaluations of sampled thresholds over rows of folds, half of them near the knee of the grid's front."""
-    forecasts = fr.forecasts(s, d, rows)
-    knees = pareto.knees(pareto.front(fr.evals(s, d, rows), fr.CASE), fr.CASE, ["thr"]).select(*fr.CASE, F.col("thr").alias("champion"))
-    samples = report.sampled_thresholds(knees.select(*fr.CASE), knees, 6)
-    runs = report.scaled_position(forecasts.join(samples, fr.CASE), F.col("thr"))
-    tests = backtest.backtests(backtest.pnl(runs, [*RUN, "k"]), [*RUN, "k"])
-    out = backtest.objectives(tests, 0.03, 0.3)
-    return out.withColumns({"f0": F.round("f0", 7), "f1": F.round("f1", 7)})
-
-
-query("parameter_sweep", 'SELECT fold_id, "interval", k, round(thr, 6) AS thr, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM swept_front', digits=7)(lambda s, d: pareto.front(sweep(s, d, fr.fold_rows(s, d)), fr.CASE).select(*fr.CASE, "k", "thr", "f0", "f1"))
-
-
 @query("random_search_summary", """SELECT model, "interval", round(median(sharpe), 6) AS median_sharpe, round(median(mdd), 6) AS median_mdd, count(DISTINCT fold_id) AS folds, count(*) AS n
 FROM (SELECT 'sampled' AS model, fold_id, "interval", sharpe, mdd FROM swept UNION ALL SELECT 'grid', fold_id, "interval", sharpe, mdd FROM evals) GROUP BY ALL""")
 def random_search(s: SparkSession, d: str) -> DataFrame:
     rows = lambda df, name: df.select(F.lit(name).alias("model"), "fold_id", "interval", "sharpe", "mdd")
-    held = fr.fold_rows(s, d)
+    held = files.stored(fr.fold_rows(s, d), "rows")
     both = rows(sweep(s, d, held), "sampled").unionByName(rows(fr.evals(s, d, held), "grid"))
     return both.groupBy("model", "interval").agg(F.median("sharpe").alias("median_sharpe"), F.median("mdd").alias("median_mdd"), F.countDistinct("fold_id").alias("folds"), F.count("*").alias("n"))
 
@@ -126,12 +113,6 @@ query("power_column", """SELECT entity, ts, round(CASE WHEN lam = 0 THEN ln(clos
 query("rolling_turnover", 'SELECT fold_id, "interval", thr, off, CASE WHEN count(turnover) OVER w = 21 THEN round(avg(turnover) OVER w * 12, 6) END AS rolling_turnover FROM trace WINDOW w AS (PARTITION BY fold_id, "interval", thr ORDER BY off ROWS 20 PRECEDING)')(
     lambda s, d: report.rolling_turnover(fr.trace(s, d), ["fold_id", "interval", "thr"], annual=True).select("fold_id", "interval", "thr", "off", "rolling_turnover")
 )
-query("all_penalties", """SELECT fold_id, "interval", thr, round(10 * greatest(thr - 0.3, 0.03 - thr, 0) + CASE WHEN sharpe IS NULL THEN 5 ELSE 0 END + 2 * greatest(0.0015 - coalesce(ann_vol / sqrt(252), 0), 0) + CASE WHEN rebalances = 0 THEN 0.5 ELSE 0 END, 6) AS penalty_first,
-  CASE WHEN rebalances = 0 THEN 20.0 ELSE 0.0 END::DOUBLE + CASE WHEN mdd > 0.95 THEN 20.0 ELSE 0.0 END::DOUBLE AS penalty_second FROM tests""")(
-    lambda s, d: report.all_penalties(backtest.backtests(fr.trace(s, d)), 0.03, 0.3).select("fold_id", "interval", "thr", "penalty_first", "penalty_second")
-)
-
-
 @query("sensitivity_intervals", """SELECT "interval", thr_mult, cost_mult, count(*) AS n, round(avg(sharpe), 6) AS mean_sharpe, round(avg(mdd), 6) AS mean_mdd, round(avg(turnover), 6) AS mean_turnover FROM (
   SELECT fold_id, "interval", thr_mult, cost_mult, CASE WHEN coalesce(stddev_samp(net), 0) = 0 THEN 0 ELSE avg(net) / stddev_samp(net) * sqrt(252) END AS sharpe, max((p - c) / (p + 2.220446049250313e-16)) AS mdd, sum(turnover) AS turnover FROM (
     SELECT *, max(c) OVER g AS p FROM (SELECT *, exp(sum(net) OVER g) AS c FROM (SELECT *, ln(1 + greatest((exp(r) - 1) * pos - 0.0007 * cost_mult * turnover, -0.9999)) AS net FROM (
@@ -153,11 +134,11 @@ query("warm_start_windows", """SELECT fold_id, off, round(s, 6) AS total, n FROM
 query("outlier_default", "SELECT entity, ts, " + ", ".join(f"round(CASE WHEN {c} > avg({c}) OVER w + 8 * stddev_samp({c}) OVER w OR {c} < avg({c}) OVER w - 8 * stddev_samp({c}) OVER w OR {c} < 1 THEN avg({c}) OVER w ELSE {c} END, 6) AS {c}" for c in ("close", "volume")) + " FROM panel WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS 29 PRECEDING)", digits=7)(
     lambda s, d: clean.replace_outliers(fr.panel(s, d).select("entity", "ts", "close", "volume"), ["close", "volume"])
 )
-query("hysteresis_intervals", """WITH b AS (SELECT fold_id, "interval", block, off, round(r, 9) AS r FROM forecasts), q AS (SELECT fold_id, "interval", block, quantile_cont(r, 0.7) AS up, quantile_cont(r, 0.65) AS down, quantile_cont(r, 0.5) AS mid FROM b GROUP BY ALL),
+query("hysteresis_intervals", """WITH b AS (SELECT fold_id, "interval", block, off, round(mu, 9) AS r FROM forecasts), q AS (SELECT fold_id, "interval", block, quantile_cont(r, 0.7) AS up, quantile_cont(r, 0.65) AS down, quantile_cont(r, 0.5) AS mid FROM b GROUP BY ALL),
 m AS (SELECT fold_id, "interval", block, quantile_cont(abs(r - mid), 0.5) AS mad FROM b JOIN q USING (fold_id, "interval", block) GROUP BY ALL)
 SELECT fold_id, "interval", off, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY fold_id, "interval" ORDER BY off ROWS UNBOUNDED PRECEDING), 0)::DOUBLE AS pos FROM (
   SELECT fold_id, "interval", off, CASE WHEN r >= up AND abs(r - mid) >= 0.5 * mad THEN 1 WHEN r < down OR abs(r - mid) < 0.5 * mad THEN 0 END AS event FROM b JOIN q USING (fold_id, "interval", block) JOIN m USING (fold_id, "interval", block))""")(
-    lambda s, d: backtest.hysteresis(fr.forecasts(s, d).withColumn("pred", F.round("r", 9)), ["fold_id", "interval"], ["block"]).select("fold_id", "interval", "off", "pos")
+    lambda s, d: backtest.hysteresis(fr.forecasts(s, d).withColumn("pred", F.round("mu", 9)), ["fold_id", "interval"], ["block"]).select("fold_id", "interval", "off", "pos")
 )
 query("complete_fold_meta", "SELECT fold_id, round(volatility, 6) AS volatility, round(max_drawdown, 6) AS max_drawdown, date_min, date_max FROM (SELECT (row_number() OVER (ORDER BY fold_id) - 1)::BIGINT AS fold_id, volatility, max_drawdown, date_min, date_max FROM meta JOIN (SELECT fold_id FROM (SELECT fold_id, CASE WHEN ts < DATE '1993-06-01' THEN NULL ELSE r END AS x FROM fold_rows) GROUP BY fold_id HAVING count(x) = count(*)) USING (fold_id))")(
     lambda s, d: folds.meta_features(folds.complete_folds(fr.fold_rows(s, d).withColumn("x", F.when(F.col("ts") >= "1993-06-01", F.col("r"))), ["x", "close"])).select("fold_id", "volatility", "max_drawdown", "date_min", "date_max")

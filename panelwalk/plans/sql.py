@@ -79,14 +79,37 @@ FROM traits a JOIN traits b ON a.feature = b.feature AND a.fold_id < b.fold_id J
     "penalised": """SELECT i, j, sim, coalesce(c / (84 - c), 0) AS overlap, same_entity, 1 - least(greatest(sim - 0.9 * coalesce(c / (84 - c), 0) - 0.25 * same_entity::INT, 0), 1) AS dissim FROM pairs LEFT JOIN day_overlaps USING (i, j)""",
 }
 
-# Sampled thresholds, evaluated as the grid's are.
-TABLES["samples"] = """SELECT fold_id, "interval", k, round(CASE WHEN k % 2 = 0 THEN 0.01 + 0.59 * u ELSE greatest(0.01, least(0.6, thr * (0.8 + 0.4 * u))) END, 6) AS thr FROM (
-  SELECT fold_id, "interval", thr, k, ((fold_id * 7919 + "interval" * 104729 + k * 1299709 + 12345) % 100003) / 100003 AS u FROM knees, (SELECT unnest(range(0, 6)) AS k))"""
-TABLES["swept_placed"] = """SELECT f.*, k, thr, CASE WHEN still THEN 0 ELSE least(greatest(mu / (vol + 1e-8) / (thr + 1e-8), -1), 1) END AS pos FROM forecasts f JOIN samples USING (fold_id, "interval")"""
+# Second-order forecasts: sums of lagged returns before each row, read where blocks begin, solved by Cramer's rule.
+TABLES["history2"] = """SELECT *, count(y) OVER p AS n, sum(x1) OVER p AS s1, sum(x2) OVER p AS s2, sum(y) OVER p AS sy, sum(x1 * x1) OVER p AS s11, sum(x1 * x2) OVER p AS s12, sum(x2 * x2) OVER p AS s22,
+  sum(x1 * y) OVER p AS s1y, sum(x2 * y) OVER p AS s2y, stddev_samp(r) OVER q AS h_vol FROM (
+  SELECT *, CASE WHEN b IS NOT NULL THEN a END AS x1, b AS x2, CASE WHEN b IS NOT NULL THEN r END AS y FROM (SELECT *, lag(r) OVER w AS a, lag(r, 2) OVER w AS b FROM fold_rows WINDOW w AS (PARTITION BY fold_id ORDER BY off)))
+WINDOW p AS (PARTITION BY fold_id ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY fold_id ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+TABLES["solved2"] = """SELECT fold_id, interval_, block, x1 AS last1, x2 AS last2, h_vol, f1, f2, (sy - f1 * s1 - f2 * s2) / n AS f0 FROM (
+  SELECT *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS f1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS f2 FROM (
+    SELECT *, s11 - s1 * s1 / n AS c11, s12 - s1 * s2 / n AS c12, s22 - s2 * s2 / n AS c22, s1y - s1 * sy / n AS c1y, s2y - s2 * sy / n AS c2y FROM (
+      SELECT h.*, interval_, floor((off - 252) / interval_)::BIGINT AS block FROM history2 h, (SELECT unnest([10, 20, 42]) AS interval_) WHERE split = 'val') WHERE off - 252 = block * interval_))"""
+TABLES["ahead2"] = """SELECT fold_id, interval_, block, 0 AS h, last1 AS mu, last2 AS prior, h_vol, f0, f1, f2 FROM solved2
+  UNION ALL SELECT fold_id, interval_, block, h + 1, f0 + f1 * mu + f2 * prior, mu, h_vol, f0, f1, f2 FROM ahead2 WHERE h < interval_"""
+TABLES["forecasts2"] = """SELECT v.fold_id, v.entity, v."interval", v.off, v.block, v.r, a.mu, a.h_vol AS vol, v.still FROM forecasts v
+  JOIN ahead2 a ON a.fold_id = v.fold_id AND a.interval_ = v."interval" AND a.block = v.block AND a.h = v.off - 252 - v.block * v."interval" + 1"""
+TABLES["orders"] = """SELECT fold_id, entity, "interval", 1 AS ar, off, block, r, mu, vol, still FROM forecasts UNION ALL SELECT fold_id, entity, "interval", 2, off, block, r, mu, vol, still FROM forecasts2"""
+TABLES["winners"] = """SELECT fold_id, ar AS p0 FROM (SELECT fold_id, ar, round(sqrt(avg((r - mu) * (r - mu))), 12) AS rmse FROM orders WHERE "interval" = 42 GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY rmse, ar) = 1"""
+
+
+def _chance(name: str) -> str:
+    """A draw from the digest of its keys, as the operator makes it."""
+    return f"""(('0x' || md5(concat_ws('|', fold_id, "interval", k, '{name}', 42))[1:8])::BIGINT / 4294967296.0)"""
+
+
+# Drawn orders and thresholds, evaluated as the grid's are.
+TABLES["samples"] = f"""SELECT fold_id, "interval", k, CASE WHEN k < 3 THEN 1 + floor(2 * {_chance("p")}) ELSE greatest(1, least(2, p0 + floor(3 * {_chance("p")}) - 1)) END::INT AS ar,
+  round(0.01 + (0.6 - 0.01) * {_chance("thr")}, 6) AS thr FROM winners, (SELECT unnest([10, 20, 42]) AS "interval"), (SELECT unnest(range(0, 6)) AS k)"""
+TABLES["swept_placed"] = """SELECT f.*, k, thr, CASE WHEN still THEN 0 ELSE least(greatest(mu / (vol + 1e-8) / (thr + 1e-8), -1), 1) END AS pos FROM orders f JOIN samples USING (fold_id, "interval", ar)"""
 _K = 'PARTITION BY fold_id, "interval", k ORDER BY off'
 TABLES["swept_trace"] = f"""SELECT *, ln(1 + greatest((exp(r) - 1) * pos - 0.0007 * turnover, -0.9999)) AS net FROM (SELECT *, abs(pos - coalesce(lag(pos) OVER ({_K}), 0)) AS turnover FROM swept_placed)"""
 TABLES["swept_curve"] = f"""SELECT *, max(c) OVER ({_K}) AS p FROM (SELECT *, exp(sum(net) OVER ({_K})) AS c FROM swept_trace)"""
-TABLES["swept_tests"] = TABLES["tests"].replace('"interval", thr,', '"interval", thr, k,').replace("curve", "swept_curve")
+TABLES["swept_tests"] = TABLES["tests"].replace('"interval", thr,', '"interval", thr, k, ar,').replace("curve", "swept_curve")
 TABLES["swept"] = TABLES["evals"].replace("FROM tests", "FROM swept_tests")
 TABLES["swept_front"] = TABLES["front"].replace("evals", "swept")
 TABLES["grown"] = """SELECT e.*, gen FROM evals e, (SELECT unnest(range(1, 6)) AS gen) WHERE list_position([0.02, 0.05, 0.1, 0.2, 0.4]::DOUBLE[], thr) <= gen"""
@@ -104,7 +127,7 @@ def sql(body: str) -> str:
             if name not in names and re.search(rf"(?<![\w.'])(?<!AS ){name}(?![\w'(])", text):
                 names.add(name)
                 todo.append(TABLES[name])
-    tables = ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n]})" for n in TABLES if n in names)
-    first = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
-    own = body.removeprefix(first)
+    tables = ",\n".join(f"{n} AS {'' if n == 'ahead2' else 'MATERIALIZED '}({TABLES[n]})" for n in TABLES if n in names)
+    own = body.removeprefix("WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH ")
+    first = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") or "ahead2" in names else "WITH "
     return f"{first}{tables}{', ' if own != body else ''}\n{own}" if names else body

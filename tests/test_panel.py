@@ -13,7 +13,7 @@ from panelwalk.sources import files
 from .oracle import differences, duck
 
 #: One or two of each family; all are compared by the driver, and with this list emptied, here.
-FAMILIES = "bars calendar_align ffill_prices dedup_first log_return label_quantile rsi obv rolling_sharpe fold_generate fold_summary qc_restore meta_features bh_metrics acf kpss_stat backtest_summary hysteresis_signal pareto_front hypervolume interval_report csv_round_trip ragged_csv validated_join lookup_ids sample_per_entity category_order drawdown_kinds arch_lm yeo_johnson_lambda power_column outlier_default locked_features fold_slice ar1_forecast hybrid_scale stream_hourly_bars".split()
+FAMILIES = "bars calendar_align ffill_prices dedup_first log_return label_quantile rsi obv rolling_sharpe fold_generate fold_summary qc_restore meta_features bh_metrics acf kpss_stat backtest_summary hysteresis_signal pareto_front hypervolume interval_report csv_round_trip ragged_csv validated_join lookup_ids sample_per_entity category_order drawdown_kinds arch_lm yeo_johnson_lambda power_column outlier_default locked_features fold_slice ar1_forecast hybrid_scale stream_hourly_bars representative_folds best_swap ar2_forecast parameter_sweep streak_signal block_penalties window_regression_1".split()
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, sf, con, name):
 
 
 def test_every_query_has_a_plan(spark, sf):
-    eager = {"csv_round_trip", "json_fold_summaries", "log_scan", "ragged_csv", "append_resume", "stream_hourly_bars", "stream_signals", "representative_folds", "coverage_stats", "best_swap", "coverage_elbow", "coverage_sweep", "adaptive_folds", "improved_folds", "pca_components", "pca_loadings", "describe_returns", "hv_progression", "seed_picks", "fold_slice", "fold_files", "locked_features"}
+    eager = {"csv_round_trip", "json_fold_summaries", "log_scan", "ragged_csv", "append_resume", "stream_hourly_bars", "stream_signals", "representative_folds", "coverage_stats", "best_swap", "coverage_elbow", "coverage_sweep", "adaptive_folds", "improved_folds", "pca_components", "pca_loadings", "describe_returns", "hv_progression", "seed_picks", "fold_slice", "fold_files", "locked_features", "parameter_sweep", "random_search_summary", "arma_sweep", "parameter_draws", "order_champions", "ar2_forecast", "ar_forecast", "all_penalties", "block_penalties"}
     for name in set(Q.QUERIES) - eager:
         assert Q.QUERIES[name](spark, sf).columns, name
 
