@@ -37,6 +37,12 @@ def sharpe(r: str | Column) -> Column:
     return F.when((F.count(r) < 2) | (F.coalesce(F.stddev_samp(r), F.lit(0.0)) == 0), 0.0).otherwise(F.avg(r) / F.stddev_samp(r) * F.sqrt(F.lit(float(YEAR))))
 
 
+def significant(x: Column, digits: int) -> Column:
+    """Rounded to so many significant digits; 0 stays."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - (digits - 1))
+    return F.when(x == 0, 0.0).otherwise(F.round(x / unit) * unit)
+
+
 def finite(x: Column) -> Column:
     """Null for NaN and infinities."""
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import finite, last_rows, series, upto
 from ..sources.panels import PRICES
+from .quantiles import quantiles
 
 
 def calendar_align(bars: DataFrame) -> DataFrame:
@@ -72,12 +73,13 @@ def split(df: DataFrame, cutoff: str) -> DataFrame:
 def label(returns: DataFrame, q: float = 0.7) -> DataFrame:
     """Adds next (the next return) and target: whether it exceeds the quantile of all entities' next returns."""
     ahead = returns.withColumn("next", F.lead("r").over(series())).where("next is not null")
-    return ahead.crossJoin(F.broadcast(ahead.agg(F.percentile("next", F.lit(q)).alias("thr")))).withColumn("target", (F.col("next") > F.col("thr")).cast("int"))
+    mark = quantiles(ahead, "next", [q]).select(F.col("value").alias("thr"))
+    return ahead.crossJoin(F.broadcast(mark)).withColumn("target", (F.col("next") > F.col("thr")).cast("int"))
 
 
-def label_distribution(returns: DataFrame, quantiles: tuple[float, ...] = (0.6, 0.7, 0.8)) -> DataFrame:
+def label_distribution(returns: DataFrame, shares: tuple[float, ...] = (0.6, 0.7, 0.8)) -> DataFrame:
     ahead = returns.withColumn("next", F.lead("r").over(series())).where("next is not null")
-    marks = ahead.agg(F.percentile("next", F.array(*map(F.lit, quantiles))).alias("marks")).select(F.posexplode("marks").alias("nth", "thr")).withColumn("q", F.element_at(F.array(*map(F.lit, quantiles)), F.col("nth") + 1))
+    marks = quantiles(ahead, "next", list(shares)).select("q", F.col("value").alias("thr"))
     counted = ahead.crossJoin(F.broadcast(marks)).groupBy("q", (F.col("next") > F.col("thr")).cast("int").alias("target")).agg(F.count("*").alias("n"))
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("q")))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,33 +80,3 @@ def windows(df: DataFrame, features: list[str], target: str, length: int) -> Dat
     w = series().rowsBetween(-length, -1)
     block = F.collect_list(F.array(*features)).over(w)
     return df.withColumn("block", block).where(F.size("block") == length).select("entity", "ts", "block", F.col(target).alias("y"))
-
-
-def recursive_means(df: DataFrame, column: str = "close", ema: tuple[int, ...] = (12, 26), tema: tuple[int, ...] = (12, 26), rsi: tuple[int, ...] = (7, 14)) -> DataFrame:
-    """EMA, TEMA and Wilder's RSI of each entity in one pass over its rows. A mean that refers to its own
-    last value has no window form, so each entity's series goes through Arrow once for all of them."""
-    names = [*(f"ema_{n}" for n in ema), *(f"tema_{n}" for n in tema), *(f"rsi_{n}" for n in rsi)]
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        x = rows[column]
-        out = rows[["entity", "ts"]].copy()
-
-        def mean(s: pd.Series, span: int) -> pd.Series:
-            return s.ewm(span=span, adjust=False).mean()
-
-        for n in ema:
-            out[f"ema_{n}"] = mean(x, n)
-        for n in tema:
-            one = mean(x, n)
-            two = mean(one, n)
-            out[f"tema_{n}"] = 3 * one - 3 * two + mean(two, n)
-        change = x.diff()
-        for n in rsi:
-            up, down = (s.ewm(alpha=1 / n, min_periods=n, adjust=False).mean() for s in (change.clip(lower=0), -change.clip(upper=0)))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out[f"rsi_{n}"] = 100 - 100 / (1 + up / down)
-        return out
-
-    found = df.select("entity", "ts", column).groupBy("entity").applyInPandas(work, "entity string, ts date, " + ", ".join(f"{n} double" for n in names))
-    return found.select("entity", "ts", *[F.nanvl(n, F.lit(None)).alias(n) for n in names])

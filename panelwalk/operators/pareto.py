@@ -94,6 +94,12 @@ def final_interval(gain: DataFrame, key: str) -> DataFrame:
     return scored.orderBy(F.col("score").desc_nulls_last(), F.desc("median_gain"), F.desc("n"), key).limit(1)
 
 
+def interval_by_sharpe(tests: DataFrame, key: str) -> DataFrame:
+    """Interval with the best median Sharpe of its tests, for want of hypervolumes."""
+    by = tests.groupBy(key).agg(F.median("sharpe").alias("median_sharpe"), F.count("*").alias("n"))
+    return by.orderBy(F.desc(F.round("median_sharpe", 9)), F.desc("n"), key).limit(1)
+
+
 def scalarised(df: DataFrame, keys: list[str], weights: list[float]) -> DataFrame:
     """Augmented Chebyshev value of each row for each weight."""
     runs = scaled(df, keys).select("*", F.explode(F.array(*map(F.lit, weights))).alias("lam"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import TINY, YEAR, series, sharpe, upto
+from .quantiles import quantiles
 
 
 def risk(df: DataFrame, keys: list[str], order: str = "ts", r: str = "r", more: tuple[Column, ...] = ()) -> DataFrame:
@@ -19,9 +20,10 @@ def describe(returns: DataFrame) -> DataFrame:
     """Moments and percentiles by entity over the dates that all entities have."""
     entities = returns.select("entity").distinct().count()
     common = returns.groupBy("ts").agg(F.count("r").alias("n")).where(F.col("n") == entities).select("ts")
-    pct = F.percentile("r", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = returns.join(common, "ts", "left_semi").groupBy("entity").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.min("r").alias("least"), pct.alias("p"), F.max("r").alias("most"))
-    return out.select("entity", "n", "mean", "std", "least", F.col("p")[0].alias("p5"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p95"), "most")
+    rows = returns.join(common, "ts", "left_semi")
+    out = rows.groupBy("entity").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.min("r").alias("least"), F.max("r").alias("most"))
+    points = quantiles(rows, "r", [0.05, 0.5, 0.95], ["entity"]).groupBy("entity").agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in ((0.05, "p5"), (0.5, "p50"), (0.95, "p95"))])
+    return out.join(points, "entity").select("entity", "n", "mean", "std", "least", "p5", "p50", "p95", "most")
 
 
 def tail_events(returns: DataFrame, limits: tuple[float, ...] = (0.05, 0.10)) -> DataFrame:

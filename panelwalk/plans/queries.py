@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import clip, series, sharpe
-from ..operators import backtest, clean, folds, indicators, pareto, qc, select, stats
+from ..operators import backtest, clean, folds, indicators, pareto, qc, scan, select, stats
 from ..sources import files, panels
 from ..streaming import streams
 from . import frames as fr
-from . import models, reports, selection  # noqa: F401  register their own
+from . import components, models, reports, selection  # noqa: F401  register their own
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 BARS = "SELECT entity, ts, open, high, low, close, adj_close, volume FROM "
 
 
 def _listing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("AF", "1994-01-01")], "entity string, listed string").withColumn("listed", F.col("listed").cast("date"))
+    return spark.createDataFrame([("AF", "1996-05-01")], "entity string, listed string").withColumn("listed", F.col("listed").cast("date"))
 
 
 # Sources and cleaning
@@ -25,7 +25,7 @@ query("bars", BARS + "bars", exact=True)(panels.bars)
 query("event_bars", """SELECT event_type AS entity, date_trunc('hour', ts)::TIMESTAMP AS ts, min_by(value, {'a': ts, 'b': event_id, 'c': value}) AS open, max(value) AS high, min(value) AS low,
   max_by(value, {'a': ts, 'b': event_id, 'c': value}) AS close, max_by(value, {'a': ts, 'b': event_id, 'c': value}) AS adj_close, count(*)::DOUBLE AS volume FROM events GROUP BY ALL""", exact=True)(panels.event_bars)
 query("calendar_align", BARS + "aligned", exact=True)(lambda s, d: clean.calendar_align(panels.bars(s, d)).select("entity", "ts", *panels.PRICES, "volume"))
-query("listing_filter", BARS + "bars WHERE entity <> 'AF' OR ts >= DATE '1994-01-01'", exact=True)(lambda s, d: clean.listed(panels.bars(s, d), _listing(s)))
+query("listing_filter", BARS + "bars WHERE entity <> 'AF' OR ts >= DATE '1996-05-01'", exact=True)(lambda s, d: clean.listed(panels.bars(s, d), _listing(s)))
 query("ffill_prices", BARS + "(SELECT f.* EXCLUDE (volume), a.volume FROM filled f JOIN aligned a USING (entity, ts))", exact=True)(lambda s, d: clean.forward_fill(clean.calendar_align(panels.bars(s, d))))
 query("fill_volume", "SELECT entity, ts, coalesce(volume, 0) AS volume FROM aligned")(lambda s, d: clean.fill_volume(clean.calendar_align(panels.bars(s, d))).select("entity", "ts", "volume"))
 query("drop_gaps", BARS + "panel", exact=True)(lambda s, d: fr.panel(s, d).select("entity", "ts", *panels.PRICES, "volume"))
@@ -43,13 +43,19 @@ query("label_quantile", "SELECT entity, ts, round(next, 6) AS next, round(thr, 6
 query("label_distribution", """SELECT q::DOUBLE AS q, target, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY q), 6) AS share FROM (SELECT q, (next > quantile)::INT AS target FROM nexts,
   (SELECT q, CASE q WHEN 0.6 THEN a WHEN 0.7 THEN b ELSE c END AS quantile FROM (SELECT unnest([0.6, 0.7, 0.8]) AS q), (SELECT quantile_cont(next, 0.6) AS a, quantile_cont(next, 0.7) AS b, quantile_cont(next, 0.8) AS c FROM nexts))) GROUP BY q, target""")(lambda s, d: clean.label_distribution(fr.rets(s, d)))
 query("non_finite_guard", "SELECT count(*) FILTER (close IS NULL) AS close, count(*) FILTER (volume IS NULL) AS volume FROM aligned")(lambda s, d: clean.non_finite(clean.calendar_align(panels.bars(s, d)), ["close", "volume"]))
-query("numeric_coercion", """SELECT event_type, count(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS ok, count(*) - count(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS bad FROM events GROUP BY event_type""")(
-    lambda s, d: s.read.parquet(f"{d}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").try_cast("double")).groupBy("event_type").agg(F.count("k").alias("ok"), F.count_if(F.col("k").isNull()).alias("bad"))
-)
+@query("numeric_coercion", """SELECT event_type, count(TRY_CAST(x AS DOUBLE)) AS ok, count(*) - count(TRY_CAST(x AS DOUBLE)) AS bad
+FROM (SELECT event_type, CASE WHEN event_id % 9 = 0 THEN props ELSE json_extract_string(props, '$.k') END AS x FROM events) GROUP BY event_type""")
+def numeric_coercion(s: SparkSession, d: str) -> DataFrame:
+    """Every ninth text is no number."""
+    text = F.when(F.col("event_id") % 9 == 0, F.col("props")).otherwise(F.get_json_object("props", "$.k"))
+    events = s.read.parquet(f"{d}/events.parquet").withColumn("k", text.try_cast("double"))
+    return events.groupBy("event_type").agg(F.count("k").alias("ok"), F.count_if(F.col("k").isNull()).alias("bad"))
+
+
 for _mode, _sql in (("drop", "SELECT entity, ts, round(next, 6) AS target FROM nexts"), ("zero", "SELECT entity, ts, round(coalesce(lead(r) OVER (PARTITION BY entity ORDER BY ts), 0), 6) AS target FROM rets")):
     query(f"target_repair_{_mode}", _sql)(lambda s, d, m=_mode: clean.repaired_target(fr.rets(s, d), "r", m).select("entity", "ts", "target"))
 query("return_column", "SELECT entity, ts, round(ln(adj_close / lag(adj_close) OVER (PARTITION BY entity ORDER BY ts)), 6) AS ret FROM panel")(lambda s, d: clean.return_column(fr.panel(s, d).select("entity", "ts", "adj_close")).select("entity", "ts", "ret"))
-query("date_slice", "SELECT entity, ts, round(close, 6) AS close, strftime(ts, '%Y-%m-%d') AS day FROM panel WHERE upper(entity) = 'RF' AND ts BETWEEN DATE '1994-03-01' AND DATE '1994-06-30'")(lambda s, d: clean.date_slice(fr.panel(s, d), "rf", "1994-03-01", "1994-06-30").select("entity", "ts", "close", "day"))
+query("date_slice", "SELECT entity, ts, round(close, 6) AS close, strftime(ts, '%Y-%m-%d') AS day FROM panel WHERE upper(entity) = 'RF' AND ts BETWEEN DATE '1996-03-01' AND DATE '1996-06-30'")(lambda s, d: clean.date_slice(fr.panel(s, d), "rf", "1996-03-01", "1996-06-30").select("entity", "ts", "close", "day"))
 
 # Window indicators
 query("lags", "SELECT entity, ts, " + ", ".join(f"round(lag({c}, {k}) OVER w, 6) AS {c}_lag_{k}" for c in ("close", "r") for k in (1, 3, 5)) + " FROM rets WINDOW w AS (PARTITION BY entity ORDER BY ts)", digits=8)(lambda s, d: (lambda x: x.select("entity", "ts", *[c for c in x.columns if "_lag_" in c]))(indicators.lags(fr.rets(s, d), ["close", "r"])))
@@ -73,20 +79,20 @@ query("sliding_blocks", "SELECT entity, ts, round(s, 6) AS total, n, round(r, 6)
     lambda s, d: indicators.windows(fr.rets(s, d), ["r", "close"], "r", 10).select("entity", "ts", F.aggregate(F.flatten("block"), F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("block").cast("long").alias("n"), "y")
 )
 _EMA = "SELECT a.entity, a.ts, a.i, sum(CASE WHEN b.i = {first} THEN 1.0 ELSE {alpha} END * pow(1 - {alpha}, a.i - b.i) * b.{x}) AS {x} FROM {t} a JOIN {t} b ON a.entity = b.entity AND b.i <= a.i GROUP BY ALL"
-query("ema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel) SELECT entity, ts, round(x, 6) AS ema_12 FROM (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + ")", digits=7)(lambda s, d: indicators.recursive_means(fr.panel(s, d)).select("entity", "ts", "ema_12"))
-query("tema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel), e1 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + "), e2 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e1") + "), e3 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e2") + ") SELECT entity, e1.ts, round(3 * e1.x - 3 * e2.x + e3.x, 6) AS tema_12 FROM e1 JOIN e2 USING (entity, i) JOIN e3 USING (entity, i)", digits=7)(
-    lambda s, d: indicators.recursive_means(fr.panel(s, d)).select("entity", "ts", "tema_12")
+query("ema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel) SELECT entity, ts, round(x, 6) AS ema_12 FROM (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + ")", digits=7)(lambda s, d: scan.recursive_means(fr.panel(s, d)).select("entity", "ts", "ema_12"))
+query("tema", "WITH p AS (SELECT entity, ts, close AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM panel), e1 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="p") + "), e2 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e1") + "), e3 AS (" + _EMA.format(first=1, alpha="(2 / 13)", x="x", t="e2") + ") SELECT entity, e1.ts, round(3 * e1.x - 3 * e2.x + e3.x, 6) AS tema_12 FROM e1 JOIN e2 USING (entity, i) JOIN e3 USING (entity, i)", digits=5)(
+    lambda s, d: scan.recursive_means(fr.panel(s, d)).select("entity", "ts", "tema_12")
 )
 query("rsi", "WITH p AS (SELECT entity, ts, greatest(g, 0) AS u, greatest(-g, 0) AS v, row_number() OVER (PARTITION BY entity ORDER BY ts) - 1 AS i FROM (SELECT entity, ts, close - lag(close) OVER (PARTITION BY entity ORDER BY ts) AS g FROM panel)), q AS (SELECT * FROM p WHERE i > 0), a AS (" + _EMA.format(first=1, alpha="(1 / 14)", x="u", t="q") + "), b AS (" + _EMA.format(first=1, alpha="(1 / 14)", x="v", t="q") + ") SELECT p.entity, p.ts, CASE WHEN p.i >= 14 THEN round(100 - 100 / (1 + a.u / b.v), 6) END AS rsi_14 FROM p LEFT JOIN a USING (entity, i) LEFT JOIN b USING (entity, i)")(
-    lambda s, d: indicators.recursive_means(fr.panel(s, d)).select("entity", "ts", "rsi_14")
+    lambda s, d: scan.recursive_means(fr.panel(s, d)).select("entity", "ts", "rsi_14")
 )
 query("share_in_group", "SELECT entity, regime, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY entity) * 100, 6) AS share FROM tagged GROUP BY entity, regime")(lambda s, d: indicators.regime(fr.labelled(s, d)).groupBy("entity", "regime").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("entity")) * 100))
 
 # Folds
 query("fold_generate", "SELECT fold_id, entity, ts, off, split FROM fold_rows")(lambda s, d: fr.fold_rows(s, d).select("fold_id", "entity", "ts", "off", "split"))
 query("fold_summary", "SELECT fold_id, entity, train_start, train_end, val_start, val_end, round(val_pos_ratio, 6) AS val_pos_ratio, round(val_vol, 6) AS val_vol, val_pos_ratio < 0.02 OR val_pos_ratio > 0.98 AS extreme FROM folds")(fr.fold_table)
-query("complete_folds", """SELECT (row_number() OVER (ORDER BY fold_id) - 1)::BIGINT AS fold_id, n, last FROM (SELECT fold_id, count(*) AS n, max(ts) AS last FROM (SELECT *, CASE WHEN ts < DATE '1993-06-01' THEN NULL ELSE r END AS f FROM fold_rows) GROUP BY fold_id HAVING count(f) = count(*))""")(
-    lambda s, d: folds.complete_folds(fr.fold_rows(s, d).withColumn("f", F.when(F.col("ts") >= "1993-06-01", F.col("r"))), ["f", "close"]).groupBy("fold_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+query("complete_folds", """SELECT (row_number() OVER (ORDER BY fold_id) - 1)::BIGINT AS fold_id, n, last FROM (SELECT fold_id, count(*) AS n, max(ts) AS last FROM (SELECT *, CASE WHEN ts < DATE '1995-06-01' THEN NULL ELSE r END AS f FROM fold_rows) GROUP BY fold_id HAVING count(f) = count(*))""")(
+    lambda s, d: folds.complete_folds(fr.fold_rows(s, d).withColumn("f", F.when(F.col("ts") >= "1995-06-01", F.col("r"))), ["f", "close"]).groupBy("fold_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
 )
 query("retrain_blocks", """SELECT fold_id, interval_ AS "interval", floor((off - 252) / interval_)::BIGINT AS block, count(*) AS n, round(stddev_pop(r), 6) AS vol, stddev_pop(r) < 0.0015 AS still FROM fold_rows, (SELECT unnest([10, 20, 42]) AS interval_) WHERE split = 'val' GROUP BY ALL""")(
     lambda s, d: folds.blocks(fr.fold_rows(s, d)).groupBy("fold_id", "interval", "block").agg(F.count("*").alias("n"), F.stddev_pop("r").alias("vol"), F.first("still").alias("still"))
@@ -97,7 +103,24 @@ _META = ["positive_ratio", "volatility", "downside_volatility", "max_drawdown",
 query("meta_features", "SELECT fold_id, entity, " + ", ".join(f"round({c}, 6) AS {c}" for c in _META) + ", date_min, date_max, len(date_list)::BIGINT AS days FROM meta")(lambda s, d: fr.meta(s, d).withColumn("days", F.size("date_list").cast("long")).drop("date_list"))
 
 # Quality control
-query("qc_merge_meta", "SELECT q.fold_id, round(coalesce(vol, round(volatility, 9)), 6) AS vol FROM qc q JOIN meta USING (fold_id) WHERE coalesce(ratio, positive_ratio) IS NOT NULL")(lambda s, d: (lambda rows: qc.merge_meta(fr.qc_table(s, d, rows), fr.meta(s, d, rows).withColumn("volatility", F.round("volatility", 9)))[0].select("fold_id", "vol"))(fr.fold_rows(s, d)))
+
+
+def _gappy(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Summaries and meta rows with gaps: every seventh ratio and fifth volatility of the first, every fourteenth
+    ratio of the second."""
+    rows = fr.fold_rows(s, d)
+    gap = lambda c, n: F.when(F.col("fold_id") % n != 0, F.col(c))
+    summary = fr.qc_table(s, d, rows).withColumns({"ratio": gap("ratio", 7), "vol": gap("vol", 5)})
+    return summary, fr.meta(s, d, rows).withColumns({"positive_ratio": gap("positive_ratio", 14), "volatility": F.round("volatility", 9)})
+
+
+@query("qc_merge_meta", """SELECT fold_id, round(coalesce(CASE WHEN fold_id % 7 <> 0 THEN ratio END, CASE WHEN fold_id % 14 <> 0 THEN positive_ratio END), 6) AS ratio,
+  round(CASE WHEN fold_id % 5 <> 0 THEN vol ELSE round(volatility, 9) END, 6) AS vol, CASE WHEN fold_id % 14 = 0 THEN 'missing_target_or_meta' END AS reason FROM qc JOIN meta USING (fold_id)""")
+def qc_merge_meta(s: SparkSession, d: str) -> DataFrame:
+    merged, dropped = qc.merge_meta(*_gappy(s, d))
+    return merged.withColumn("reason", F.lit(None).cast("string")).select("fold_id", "ratio", "vol", "reason").unionByName(dropped.select("fold_id", "ratio", "vol", "reason"))
+
+
 query("qc_thresholds", "SELECT entity, round(low, 6) AS low, round(high, 6) AS high, round(least_vol, 6) AS least_vol FROM limits")(lambda s, d: qc.thresholds(fr.qc_table(s, d)))
 
 
@@ -204,16 +227,23 @@ query("top_n_per_entity", "SELECT entity, fold_id, rank::INT AS rank, round(rmse
 
 # Scaling, similarity, selection
 query("minmax_scale", "SELECT entity, ts, round((close - lo) / (hi - lo), 6) AS close FROM rets, (SELECT min(close) AS lo, max(close) AS hi FROM rets)")(lambda s, d: (lambda x: select.scale(x, x, [], ["close"]))(fr.rets(s, d).select("entity", "ts", "close")))
-query("hybrid_scale", """SELECT fold_id, off, round((r - m) / sd, 6) AS r, round((close - lo) / (hi - lo), 6) AS close FROM fold_rows, (SELECT avg(r) AS m, stddev_pop(r) AS sd, min(close) AS lo, max(close) AS hi FROM fold_rows WHERE split = 'train')""")(
-    lambda s, d: (lambda x: select.scale(x, x.where("split = 'train'"), ["r"], ["close"]).select("fold_id", "off", "r", "close"))(fr.fold_rows(s, d).select("fold_id", "off", "split", "r", "close"))
-)
+@query("hybrid_scale", """SELECT fold_id, split, count(*) AS n, round(avg((r - m) / sd), 6) AS r_mean, round(min((r - m) / sd), 6) AS r_min, round(max((r - m) / sd), 6) AS r_max,
+  round(avg((close - lo) / (hi - lo)), 6) AS close_mean, round(max((close - lo) / (hi - lo)), 6) AS close_max
+FROM fold_rows, (SELECT avg(r) AS m, stddev_pop(r) AS sd, min(close) AS lo, max(close) AS hi FROM fold_rows WHERE split = 'train') GROUP BY fold_id, split""")
+def hybrid_scale(s: SparkSession, d: str) -> DataFrame:
+    """Scaled by the training rows' marks, then summed up by fold and split."""
+    rows = fr.fold_rows(s, d).select("fold_id", "split", "r", "close")
+    scaled = select.scale(rows, rows.where("split = 'train'"), ["r"], ["close"])
+    marks = F.count("*").alias("n"), F.avg("r").alias("r_mean"), F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.avg("close").alias("close_mean"), F.max("close").alias("close_max")
+    return scaled.groupBy("fold_id", "split").agg(*marks)
+
+
 query("cosine_pairs", "SELECT i, j, round(sim, 6) AS sim, same_entity FROM pairs")(lambda s, d: select.similar_pairs(files.stored(fr.meta(s, d), "meta")).select("i", "j", "sim", "same_entity"))
 query("penalised_pairs", "SELECT i, j, round(overlap, 6) AS overlap, round(dissim, 6) AS dissim FROM penalised")(lambda s, d: select.similar_pairs(files.stored(fr.meta(s, d), "meta")).select("i", "j", "overlap", "dissim"))
 
 
 _WIDE = ["open", "high", "low", "close", "volume", "r"]
 query("pca_components")(lambda s, d: (lambda x: select.principal(select.scale(x, x, _WIDE), _WIDE)[0])(fr.rets(s, d).select("entity", "ts", *_WIDE)))
-query("pca_loadings")(lambda s, d: (lambda x: select.loadings(_WIDE, select.principal(select.scale(x, x, _WIDE), _WIDE)[2], s, 3))(fr.rets(s, d).select("entity", "ts", *_WIDE)))
 query("parameter_neighbours", "SELECT DISTINCT fold_id, least(greatest(p + a, 1), 7)::INT AS p, least(greatest(q + b, 1), 7)::INT AS q FROM (SELECT fold_id, (fold_id % 7 + 1)::INT AS p, (fold_id % 5 + 1)::INT AS q FROM folds), (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)")(
     lambda s, d: backtest.parameter_grid(s, fr.fold_table(s, d).select("fold_id", (F.col("fold_id") % 7 + 1).cast("int").alias("p"), (F.col("fold_id") % 5 + 1).cast("int").alias("q")))
 )

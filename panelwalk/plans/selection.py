@@ -49,7 +49,7 @@ SELECT 1 AS nth, out, "into", round(gain, 6) AS gain, round((SELECT coverage FRO
 FROM allowed ORDER BY round(gain, 9) DESC, out, "into" LIMIT 1"""
 
 
-def _folds(s: SparkSession, d: str) -> DataFrame:
+def packed_folds(s: SparkSession, d: str) -> DataFrame:
     return facility.packed(files.stored(select.traits(fr.meta(s, d)), "traits"))
 
 
@@ -63,40 +63,40 @@ def _swap_table(s: SparkSession, swaps: list[facility.Swap]) -> DataFrame:
 
 @query("representative_folds", _PICKS + " SELECT nth, fold_id, entity, round(gain, 6) AS gain, round(coverage, 6) AS coverage FROM picks")
 def representative_folds(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, facility.greedy(_folds(s, d), max(K))[0])
+    return _table(s, facility.greedy(packed_folds(s, d), max(K))[0])
 
 
 @query("adaptive_folds", _PICKS + """ SELECT nth, fold_id, entity, round(gain, 6) AS gain, round(coverage, 6) AS coverage FROM picks
 WHERE nth <= (SELECT coalesce(min(nth), 14) FROM picks WHERE nth >= 3 AND gain <= 0.1 * (SELECT gain FROM picks WHERE nth = 1))""")
 def adaptive_folds(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, facility.greedy(_folds(s, d), max(K), k_min=3, elbow_tol=0.1)[0])
+    return _table(s, facility.greedy(packed_folds(s, d), max(K), k_min=3, elbow_tol=0.1)[0])
 
 
 @query("coverage_stats", _PICKS + _STATS)
 def coverage_stats(s: SparkSession, d: str) -> DataFrame:
-    folds = _folds(s, d)
+    folds = packed_folds(s, d)
     return facility.stats(folds, facility.greedy(folds, max(K))[1], list(K))
 
 
 @query("coverage_sweep", _PICKS + _STATS.replace("unnest([11, 14])", "unnest(range(2, 15, 2))::INT"))
 def coverage_sweep(s: SparkSession, d: str) -> DataFrame:
-    folds = _folds(s, d)
+    folds = packed_folds(s, d)
     return facility.stats(folds, facility.greedy(folds, max(K))[1], list(range(2, 15, 2)))
 
 
 @query("best_swap", _PICKS + _SWAP)
 def best_swap(s: SparkSession, d: str) -> DataFrame:
-    folds = _folds(s, d)
+    folds = packed_folds(s, d)
     return _swap_table(s, facility.swaps(folds, facility.greedy(folds, K[0])[1], most=1)[0])
 
 
 @query("improved_folds")
 def improved_folds(s: SparkSession, d: str) -> DataFrame:
     """All swaps until none helps; tests hold the operator against brute force."""
-    folds = _folds(s, d)
+    folds = packed_folds(s, d)
     return _swap_table(s, facility.swaps(folds, facility.greedy(folds, K[0])[1])[0])
 
 
 @query("coverage_elbow", _PICKS + ' SELECT min(nth)::INT AS k FROM (SELECT nth, coverage - lag(coverage) OVER (ORDER BY nth) AS step FROM picks) WHERE step < 0.02')
 def coverage_elbow(s: SparkSession, d: str) -> DataFrame:
-    return select.elbow(_table(s, facility.greedy(_folds(s, d), max(K))[0]), 0.02)
+    return select.elbow(_table(s, facility.greedy(packed_folds(s, d), max(K))[0]), 0.02)

@@ -216,3 +216,27 @@ def test_overlaps_of_days_equal_brute_force(spark):
     got = {(r.i, r.j): r.overlap for r in select.overlaps(df).collect()}
     wanted = {(i, j): len(set(a) & set(b)) / len(set(a) | set(b)) for i, a in enumerate(folds_) for j, b in enumerate(folds_) if i < j and set(a) & set(b)}
     assert got.keys() == wanted.keys() and all(math.isclose(got[k], wanted[k]) for k in wanted)
+
+
+def test_components_of_chosen_rows_equal_numpy(spark):
+    import numpy as np
+
+    from panelwalk.operators import components
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 4)) @ np.diag([3.0, 2.0, 1.0, 0.1]) @ rng.normal(size=(4, 4)) + 100
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(99, None, 1.0, 2.0, 3.0)], "id int, a double, b double, c double, d double")
+    train = df.where("id < 60 or id = 99")
+    model = components.fit(train, list("abcd"), 0.97)
+    _, size, axes = np.linalg.svd(x[:60] - x[:60].mean(0), full_matrices=False)
+    k = int(np.searchsorted(np.cumsum(size**2) / (size**2).sum(), 0.97)) + 1
+    assert np.allclose(model.shares, size**2 / (size**2).sum()) and len(model.axes) == k
+    assert all(max(a, key=abs) > 0 for a in model.axes)
+    got = np.array([list(r)[1:] for r in components.project(df.where("id < 80"), model, ["id"]).orderBy("id").collect()])
+    wanted = (x - x[:60].mean(0)) @ axes[:k].T
+    assert np.allclose(np.abs(got), np.abs(wanted)) and np.allclose(got, (x - x[:60].mean(0)) @ np.array(model.axes).T)
+    table = components.variance_table(spark, model).collect()
+    assert len(table) == 20 and math.isclose(table[-1].cumulative, 1) and table[4].share == 0
+    top = components.loadings(spark, model, 2).where("component = 'pc1'").orderBy("rank").collect()
+    assert [abs(r.loading) for r in top] == sorted((abs(v) for v in model.axes[0]), reverse=True)[:2]
+    assert components.fit(df.limit(0), ["a", "b"]).axes == [] and components.fit(df.withColumn("a", F.lit(1.0)).withColumn("b", F.lit(2.0)), ["a", "b"]).axes == []
