@@ -10,7 +10,7 @@ from ..operators import backtest, clean, folds, indicators, pareto, qc, scan, se
 from ..sources import files, panels
 from ..streaming import streams
 from . import frames as fr
-from . import components, models, reports, selection  # noqa: F401  register their own
+from . import components, lagged, models, reports, selection  # noqa: F401  register their own
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 BARS = "SELECT entity, ts, open, high, low, close, adj_close, volume FROM "
