@@ -312,4 +312,12 @@ def _stream_signals(s: SparkSession, d: str) -> DataFrame:
 
 query("stream_hourly_bars", """SELECT event_type AS entity, date_trunc('hour', ts)::TIMESTAMP AS ts, min_by(value, {'a': ts, 'b': event_id, 'c': value}) AS open, max(value) AS high, min(value) AS low,
   max_by(value, {'a': ts, 'b': event_id, 'c': value}) AS close, count(*) AS n FROM events GROUP BY ALL""", exact=True)(_stream_bars)
-query("stream_signals")(_stream_signals)
+query("stream_signals", """WITH RECURSIVE rows_ AS (SELECT event_type AS entity, ts, event_id, value > 50 AS up, value < 50 AS down, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events
+  WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)),
+states AS (SELECT entity, NULL::TIMESTAMP AS ts, NULL::BIGINT AS event_id, 0::BIGINT AS i, 0 AS pos, 0 AS held, 0 AS rise, 0 AS fall FROM (SELECT DISTINCT entity FROM rows_)
+  UNION ALL
+  SELECT entity, ts, event_id, i, CASE WHEN pos = 0 AND rise >= 2 THEN 1 WHEN pos = 1 AND fall >= 2 AND held >= 3 THEN 0 ELSE pos END,
+    CASE WHEN pos = 0 AND rise >= 2 THEN 1 WHEN pos = 1 AND fall >= 2 AND held >= 3 THEN 0 WHEN pos = 1 THEN held + 1 ELSE 0 END, rise, fall FROM (
+    SELECT r.entity, r.ts, r.event_id, r.i, s.pos, s.held, CASE WHEN up THEN rise + 1 ELSE 0 END AS rise, CASE WHEN down THEN fall + 1 ELSE 0 END AS fall
+    FROM states s JOIN rows_ r ON r.entity = s.entity AND r.i = s.i + 1))
+SELECT entity, ts, event_id, pos FROM states WHERE i > 0""", exact=True)(_stream_signals)

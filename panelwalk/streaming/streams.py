@@ -1,9 +1,7 @@
-"""Stream forms: hourly bars with a watermark, and the streak signal as keyed state."""
+"""Stream forms: hourly bars with a watermark, and the streak signal as keyed state with timers."""
 
 from __future__ import annotations
 
-import heapq
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,15 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.backtest import streak_state
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
-#: Rows that are sorted in memory, read at once from each sorted run, and given out together.
-RUN_ROWS, BLOCK_ROWS, OUT_ROWS = 1 << 18, 1024, 10_000
-_ROW = np.dtype([("no_ts", "?"), ("ts", "<i8"), ("no_id", "?"), ("id", "<i8"), ("up", "?"), ("down", "?")])
+#: State in RocksDB holds more than memory; keyed state with timers needs it.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Milliseconds of rows that are released together.
+SPAN_MS = 3_600_000
+_ROW = np.dtype([("us", "<i8"), ("no_id", "?"), ("id", "<i8"), ("up", "?"), ("down", "?")])
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,66 +34,64 @@ def hourly_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return bars.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("n")).select("entity", F.col("w.start").alias("ts"), "open", "high", "low", "close", "n")
 
 
-def _in_order(batches: Iterator[pd.DataFrame], file) -> Iterator[tuple]:
-    """(no ts, ts, no event_id, event_id, up, down) of all rows in this order: runs of at most RUN_ROWS are sorted,
-    written to the file and merged, so that memory holds one run and a block of each other."""
-    held, size, runs = [], 0, []
-
-    def write() -> None:
-        rows = np.sort(np.concatenate(held))
-        runs.append((file.seek(0, 2), len(rows)))
-        file.write(rows.tobytes())
-
-    for rows in batches:
-        some = np.zeros(len(rows), _ROW)
-        some["no_ts"], some["no_id"] = rows["ts"].isna(), rows["event_id"].isna()
-        some["ts"] = np.where(some["no_ts"], 0, rows["ts"].to_numpy("datetime64[us]").view(np.int64))
-        some["id"] = rows["event_id"].astype("Int64").fillna(0).to_numpy(np.int64)
-        some["up"], some["down"] = rows["up"].eq(True), rows["down"].eq(True)
-        held.append(some)
-        size += len(some)
-        if size >= RUN_ROWS:
-            write()
-            held, size = [], 0
-    if size:
-        write()
-        held = []
-
-    def read(at: int, n: int) -> Iterator[tuple]:
-        for i in range(0, n, BLOCK_ROWS):
-            file.seek(at + i * _ROW.itemsize)
-            yield from np.frombuffer(file.read(min(BLOCK_ROWS, n - i) * _ROW.itemsize), _ROW).tolist()
-
-    yield from heapq.merge(*(read(*run) for run in runs))
-
-
-def signals(changes: DataFrame, enter_k: int = 2, exit_k: int = 2, hold: int = 3) -> DataFrame:
-    """The streak signal of each entity, with its counters kept from batch to batch. changes: entity, ts, event_id,
-    up, down; rows of a batch go by ts and event_id, those without last. A batch's rows of an entity meet in one
-    task, which sorts them on disk."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, out = tuple(state.get) if state.exists else (0, 0, 0, 0), []
-
-        def frame() -> pd.DataFrame:
-            ts = np.array([np.datetime64("NaT") if t is None else np.datetime64(t, "us") for t, _ in out], "datetime64[us]")
-            return pd.DataFrame({"entity": key[0], "ts": ts.astype("datetime64[ns]"), "pos": [p for _, p in out]})
-
-        with tempfile.TemporaryFile() as file:
-            for no_ts, ts, _, _, up, down in _in_order(batches, file):
-                now = streak_state(up, down, now, enter_k, exit_k, hold)
-                out.append((None if no_ts else ts, now[0]))
-                if len(out) == OUT_ROWS:
-                    yield frame()
-                    out = []
-        state.update(now)
-        yield frame()
-
-    return changes.groupBy("entity").applyInPandasWithState(step, "entity string, ts timestamp, pos int", "pos int, held int, rise int, fall int", "append", GroupStateTimeout.NoTimeout)
+class StreakProcessor(StatefulProcessor):
+    """Rows wait in keyed state, those of a span of event time together, until the watermark has passed the span's end;
+    then a timer releases them in order of time. A task holds the rows of one entity and span at most."""
+
+    def __init__(self, enter_k: int, exit_k: int, hold: int):
+        self.rule = (enter_k, exit_k, hold)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "span long", "rows binary")
+        self.now = handle.getValueState("now", "pos int, held int, rise int, fall int, span long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            batch = batch[batch["ts"].notna()]
+            some = np.zeros(len(batch), _ROW)
+            some["us"] = batch["ts"].to_numpy("datetime64[us]").view(np.int64)
+            some["no_id"], some["id"] = batch["event_id"].isna(), batch["event_id"].astype("Int64").fillna(0).to_numpy(np.int64)
+            some["up"], some["down"] = batch["up"].eq(True), batch["down"].eq(True)
+            spans = some["us"] // (1000 * SPAN_MS)
+            for span in np.unique(spans).tolist():
+                held = self.waiting.getValue((span,))[0] if self.waiting.containsKey((span,)) else None
+                if held is None:
+                    self.handle.registerTimer((span + 1) * SPAN_MS)
+                self.waiting.updateValue((span,), ((held or b"") + some[spans == span].tobytes(),))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        span = expiredTimerInfo.getExpiryTimeInMs() // SPAN_MS - 1
+        *state, last = self.now.get() if self.now.exists() else (0, 0, 0, 0, span - 1)
+        if span <= last:
+            raise ValueError("spans have to be released in order of time")
+        rows = np.sort(np.frombuffer(bytes(self.waiting.getValue((span,))[0]), _ROW), order=["us", "no_id", "id", "up", "down"])
+        self.waiting.removeKey((span,))
+        state, pos = tuple(state), []
+        for up, down in zip(rows["up"].tolist(), rows["down"].tolist(), strict=True):
+            state = streak_state(up, down, state, *self.rule)
+            pos.append(state[0])
+        self.now.update((*state, span))
+        ids = pd.Series(rows["id"], dtype="Int64").mask(rows["no_id"])
+        yield pd.DataFrame({"entity": key[0], "ts": rows["us"].view("datetime64[us]").astype("datetime64[ns]"), "event_id": ids, "pos": np.array(pos, np.int32)})
+
+    def close(self) -> None:
+        pass
+
+
+def signals(changes: DataFrame, enter_k: int = 2, exit_k: int = 2, hold: int = 3, late: str = "0 seconds") -> DataFrame:
+    """The streak signal of each entity by event time. changes: entity, ts, event_id, up, down; rows go by ts and event_id,
+    those without an id last. Batches may bring rows in any order: the signal is that of all rows in order of time, as
+    long as no row comes later than `late` behind the latest one; later ones are left out by the watermark, as are
+    rows without ts. Rows of spans that the watermark hasn't passed wait in the state."""
+    waiting = changes.withWatermark("ts", late).groupBy("entity")
+    return waiting.transformWithStateInPandas(StreakProcessor(enter_k, exit_k, hold), "entity string, ts timestamp, event_id long, pos int", "Append", "EventTime")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns what it wrote."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 

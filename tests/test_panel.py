@@ -124,27 +124,6 @@ def test_dict_text(spark):
     assert tuple(df.select(files.dict_text(F.col("x"), "struct<p:int,d:int,q:int>").alias("y")).select("y.*").first()) == (5, None, 4)
 
 
-def test_stream_signals_sort_all_rows_of_a_batch_on_disk(spark, tmp_path, monkeypatch):
-    from panelwalk.streaming import streams
-
-    for name, n in (("RUN_ROWS", 50), ("BLOCK_ROWS", 7), ("OUT_ROWS", 60)):
-        monkeypatch.setattr(streams, name, n)
-    random.seed(9)
-    rows = [(i, random.choice([None, *range(60)]) if i % 90 == 0 else random.randrange(60), random.choice("aab"), random.random()) for i in range(1500)]
-    random.shuffle(rows)
-    df = spark.createDataFrame(rows, "event_id long, at int, event_type string, value double").selectExpr("event_id", "timestamp_seconds(at) AS ts", "0L AS user_id", "event_type", "value", "'' AS props")
-    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
-    stream = spark.readStream.schema(streams.EVENTS).parquet(f"{tmp_path}/events.parquet").selectExpr("event_type AS entity", "ts", "event_id", "value > 0.5 AS up", "value < 0.5 AS down")
-    got = streams.run_once(streams.signals(stream), f"{tmp_path}/out", f"{tmp_path}/state").selectExpr("entity", "unix_seconds(ts) AS at", "pos").collect()
-    expected = []
-    for entity in "ab":
-        state = (0, 0, 0, 0)
-        for _, at, _, value in sorted((r for r in rows if r[2] == entity), key=lambda r: (r[1] is None, r[1] or 0, r[0])):
-            state = backtest.streak_state(value > 0.5, value < 0.5, state, 2, 2, 3)
-            expected.append((entity, at, state[0]))
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
-
-
 def test_streak_signal_covers_every_interval(spark, sf):
     from panelwalk.plans import frames
 
