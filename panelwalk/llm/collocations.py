@@ -54,8 +54,8 @@ WORD_END[[0x20, 0x09]] = True
 
 
 class Transducer:
-    """words: sorted distinct symbols; arcs of state s: first[s] .. first[s + 1], ascending by label. State 0 is
-    the start. Target -1: no arcs follow."""
+    """words: distinct symbols, whose numbers are the labels; arcs of state s: first[s] .. first[s + 1], ascending by
+    label. State 0 is the start. Target -1: no arcs follow. Paths are sorted by labels."""
 
     def __init__(self, words: pa.Array, first: np.ndarray, label: np.ndarray, weight: np.ndarray, target: np.ndarray):
         self.words, self.first, self.label, self.weight, self.target = words, first, label, weight, target
@@ -152,7 +152,6 @@ class Transducer:
     def union(cls, parts: list[Transducer]) -> Transducer:
         """All paths of the parts, with the sums of their weights."""
         words = pa.concat_arrays([p.words for p in parts]).unique()
-        words = words.take(pc.array_sort_indices(words))
         rows, weights = zip(*(p.paths() for p in parts), strict=True)
         depth = max(r.shape[1] for r in rows)
         every = []
@@ -378,7 +377,6 @@ class Shard:
         if not self.size:
             return
         words = pa.concat_arrays(self.tables).unique()
-        words = words.take(pc.array_sort_indices(words))
         every = []
         for table, (paths, _) in zip(np.repeat(np.arange(len(self.tables)), len(self.rows) // len(self.tables)), self.rows, strict=True):
             every.append(np.r_[pc.index_in(self.tables[table], words).to_numpy().astype(np.int64), -1][paths])
@@ -427,7 +425,6 @@ def _of_phrases(langs: pa.Array, phrases: pa.Array) -> Transducer:
     langs = langs.cast(pa.large_string()).cast(pa.large_binary())
     both = pa.concat_arrays([langs, flat])
     words = both.unique()
-    words = words.take(pc.array_sort_indices(words))
     number = pc.index_in(both, words).to_numpy().astype(np.int64)
     paths = np.full((len(sizes), int(sizes.max(initial=1)) + 1), -1, np.int64)
     paths[:, 0] = number[: len(sizes)]
