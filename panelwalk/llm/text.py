@@ -201,11 +201,24 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir") + "/_steps"
 
 
+#: Steps that this process has written.
+_STEPS: list[str] = []
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Removes the steps that this process has written. Results that read them have to be written by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STEPS:
+        path = jvm.org.apache.hadoop.fs.Path(_STEPS.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def kept(df: DataFrame, name: str, options: dict | None = None, by: str | None = None) -> DataFrame:
     """Writes a step as a table in the shared folder, in folders by the last column if that is named, and reads it
     back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STEPS.append(path)
     writer = df.write.options(**({"compression": "zstd"} | (options or {})))
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
