@@ -15,12 +15,25 @@ CHAMPION = "struct<champion:struct<p:int,d:int,q:int>,best_params:struct<p:int,d
 ALIASES = {"interval": "retrain_interval", "retrain": "retrain_interval", "ticker": "entity", "fold": "fold_id", "test_sharpe": "sharpe", "test_mdd": "mdd", "thr": "threshold"}
 
 
+#: Folders that this process has asked for.
+_FOLDERS: list[str] = []
+
+
+def drop_folders(spark: SparkSession) -> None:
+    """Removes what this process has written to the shared folder. Results that read it have to be written by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new place in the folder that all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root or spark.conf.get('spark.sql.warehouse.dir') + '/_steps'}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{root or spark.conf.get('spark.sql.warehouse.dir') + '/_steps'}/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
 
 
 def stored(df: DataFrame, name: str = "step", **options) -> DataFrame:

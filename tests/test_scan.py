@@ -62,3 +62,16 @@ def test_no_task_reads_all_values(spark):
     plan = quantiles.quantiles(df, "x", [0.7])._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
     assert quantiles.quantiles(df, "x", [0.7]).first().value == pytest.approx(np.quantile(np.arange(200_000) * 7919 % 200003, 0.7))
+
+
+def test_steps_are_removed(spark):
+    import __spark_entry__
+    from panelwalk.sources import files
+
+    made = files.stored(spark.range(3).toDF("x"), "gone")
+    place = files._FOLDERS[-1].removeprefix("file://")
+    assert made.count() == 3
+    __spark_entry__.finish(spark)
+    import os
+
+    assert not os.path.exists(place) and files._FOLDERS == []
