@@ -57,13 +57,14 @@ def log_returns(bars: DataFrame, column: str = "close") -> DataFrame:
 
 
 def power_transform(df: DataFrame, column: str, low: int = -20, high: int = 20) -> DataFrame:
-    """Box-Cox with the lambda of a grid of tenths that has the largest profile log-likelihood, over all
-    entities together. Returns lambda and its likelihood."""
-    grid = df.sparkSession.range(low, high + 1).select((F.col("id") / 10).alias("lam"))
-    x = F.col(column)
-    y = F.when(F.col("lam") == 0, F.log(x)).otherwise((F.pow(x, F.col("lam")) - 1) / F.col("lam"))
-    fit = df.where(x > 0).crossJoin(F.broadcast(grid)).groupBy("lam").agg(((F.col("lam") - 1) * F.sum(F.log(x)) - F.count("*") / 2 * F.log(F.var_pop(y))).alias("llf"))
-    return fit.agg(F.max_by("lam", "llf").alias("lam"), F.max("llf").alias("llf"))
+    """Box-Cox with the lambda of a grid of tenths that has the largest profile log-likelihood, over all entities
+    together: the whole grid is one aggregate. Returns lambda and its likelihood."""
+    x, logs, n = F.col(column), F.sum(F.log(column)), F.count("*")
+    grid = [lam / 10 for lam in range(low, high + 1)]
+    marks = [(lam - 1) * logs - n / 2 * F.log(F.var_pop((F.pow(x, F.lit(lam)) - 1) / lam if lam else F.log(x))) for lam in grid]
+    fit = df.where(x > 0).agg(*[m.alias(f"l{i}") for i, m in enumerate(marks)])
+    each = F.explode(F.array(*[F.struct(F.lit(lam).alias("lam"), F.col(f"l{i}").alias("llf")) for i, lam in enumerate(grid)]))
+    return fit.select(each.alias("x")).agg(F.max_by("x.lam", "x.llf").alias("lam"), F.max("x.llf").alias("llf"))
 
 
 def split(df: DataFrame, cutoff: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.common import TINY, series, upto
 
 TRAIN, VAL, STEP = 252, 42, 21
+#: Ids that are numbered together.
+STRETCH = 4096
 
 
 def fold_rows(df: DataFrame, train: int = TRAIN, val: int = VAL, step: int = STEP) -> DataFrame:
@@ -27,10 +29,15 @@ def fold_rows(df: DataFrame, train: int = TRAIN, val: int = VAL, step: int = STE
 
 
 def complete_folds(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Folds without a null feature, numbered anew in the order of their ids."""
+    """Folds without a null feature, numbered anew in the order of their ids: within stretches of ids, after what the
+    stretches before hold."""
     gap = F.greatest(*[F.col(c).isNull().cast("int") for c in features]) if len(features) > 1 else F.col(features[0]).isNull().cast("int")
     good = rows.groupBy("fold_id").agg(F.max(gap).alias("gap")).where("gap = 0").select("fold_id")
-    good = good.withColumn("new_id", (F.row_number().over(Window.orderBy("fold_id")) - 1).cast("long"))
+    good = good.withColumn("stretch", F.floor(F.col("fold_id") / STRETCH))
+    counts = good.groupBy("stretch").agg(F.count("*").alias("n"))
+    before = counts.select("stretch", (F.sum("n").over(Window.orderBy("stretch")) - F.col("n")).alias("before"))  # a row for STRETCH ids
+    nth = F.row_number().over(Window.partitionBy("stretch").orderBy("fold_id")) - 1
+    good = good.withColumn("nth", nth).join(before, "stretch").select("fold_id", (F.col("before") + F.col("nth")).alias("new_id"))
     return rows.join(good, "fold_id").drop("fold_id").withColumnRenamed("new_id", "fold_id")
 
 

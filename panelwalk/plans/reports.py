@@ -161,9 +161,12 @@ def fold_files(s: SparkSession, d: str) -> DataFrame:
     return files.by_file_id(s, path, "entity string, val_vol double", r"fold_(\d+)").select("fold_id", "entity", "val_vol")
 
 
-@query("locked_features", "SELECT * FROM (VALUES (1, 'close'), (2, 'volume'), (3, 'r')) AS x(nth, name) WHERE (SELECT count(*) FROM rets) > 0")
+@query("locked_features", """SELECT nth::INT AS nth, name, count(x) AS n, round(avg(x), 6) AS mean, round(max(x), 6) AS most FROM (
+  SELECT 1 AS nth, 'close' AS name, close AS x FROM rets UNION ALL SELECT 2, 'volume', volume FROM rets UNION ALL SELECT 3, 'r', r FROM rets) GROUP BY nth, name""", digits=6)
 def locked_features(s: SparkSession, d: str) -> DataFrame:
-    """The numeric columns of the panel in a fixed order, a copy of one of them left out."""
-    x = fr.rets(s, d).select("entity", "ts", "r", "volume", "close", F.col("close").alias("close_copy"))
+    """The numeric columns of the panel in a fixed order, a copy of one of them left out, with their marks."""
+    x = files.stored(fr.rets(s, d).select("entity", "ts", "r", "volume", "close", F.col("close").alias("close_copy")), "wide")
     names = clean.feature_columns(clean.without_twins(x, "close", "close_copy"), locked=["close", "volume", "close_copy", "r"])
-    return x.groupBy().agg(F.count("*").alias("n")).where("n > 0").select(F.posexplode(F.array(*map(F.lit, names))).alias("nth", "name")).select((F.col("nth") + 1).alias("nth"), "name")
+    each = F.posexplode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in names]))
+    long = x.select(each.alias("nth", "f")).select((F.col("nth") + 1).alias("nth"), "f.name", "f.x")
+    return long.groupBy("nth", "name").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.max("x").alias("most"))

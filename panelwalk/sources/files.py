@@ -110,15 +110,15 @@ def read_ragged(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 
 def append_new(batch: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Appends the rows of a batch whose keys the table lacks; returns the table."""
+    """Appends the rows of a batch whose keys the table lacks, one for each key (the least by all columns); returns the
+    table."""
     spark = batch.sparkSession
-    try:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         done = spark.read.schema(batch.schema).parquet(path)
-        batch = batch.join(done.select(*keys).distinct(), keys, "left_anti")
-    except Exception as error:  # the first batch
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    batch.write.mode("append").parquet(path)
+        batch = batch.join(done.select(*keys).distinct(), keys, "left_anti").select(*batch.columns)
+    least = F.min(F.struct(*batch.columns)).alias("row")
+    batch.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(least).select("row.*").write.mode("append").parquet(path)
     return spark.read.schema(batch.schema).parquet(path)
 
 
@@ -128,7 +128,6 @@ def fold_slice(spark: SparkSession, path: str, split: str, schema: str) -> DataF
 
 
 def by_file_id(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
-    """All files below a folder with fold_id from each file's place, in order of ids; files that can't be read are
-    left out."""
+    """All files below a folder with fold_id from each file's place; files that can't be read are left out."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).parquet(path)
     return rows.withColumn("fold_id", F.nullif(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1), F.lit("")).try_cast("long")).where("fold_id is not null")

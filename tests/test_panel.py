@@ -219,3 +219,17 @@ def test_components_of_chosen_rows_equal_numpy(spark):
     top = components.loadings(spark, model, 2).where("component = 'pc1'").orderBy("rank").collect()
     assert [abs(r.loading) for r in top] == sorted((abs(v) for v in model.axes[0]), reverse=True)[:2]
     assert components.fit(df.limit(0), ["a", "b"]).axes == [] and components.fit(df.withColumn("a", F.lit(1.0)).withColumn("b", F.lit(2.0)), ["a", "b"]).axes == []
+
+
+def test_append_keeps_one_row_for_each_key(spark, tmp_path):
+    first = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string")
+    files.append_new(first, f"{tmp_path}/t", ["k"])
+    got = files.append_new(spark.createDataFrame([(2, "x"), (3, "z"), (3, "y")], "k int, v string"), f"{tmp_path}/t", ["k"])
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "c"), (3, "y")]
+
+
+def test_complete_folds_are_numbered_in_order(spark, monkeypatch):
+    monkeypatch.setattr(folds, "STRETCH", 4)
+    rows = [(f, t, None if f % 5 == 2 and t == 1 else 1.0) for f in range(23) for t in range(3)]
+    got = folds.complete_folds(spark.createDataFrame(rows, "fold_id long, off int, x double").withColumn("old", F.col("fold_id")), ["x"]).select("fold_id", "old").distinct().collect()
+    assert sorted(map(tuple, got)) == list(enumerate(f for f in range(23) if f % 5 != 2))
