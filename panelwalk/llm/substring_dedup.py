@@ -43,7 +43,7 @@ REACH = WINDOW - ANCHOR + 1
 _PLACE = np.uint64((1 << 24) - 1)
 #: Edges whose anchors are found together; with REACH they are fewer than the places that _PLACE can tell.
 BLOCK = 1 << 23
-PATHS = "doc_id long, text_key long, anchor long, content long, first int, edges int"
+PATHS = "doc_id long, text_key long, anchor long, content long, span long"
 EDGES = "anchor long, content long, copies long, whole boolean, nth int, edge long"
 
 
@@ -86,8 +86,8 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which = text[first]
         doc = batch.column(0).take(pa.array(which))
         key = batch.column(1).take(pa.array(which))
-        columns = [doc, key, pa.array(signed(anchors[low[new]])), pa.array(signed(ranges.of(first, count + WINDOW - 1))), pa.array((first - at[which]).astype(np.int32)), pa.array(count.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "anchor", "content", "first", "edges"])
+        columns = [doc, key, pa.array(signed(anchors[low[new]])), pa.array(signed(ranges.of(first, count + WINDOW - 1))), pa.array((first - at[which]) * 32 + count)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "anchor", "content", "span"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +111,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs: doc_id, text_key, text."""
     paths = kept(docs.mapInArrow(_paths, PATHS).alias("p").join(
         docs.mapInArrow(_paths, PATHS).groupBy("anchor").count().where("count > 1").select("anchor"), "anchor", "left_semi"), "paths")
+    # A span is the path's first word and its edges, of which there are REACH at most; one number travels lighter.
+    paths = paths.select("doc_id", "text_key", "anchor", "content", F.expr("cast(shiftright(span, 5) AS int)").alias("first"), F.expr("cast(span & 31 AS int)").alias("edges"))
     contents = paths.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "first", "edges")).alias("at"))
     branching = contents.groupBy("anchor").agg((F.count("*") > 1).alias("branches"))
     contents = contents.join(branching, "anchor")
