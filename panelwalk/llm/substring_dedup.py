@@ -109,8 +109,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and spans: array of (first, mask), a bit for each repeated edge from `first` on.
 
     docs: doc_id, text_key, text."""
-    paths = kept(docs.mapInArrow(_paths, PATHS).alias("p").join(
-        docs.mapInArrow(_paths, PATHS).groupBy("anchor").count().where("count > 1").select("anchor"), "anchor", "left_semi"), "paths")
+    # Both sides of the join come straight from their exchanges, so that Spark can split a hot anchor's paths.
+    anchors = kept(docs.mapInArrow(_paths, PATHS).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    paths = kept(docs.mapInArrow(_paths, PATHS).join(anchors, "anchor", "left_semi"), "paths")
     # A span is the path's first word and its edges, of which there are REACH at most; one number travels lighter.
     paths = paths.select("doc_id", "text_key", "anchor", "content", F.expr("cast(shiftright(span, 5) AS int)").alias("first"), F.expr("cast(span & 31 AS int)").alias("edges"))
     contents = paths.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "first", "edges")).alias("at"))
