@@ -140,9 +140,16 @@ SELECT fold_id, "interval", off, coalesce(last_value(event IGNORE NULLS) OVER (P
   SELECT fold_id, "interval", off, CASE WHEN r >= up AND abs(r - mid) >= 0.5 * mad THEN 1 WHEN r < down OR abs(r - mid) < 0.5 * mad THEN 0 END AS event FROM b JOIN q USING (fold_id, "interval", block) JOIN m USING (fold_id, "interval", block))""")(
     lambda s, d: backtest.hysteresis(fr.forecasts(s, d).withColumn("pred", F.round("mu", 9)), ["fold_id", "interval"], ["block"]).select("fold_id", "interval", "off", "pos")
 )
-query("complete_fold_meta", "SELECT fold_id, round(volatility, 6) AS volatility, round(max_drawdown, 6) AS max_drawdown, date_min, date_max FROM (SELECT (row_number() OVER (ORDER BY fold_id) - 1)::BIGINT AS fold_id, volatility, max_drawdown, date_min, date_max FROM meta JOIN (SELECT fold_id FROM (SELECT fold_id, CASE WHEN ts < DATE '1995-06-01' THEN NULL ELSE r END AS x FROM fold_rows) GROUP BY fold_id HAVING count(x) = count(*)) USING (fold_id))")(
-    lambda s, d: folds.meta_features(folds.complete_folds(fr.fold_rows(s, d).withColumn("x", F.when(F.col("ts") >= "1995-06-01", F.col("r"))), ["x", "close"])).select("fold_id", "volatility", "max_drawdown", "date_min", "date_max")
-)
+_COMPLETE_META = "SELECT fold_id, round(volatility, 6) AS volatility, round(max_drawdown, 6) AS max_drawdown, date_min, date_max FROM (SELECT (row_number() OVER (ORDER BY fold_id) - 1)::BIGINT AS fold_id, volatility, max_drawdown, date_min, date_max FROM meta JOIN (SELECT fold_id FROM (SELECT fold_id, CASE WHEN ts < DATE '{day}' THEN NULL ELSE r END AS x FROM fold_rows) GROUP BY fold_id HAVING count(x) = count(*)) USING (fold_id))"
+
+
+def _complete_meta(s: SparkSession, d: str, day: str) -> DataFrame:
+    rows = fr.fold_rows(s, d).withColumn("x", F.when(F.col("ts") >= day, F.col("r")))
+    return folds.meta_features(folds.complete_folds(rows, ["x", "close"])).select("fold_id", "volatility", "max_drawdown", "date_min", "date_max")
+
+
+for _name, _day in (("complete_fold_meta", "1993-06-01"), ("complete_fold_meta_late", "1995-06-01")):
+    query(_name, _COMPLETE_META.format(day=_day))(lambda s, d, day=_day: _complete_meta(s, d, day))
 
 
 @query("fold_slice", "SELECT fold_id, count(*) AS n, round(sum(r), 6) AS total FROM fold_rows WHERE split = 'val' GROUP BY fold_id")
