@@ -16,8 +16,8 @@ from .registry import ORACLES, QUERIES, query  # noqa: F401
 BARS = "SELECT entity, ts, open, high, low, close, adj_close, volume FROM "
 
 
-def _listing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("AF", "1996-05-01")], "entity string, listed string").withColumn("listed", F.col("listed").cast("date"))
+def _listing(spark: SparkSession, day: str) -> DataFrame:
+    return spark.createDataFrame([("AF", day)], "entity string, listed string").withColumn("listed", F.col("listed").cast("date"))
 
 
 # Sources and cleaning
@@ -25,7 +25,8 @@ query("bars", BARS + "bars", exact=True)(panels.bars)
 query("event_bars", """SELECT event_type AS entity, date_trunc('hour', ts)::TIMESTAMP AS ts, min_by(value, {'a': ts, 'b': event_id, 'c': value}) AS open, max(value) AS high, min(value) AS low,
   max_by(value, {'a': ts, 'b': event_id, 'c': value}) AS close, max_by(value, {'a': ts, 'b': event_id, 'c': value}) AS adj_close, count(*)::DOUBLE AS volume FROM events GROUP BY ALL""", exact=True)(panels.event_bars)
 query("calendar_align", BARS + "aligned", exact=True)(lambda s, d: clean.calendar_align(panels.bars(s, d)).select("entity", "ts", *panels.PRICES, "volume"))
-query("listing_filter", BARS + "bars WHERE entity <> 'AF' OR ts >= DATE '1996-05-01'", exact=True)(lambda s, d: clean.listed(panels.bars(s, d), _listing(s)))
+query("listing_filter", BARS + "bars WHERE entity <> 'AF' OR ts >= DATE '1994-01-01'", exact=True)(lambda s, d: clean.listed(panels.bars(s, d), _listing(s, "1994-01-01")))
+query("listing_filter_late", BARS + "bars WHERE entity <> 'AF' OR ts >= DATE '1996-05-01'", exact=True)(lambda s, d: clean.listed(panels.bars(s, d), _listing(s, "1996-05-01")))
 query("ffill_prices", BARS + "(SELECT f.* EXCLUDE (volume), a.volume FROM filled f JOIN aligned a USING (entity, ts))", exact=True)(lambda s, d: clean.forward_fill(clean.calendar_align(panels.bars(s, d))))
 query("fill_volume", "SELECT entity, ts, coalesce(volume, 0) AS volume FROM aligned")(lambda s, d: clean.fill_volume(clean.calendar_align(panels.bars(s, d))).select("entity", "ts", "volume"))
 query("drop_gaps", BARS + "panel", exact=True)(lambda s, d: fr.panel(s, d).select("entity", "ts", *panels.PRICES, "volume"))

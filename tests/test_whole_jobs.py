@@ -16,3 +16,7 @@ def check(spark, sf, name, whole, late):
 
 def test_complete_fold_meta_keeps_every_fold(spark, sf):
     check(spark, sf, "complete_fold_meta", frames.fold_table(spark, sf).count(), "complete_fold_meta_late")
+
+
+def test_listing_filter_keeps_every_bar(spark, sf):
+    check(spark, sf, "listing_filter", panels.bars(spark, sf).count(), "listing_filter_late")
