@@ -92,9 +92,11 @@ query("share_in_group", "SELECT entity, regime, count(*) AS n, round(count(*) /
 # Folds
 query("fold_generate", "SELECT fold_id, entity, ts, off, split FROM fold_rows")(lambda s, d: fr.fold_rows(s, d).select("fold_id", "entity", "ts", "off", "split"))
 query("fold_summary", "SELECT fold_id, entity, train_start, train_end, val_start, val_end, round(val_pos_ratio, 6) AS val_pos_ratio, round(val_vol, 6) AS val_vol, val_pos_ratio < 0.02 OR val_pos_ratio > 0.98 AS extreme FROM folds")(fr.fold_table)
-query("complete_folds", """SELECT (row_number() OVER (ORDER BY fold_id) - 1)::BIGINT AS fold_id, n, last FROM (SELECT fold_id, count(*) AS n, max(ts) AS last FROM (SELECT *, CASE WHEN ts < DATE '1995-06-01' THEN NULL ELSE r END AS f FROM fold_rows) GROUP BY fold_id HAVING count(f) = count(*))""")(
-    lambda s, d: folds.complete_folds(fr.fold_rows(s, d).withColumn("f", F.when(F.col("ts") >= "1995-06-01", F.col("r"))), ["f", "close"]).groupBy("fold_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-)
+_COMPLETE = """SELECT (row_number() OVER (ORDER BY fold_id) - 1)::BIGINT AS fold_id, n, last FROM (SELECT fold_id, count(*) AS n, max(ts) AS last FROM (SELECT *, CASE WHEN ts < DATE '{day}' THEN NULL ELSE r END AS f FROM fold_rows) GROUP BY fold_id HAVING count(f) = count(*))"""
+for _name, _day in (("complete_folds", "1993-06-01"), ("complete_folds_late", "1995-06-01")):
+    query(_name, _COMPLETE.format(day=_day))(
+        lambda s, d, day=_day: folds.complete_folds(fr.fold_rows(s, d).withColumn("f", F.when(F.col("ts") >= day, F.col("r"))), ["f", "close"]).groupBy("fold_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    )
 query("retrain_blocks", """SELECT fold_id, interval_ AS "interval", floor((off - 252) / interval_)::BIGINT AS block, count(*) AS n, round(stddev_pop(r), 6) AS vol, stddev_pop(r) < 0.0015 AS still FROM fold_rows, (SELECT unnest([10, 20, 42]) AS interval_) WHERE split = 'val' GROUP BY ALL""")(
     lambda s, d: folds.blocks(fr.fold_rows(s, d)).groupBy("fold_id", "interval", "block").agg(F.count("*").alias("n"), F.stddev_pop("r").alias("vol"), F.first("still").alias("still"))
 )

@@ -20,3 +20,7 @@ def test_complete_fold_meta_keeps_every_fold(spark, sf):
 
 def test_listing_filter_keeps_every_bar(spark, sf):
     check(spark, sf, "listing_filter", panels.bars(spark, sf).count(), "listing_filter_late")
+
+
+def test_complete_folds_keeps_every_fold(spark, sf):
+    check(spark, sf, "complete_folds", frames.fold_table(spark, sf).count(), "complete_folds_late")
