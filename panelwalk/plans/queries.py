@@ -230,10 +230,15 @@ query("top_n_per_entity", "SELECT entity, fold_id, rank::INT AS rank, round(rmse
 
 # Scaling, similarity, selection
 query("minmax_scale", "SELECT entity, ts, round((close - lo) / (hi - lo), 6) AS close FROM rets, (SELECT min(close) AS lo, max(close) AS hi FROM rets)")(lambda s, d: (lambda x: select.scale(x, x, [], ["close"]))(fr.rets(s, d).select("entity", "ts", "close")))
-@query("hybrid_scale", """SELECT fold_id, split, count(*) AS n, round(avg((r - m) / sd), 6) AS r_mean, round(min((r - m) / sd), 6) AS r_min, round(max((r - m) / sd), 6) AS r_max,
+query("hybrid_scale", """SELECT fold_id, off, round((r - m) / sd, 6) AS r, round((close - lo) / (hi - lo), 6) AS close FROM fold_rows, (SELECT avg(r) AS m, stddev_pop(r) AS sd, min(close) AS lo, max(close) AS hi FROM fold_rows WHERE split = 'train')""")(
+    lambda s, d: (lambda x: select.scale(x, x.where("split = 'train'"), ["r"], ["close"]).select("fold_id", "off", "r", "close"))(fr.fold_rows(s, d).select("fold_id", "off", "split", "r", "close"))
+)
+
+
+@query("hybrid_scale_summary", """SELECT fold_id, split, count(*) AS n, round(avg((r - m) / sd), 6) AS r_mean, round(min((r - m) / sd), 6) AS r_min, round(max((r - m) / sd), 6) AS r_max,
   round(avg((close - lo) / (hi - lo)), 6) AS close_mean, round(max((close - lo) / (hi - lo)), 6) AS close_max
 FROM fold_rows, (SELECT avg(r) AS m, stddev_pop(r) AS sd, min(close) AS lo, max(close) AS hi FROM fold_rows WHERE split = 'train') GROUP BY fold_id, split""")
-def hybrid_scale(s: SparkSession, d: str) -> DataFrame:
+def hybrid_scale_summary(s: SparkSession, d: str) -> DataFrame:
     """Scaled by the training rows' marks, then summed up by fold and split."""
     rows = fr.fold_rows(s, d).select("fold_id", "split", "r", "close")
     scaled = select.scale(rows, rows.where("split = 'train'"), ["r"], ["close"])

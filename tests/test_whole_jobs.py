@@ -24,3 +24,7 @@ def test_listing_filter_keeps_every_bar(spark, sf):
 
 def test_complete_folds_keeps_every_fold(spark, sf):
     check(spark, sf, "complete_folds", frames.fold_table(spark, sf).count(), "complete_folds_late")
+
+
+def test_hybrid_scale_returns_every_row_of_every_fold(spark, sf):
+    check(spark, sf, "hybrid_scale", frames.fold_rows(spark, sf).count(), "hybrid_scale_summary")
