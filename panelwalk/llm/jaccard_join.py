@@ -20,7 +20,8 @@ is multiplied in steps:
    one of each pair must have the n-gram early enough to reach a set of its own size.
 
 Pairs of one component are never formed: they cannot change it. A row of the matrix is made from its text in
-the task that multiplies it, for the text is half as long as its row.
+the task that multiplies it, for the text is half as long as its row; texts travel compressed one by one, and those of
+the stars are set apart, so that products of stars don't deal out all others.
 
 Defined results: a null or empty text has no n-grams and is linked with nothing; a text of fewer than n
 words is one n-gram; rows that repeat are equal sets; a doc_id with several texts belongs to all their
@@ -39,15 +40,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import LOWER, Ranges, identified, kept, mix, signed, slices, spare, utf8, word_bounds, word_hashes
+from .text import CHUNK_BYTES, LOWER, Ranges, identified, kept, mix, signed, slices, spare, utf8, word_bounds, word_hashes
 
 #: n-grams that several sets of a counting task hold are reported, and the most frequent, at most OFTEN, go to
 #: the end of the order.
 OFTEN = 1 << 20
 #: Bytes of text after which a counting task reports.
 COUNT_BYTES = 16 << 20
-#: Classes of size: each reaches this factor beyond the one before it.
-CLASS = 1.01
+#: Classes of size: each reaches this factor beyond the one before it. A row goes to every class of its partners, so
+#: narrow classes cost more rows than they save pairs.
+CLASS = 1.04
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -156,24 +158,54 @@ def _differences(mine: np.ndarray, pivot: np.ndarray, share: int) -> tuple[int,
     return common, signed(every[:long]).tolist(), [1] * short + [2] * (long - short)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """The rows with their text compressed, each by itself, after its size in eight bytes."""
+    place = rows.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in slices(batches):
+            raw = batch.column(place).cast(pa.large_binary()).to_pylist()
+            packed = pa.array([len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in raw], pa.binary())
+            yield batch.set_column(place, "text", packed)
+
+    return rows.mapInArrow(work, ", ".join(f"{f.name} {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema))
+
+
+def _unpacked(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The first row, bytes and offsets of pieces of a column of packed texts, of at most `most` bytes but for single rows."""
+    codec, packed = pa.Codec("zstd"), column.to_pylist()
+    ends = np.cumsum([int.from_bytes(x[:8], "little") for x in packed])
+    start = 0
+    while start < len(packed):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        offsets = np.r_[0, ends[start:stop] - before]
+        raw = [codec.decompress(x[8:], decompressed_size=int(size), asbytes=True) if size else b"" for x, size in zip(packed[start:stop], np.diff(offsets), strict=True)]
+        yield start, np.frombuffer(b"".join(raw), np.uint8), offsets
+        start = stop
+
+
 def _product(pairs: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
     """For pairs (a, b) of nodes: whether their sets are linked, with size_b and the first differences of b from a."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, row = None, None
-        for batch in slices(batches, "right_text"):
-            overlaps, sizes, linked, firsts, roles = [], [], [], [], []
+        for batch in batches:
             pivots = batch.column(0).to_pylist()
-            for i, (mine, _) in enumerate(gram_sets(*utf8(batch.column(3)), n)):
-                if pivots[i] != pivot:
-                    pivot, row = pivots[i], next(gram_sets(*utf8(batch.column(2).slice(i, 1)), n))[0]
-                common, first, role = _differences(mine, row, share)
-                overlaps.append(common)
-                sizes.append(len(mine))
-                linked.append(100 * common >= share * (len(mine) + len(row) - common))
-                firsts.append(first)
-                roles.append(role)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(roles, pa.list_(pa.int32()))], ["a", "b", "linked", "size_b", "firsts", "roles"])
+            for start, data, offsets in _unpacked(batch.column(3)):
+                sizes, linked, firsts, roles = [], [], [], []
+                for i, (mine, _) in enumerate(gram_sets(data, offsets, n), start):
+                    if pivots[i] != pivot:
+                        pivot, (_, *text) = pivots[i], next(_unpacked(batch.column(2).slice(i, 1)))
+                        row = next(gram_sets(*text, n))[0]
+                    common, first, role = _differences(mine, row, share)
+                    sizes.append(len(mine))
+                    linked.append(100 * common >= share * (len(mine) + len(row) - common))
+                    firsts.append(first)
+                    roles.append(role)
+                part = batch.slice(start, len(sizes))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(roles, pa.list_(pa.int32()))], ["a", "b", "linked", "size_b", "firsts", "roles"])
 
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right_text")), "b")
     both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left_text")), "a")
@@ -216,7 +248,7 @@ def _by_difference(columns: DataFrame, share: int) -> DataFrame:
 def _by_size(entries: DataFrame, stars: DataFrame, parts: DataFrame, share: int) -> DataFrame:
     """Pairs of nodes of one column but of different components of which one has no product with the pivot."""
     inside = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(True).alias("in"))
-    labelled = entries.join(parts, "node", "left").withColumn("part", F.coalesce("least", "node")).drop("least")
+    labelled = entries.drop("late").join(parts, "node", "left").withColumn("part", F.coalesce("least", "node")).drop("least")
     labelled = labelled.join(inside, ["pivot", "node"], "left").withColumn("in", F.coalesce("in", F.col("node") == F.col("pivot")))
     labelled = kept(labelled, "labelled")
     mixed = labelled.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("in").alias("all_in")).where("low <> high and not all_in").select("gram")
@@ -236,13 +268,14 @@ def links(docs: DataFrame, n: int = 3, share: int = 90) -> DataFrame:
     own = identified(docs)
     rows = kept(_columns(own, n, share, _often(own, n)), "columns")
     entries = rows.where("node is not null").select("node", "size", "late", "grams").dropDuplicates(["node"])
-    entries = entries.select("node", "size", "late", F.posexplode("grams").alias("place", "gram"))
-    shared = entries.groupBy("gram").agg(F.min(F.struct(-F.col("late"), "node")).alias("best"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("best.node").alias("pivot"))
-    entries = kept(entries.join(shared, "gram").select("gram", "pivot", "node", "size", "place"), "entries")
+    entries = entries.select("node", "size", "late", F.posexplode("grams").alias("place", "gram")).repartition("gram")
+    # The least of all columns, though a node is in a column once: what is dealt out serves both the minimum and the join.
+    shared = entries.groupBy("gram").agg(F.min(F.struct(-F.col("late"), "node", "size", "place")).alias("best"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("best.node").alias("pivot"))
+    entries = kept(entries.join(shared, "gram").select("gram", "pivot", "node", "size", "place", "late"), "entries")
 
     chosen = entries.select("node").distinct().join(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at")), "node")
     k = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k")
-    texts = own.select(k, "text_key", "text").join(chosen.select("node", "at.doc_id", "at.text_key").select("node", k, "text_key"), ["k", "text_key"])
+    texts = _packed(own.select(k, "text_key", "text")).join(chosen.select("node", "at.doc_id", "at.text_key").select("node", k, "text_key"), ["k", "text_key"])
     texts = kept(texts.groupBy("k", "text_key", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
 
     known = rows.where("doc_id is not null and node is not null").select("doc_id", "node").distinct()
@@ -254,9 +287,11 @@ def links(docs: DataFrame, n: int = 3, share: int = 90) -> DataFrame:
     least = F.ceil(F.lit(share) * (F.col("size_a") + F.col("size_b")) / (100 + share))
     stars = entries.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("size").alias("size_b")).agg(F.count("*").alias("shared"))
     stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").where(_near("size_a", "size_b", share) & (F.col("shared") + behind >= least)).select("a", "b")
-    stars = kept(_product(stars, texts, n, share), "stars")
+    stars = kept(stars, "pairs")
+    near = kept(texts.join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("shuffle_hash"), "node", "left_semi"), "near")
+    stars = kept(_product(stars, near, n, share), "stars")
     found = kept(stars.where("linked").select("a", "b").unionByName(same_id), "links")
-    inner = kept(_product(_inner_stars(_difference_columns(stars, components(found))), texts, n, share), "stars")
+    inner = kept(_product(_inner_stars(_difference_columns(stars, components(found))), near, n, share), "stars")
     found = kept(found.unionByName(inner.where("linked").select("a", "b")), "links")
     parts = components(found)
 
