@@ -30,8 +30,8 @@ from .text import LOWER, kept, mix, slices, utf8, without
 SIZES = (4, 5, 6, 7)
 BUCKETS = 1 << 20
 FEATURES = 2048
-#: Labelled documents whose columns are multiplied at once.
-SAMPLE = 6000
+#: Labelled documents whose bits are put together at once, and those of them whose columns are multiplied at once.
+SAMPLE, AT_ONCE = 6000, 512
 #: Passes of the fit at most, the steps before that it goes by, and the slope at which it ends.
 PASSES, MEMORY, FLAT = 80, 10, 1e-5
 PENALTY = 0.002
@@ -100,12 +100,14 @@ def fit_logistic(rows: DataFrame, n: int, scale: np.ndarray, penalty: float = PE
                 for start in range(0, batch.num_rows, SAMPLE):
                     part = batch.slice(start, SAMPLE)
                     bits = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                    x, y = np.unpackbits(bits, axis=1, count=width).astype(np.float32), part.column(0).to_numpy()
-                    z = (x @ w).astype(float) + bias
-                    loss += float(np.logaddexp(0, np.where(y == 1, -z, z)).sum())
-                    error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-                    sums[:-1] += error.astype(np.float32) @ x
-                    sums[-1] += error.sum()
+                    labels = part.column(0).to_numpy()
+                    for a in range(0, len(bits), AT_ONCE):
+                        x, y = np.unpackbits(bits[a : a + AT_ONCE], axis=1, count=width).astype(np.float32), labels[a : a + AT_ONCE]
+                        z = (x @ w).astype(float) + bias
+                        loss += float(np.logaddexp(0, np.where(y == 1, -z, z)).sum())
+                        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+                        sums[:-1] += error.astype(np.float32) @ x
+                        sums[-1] += error.sum()
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([sums.tobytes()], pa.binary())], ["loss", "sums"])
 
         got = rows.select("label", "held").mapInArrow(work, "loss double, sums binary").toArrow()
