@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import CHUNK_BYTES, LOWER, Ranges, identified, kept, mix, signed, slices, spare, utf8, word_bounds, word_hashes
+from .text import CHUNK_BYTES, LOWER, Ranges, identified, kept, mix, settled, signed, slices, spare, utf8, word_bounds, word_hashes
 
 #: n-grams that several sets of a counting task hold are reported, and the most frequent, at most OFTEN, go to
 #: the end of the order.
@@ -265,6 +265,10 @@ def _by_size(entries: DataFrame, stars: DataFrame, parts: DataFrame, share: int)
 
 def links(docs: DataFrame, n: int = 3, share: int = 90) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for every row."""
+    return settled(docs.sparkSession, lambda: _links(docs, n, share), "linked")
+
+
+def _links(docs: DataFrame, n: int, share: int) -> DataFrame:
     own = identified(docs)
     rows = kept(_columns(own, n, share, _often(own, n)), "columns")
     entries = rows.where("node is not null").select("node", "size", "late", "grams").dropDuplicates(["node"])
