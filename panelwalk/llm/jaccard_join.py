@@ -299,8 +299,12 @@ def _links(docs: DataFrame, n: int, share: int) -> DataFrame:
     found = kept(found.unionByName(inner.where("linked").select("a", "b")), "links")
     parts = components(found)
 
-    pairs = _by_difference(_difference_columns(inner, parts), share).unionByName(_by_size(entries, stars, parts, share))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def rest() -> DataFrame:
+        pairs = _by_difference(_difference_columns(inner, parts), share).unionByName(_by_size(entries, stars, parts, share))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    # A step, so that what pairs are found by is gone when texts are dealt out.
+    pairs = settled(docs.sparkSession, rest, "pairs")
     more = _product(pairs, texts, n, share).where("linked").select("a", "b")
     found = components(found.unionByName(more))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Ranges, identified, kept, signed, slices, spare, utf8, word_bounds, word_hashes
+from .text import Ranges, identified, kept, settled, signed, slices, spare, utf8, word_bounds, word_hashes
 
 WINDOW = 35
 ANCHOR = 8
@@ -108,7 +108,11 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and spans: array of (first, mask), a bit for each repeated edge from `first` on.
 
-    docs: doc_id, text_key, text."""
+    docs: doc_id, text_key, text. The spans are a step, so that paths and what they shuffle are gone when texts meet spans."""
+    return settled(docs.sparkSession, lambda: _spans(docs), "spans")
+
+
+def _spans(docs: DataFrame) -> DataFrame:
     paths = kept(docs.mapInArrow(_paths, PATHS).alias("p").join(
         docs.mapInArrow(_paths, PATHS).groupBy("anchor").count().where("count > 1").select("anchor"), "anchor", "left_semi"), "paths")
     # A span is the path's first word and its edges, of which there are REACH at most; one number travels lighter.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, kept, mix, slices, utf8, without
+from .text import LOWER, kept, mix, passing, slices, utf8, without
 
 SIZES = (4, 5, 6, 7)
 BUCKETS = 1 << 20
@@ -191,6 +191,11 @@ def _chosen_columns(rows: DataFrame, column: np.ndarray) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.ndarray, float]:
     """A weight for each bucket, and the bias."""
+    with passing(docs.sparkSession):
+        return _fit(docs, labels, label)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, label: str) -> tuple[np.ndarray, float]:
     rows = labelled(docs, labels, label)
     toxic, other = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     weights = np.zeros(BUCKETS, np.float32)

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from panelwalk.llm import jaccard_join, text
+from panelwalk.llm import jaccard_join, substring_dedup, text, toxicity
 
 
 @pytest.fixture
@@ -32,6 +32,20 @@ def test_links_leave_their_result_alone(spark, docs):
     assert found[22] == 3 and found[23] == 4 and found[5] == 5 and got.count() == 26
 
 
+def test_spans_leave_their_result_alone(spark, docs):
+    before = list(text._STEPS)
+    got = substring_dedup.report(docs)
+    assert names(before) == ["spans"]
+    assert {r.doc_id: r.n_removed for r in got.where("doc_id in (5, 20, 21)").collect()} == {5: 0, 20: 60, 21: 60}
+
+
+def test_the_classifier_leaves_nothing(spark, docs):
+    before = list(text._STEPS)
+    labels = docs.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    weights, _ = toxicity.fit(docs, labels)
+    assert weights.any() and names(before) == []
+
+
 def test_steps_of_a_failure_wait_for_the_end_and_outer_ones_stay(spark):
     before = list(text._STEPS)
     with pytest.raises(ValueError, match="no"), text.passing(spark):
