@@ -39,3 +39,29 @@ def test_scores_of_unseen_texts_beat_the_base(spark):
         assert np.allclose(equal[a], equal[b], rtol=1e-6)  # texts of a batch are summed in single precision
     alone = [r for r in got if r.doc_id in (900, 901)]
     assert all(r.n_tokens == 1 for r in alone) and [r.held_out for r in got if r.doc_id is None] == [False]
+
+
+def test_a_step_of_training_follows_the_slope():
+    """Of one step, each array's change against differences of the loss, which the model's own scores give."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 40, 31)]
+    totals = np.r_[np.bincount(texts[0], minlength=40), 1].astype(float)
+    classes = lm_score._grouped(np.zeros(0, np.int64), np.zeros(0, np.int64), totals)
+    compact, p = lm_score._start(totals, classes)
+    flat, shapes = lm_score._packed(p)
+    assert all(np.array_equal(p[k], x) for k, x in lm_score._unpacked(flat, shapes).items())
+
+    def loss(p):
+        model = lm_score._model({k: x.astype(float) for k, x in p.items()}, compact, classes, totals)
+        return -(model.scores(texts[0], np.array([0, 31]))[0] - model.inside[np.r_[texts[0], 40]].sum())
+
+    seen = {}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm_score, "STEPS", 1)
+        patch.setattr(lm_score, "WINDOWS_A_STEP", 1)
+        new = lm_score._fitted(p, [np.r_[40, texts[0], 40]], compact, classes, 0, 1)
+    for k in p:
+        # The first step moves each weight by the rate against the sign of its slope.
+        step = new[k] - p[k]
+        seen[k] = loss({**p, k: p[k] + step / np.abs(step).max() * 0.02}) - loss({**p, k: p[k] - step / np.abs(step).max() * 0.02})
+    assert all(x < 0 for x in seen.values()), seen
