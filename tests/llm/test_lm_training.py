@@ -65,3 +65,48 @@ def test_a_step_of_training_follows_the_slope():
         step = new[k] - p[k]
         seen[k] = loss({**p, k: p[k] + step / np.abs(step).max() * 0.02}) - loss({**p, k: p[k] - step / np.abs(step).max() * 0.02})
     assert all(x < 0 for x in seen.values()), seen
+
+
+def test_words_after_a_first_subword_have_probabilities_that_sum_to_one():
+    """Of an alphabet of three subwords: hot words by their counts, all others by what the counts leave, spelling after spelling."""
+    stop, counts = 3, np.array([6, 4, 2])
+    hot = [[0, 1], [0, 2, 2], [1]]
+    texts = [[*w, stop + 1 + i] for i, (w, n) in enumerate(zip(hot, counts, strict=True)) for _ in range(n)] + [[0, 0, stop]] * 3
+    spelt = np.concatenate(texts).astype(np.int64)
+    column = lm_score._contexts(np.bincount(spelt[spelt < stop], minlength=stop + 1).astype(float), lm_score.COLUMNS)
+    firsts, totals = np.array([w[0] for w in hot]), np.array([13.0, 2.0, 0.0, 0.0])
+    model = lm_score.Spelling(column, *np.unique(model_pairs := lm_score.Spelling.pairs(spelt, column), return_counts=True), firsts, counts, totals)
+    assert len(model_pairs) == sum(len(t) - 1 for t in texts)
+    total, live = 0.0, [[0]]
+    for _ in range(9):  # all words of up to nine subwords
+        rows = [[*w, stop + 1 + hot.index(w) if w in hot else stop] for w in live]
+        flat = np.concatenate(rows).astype(np.int64)
+        total += np.exp(model.scores(flat, np.cumsum([0, *map(len, rows)]))).sum()
+        live = [[*w, x] for w in live for x in range(stop)]
+    assert 0.97 < total <= 1 + 1e-9
+    assert model.scores(np.zeros(0, np.int64), np.array([0, 0, 0])).tolist() == [0, 0]
+
+
+def test_frequent_words_are_ids_and_others_are_spelt():
+    from panelwalk.llm import bpe
+    from panelwalk.llm.text import utf8, word_bounds, word_hashes
+
+    import pyarrow as pa
+
+    stop = len(bpe.vocabulary(queries.BYTE_BPE).strings)
+    data, offsets = utf8(pa.array(["The river zqxjing the", None, "", "zqxjing   kvv"]))
+    starts, ends, at = word_bounds(data, offsets)
+    words = [bytes(data[a:b]).lower() for a, b in zip(starts, ends, strict=True)]
+    hashes = word_hashes(lm_score.LOWER[data], starts, ends)
+    units, hot = np.unique(hashes[:2]), np.unique(hashes[:3])
+    ids, spelt, spelt_at = lm_score._word_ids(bpe.encoder(queries.BYTE_BPE, bpe.merge_in_step), stop, units, hot, data, starts, ends, at)
+    assert [i > stop for i in ids] == [True, True, False, True, False, False] and ids[0] == ids[3]
+    begins, stops = lm_score.Spelling.words(spelt, stop)
+    strings = bpe.vocabulary(queries.BYTE_BPE).strings
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+    library = tokenizers.Tokenizer.from_file(str(public_tokenizers.path(queries.BYTE_BPE)))
+    for word, a, b in zip([words[2], *words[4:]], begins, stops, strict=True):
+        assert spelt[a:b].tolist() == library.encode(" " + word.decode(), add_special_tokens=False).ids and max(spelt[a:b]) < len(strings)
+    assert (spelt[stops] > stop).tolist() == [True, False, False]
+    assert spelt_at.tolist() == [0, stops[0] + 1, stops[0] + 1, stops[0] + 1, len(spelt)]
